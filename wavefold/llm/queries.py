@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import chat, mixing, search, token_count, token_output, url_filter
+from wavefold.llm import chat, decontaminate, html_text, jaccard_join, mixing, search, token_count, token_output, toxicity, url_filter
 from wavefold.llm.shared import scratch_dir, table, written
 
 RULES = (
@@ -38,10 +38,31 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, folder)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), scratch_dir(spark))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.CountConfig(tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit_chain(documents, toxicity_labels(spark, sf_dir)))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, url_filter.UrlConfig(rules=RULES))
@@ -57,7 +78,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_mixing, op3_token_output, op6_token_counts, op9_url_filter, op10_chat_format)}
+    import corpus_pipeline
+
+    ops = (
+        op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
+    )
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 _OP1 = """
