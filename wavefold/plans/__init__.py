@@ -1 +1,4 @@
-"""plans"""
+"""Registered queries over the driver's tables, grouped as their operators are."""
+
+from wavefold.plans import cleaning, features  # noqa: F401
+from wavefold.plans.registry import ORACLES, QUERIES  # noqa: F401
