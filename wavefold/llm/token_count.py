@@ -19,6 +19,7 @@ boundary, and the left chunk grows, in the end to the whole rest.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -122,17 +123,55 @@ class Memory(dict):
         super().__init__()
         self.most = most
 
-    def learn(self, tokenizer, wanted: set[str], prefix: str, value) -> None:
+    def learn(self, tokenizer, wanted: set[str], prefix: str, value, direct=None) -> None:
+        """``direct`` gives the value of a plain word from the library's model, None for other pieces."""
         new = list(wanted.difference(self))
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(wanted)
+        if direct is not None:
+            found = {x: d for x in new if (d := direct(x)) is not None}
+            self.update(found)
+            new = [x for x in new if x not in found]
         for i in range(0, len(new), 1024):
             part = new[i : i + 1024]
             for piece, e in zip(part, tokenizer.encode_batch_fast([prefix + x for x in part], add_special_tokens=False), strict=True):
                 self[piece] = value(e)
 
 
+#: Byte-level vocabularies write printable bytes as themselves and the n-th other byte as letter 256 + n.
+_AS_IS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _AS_IS)}
+
+
+def byte_letters(word: str) -> str | None:
+    """A word of Latin letters as a byte-level model reads it: one pre-token; None for other words.
+
+    Such words need no pre-tokenizer, and none of the normalizers here changes them.
+    """
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word
+    if max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
+        return None
+    return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def _direct_count(tokenizer):
+    model, space = tokenizer.model, chr(_BYTE_LETTERS[32])
+    marks = {c: len(model.tokenize(c)) for c in ".,"}
+
+    def count(piece: str) -> int | None:
+        if (w := byte_letters(piece)) is not None:
+            return len(model.tokenize(space + w))
+        if piece[-1:] in marks and (w := byte_letters(piece[:-1])) is not None:
+            return len(model.tokenize(space + w)) + marks[piece[-1]]
+        return None
+
+    return count
+
+
 @lru_cache(maxsize=4)
 def _memory(path: str, most: int) -> Memory:
     return Memory(most)
@@ -148,7 +187,7 @@ def count_texts(tokenizer, memory: Memory, texts: list[str], cfg: CountConfig) -
             out[i] = len(tokenizer.encode(t, add_special_tokens=False).ids)
         else:
             cut[i] = p
-    memory.learn(tokenizer, set().union(*(p[1:] for p in cut.values())), " ", len)
+    memory.learn(tokenizer, set().union(*(p[1:] for p in cut.values())), " ", len, _direct_count(tokenizer))
     first = tokenizer.encode_batch_fast([p[0] for p in cut.values()], add_special_tokens=False)
     for (i, p), e in zip(cut.items(), first, strict=True):
         out[i] = len(e) + sum(map(memory.__getitem__, p[1:]))

@@ -14,6 +14,7 @@ sample of documents; it shapes the size of the files only.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavefold.llm.token_count import Memory, _memory, load
+from wavefold.llm.token_count import Memory, _memory, byte_letters, load
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,32 @@ class TokenConfig:
     block_bytes: int = 1 << 20
     block_docs: int = 2048
     #: Words whose ids a worker remembers at most.
-    remembered: int = 700_000
+    remembered: int = 1_200_000
 
 
 def id_width(tokenizer) -> int:
     return 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+def _direct_ids(tokenizer, width: int):
+    """Serialized ids of a word of Latin letters, a comma or full stop behind it or not, from the library's model alone."""
+    model = tokenizer.model
+    marks = {c: b"".join(t.id.to_bytes(width, "little") for t in model.tokenize(c)) for c in ".,"}
+
+    def of(letters: str) -> bytes | None:
+        small = letters.lower()
+        w = byte_letters(small) if small.isalpha() and max(letters, default="") < "\u0250" and (letters.isascii() or unicodedata.is_normalized("NFC", letters)) else None
+        return None if w is None else b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(w)])
+
+    def ids(word: str) -> bytes | None:
+        if word[-1] in marks:
+            core = of(word[:-1])
+            return None if core is None else core + marks[word[-1]]
+        return of(word)
+
+    return ids
+
+
 def encode_texts(tokenizer, memory: Memory, texts: list[str], cfg: TokenConfig, width: int) -> list[bytes]:
     """Serialized ids of each text, the end id included.
 
@@ -63,7 +83,7 @@ def encode_texts(tokenizer, memory: Memory, texts: list[str], cfg: TokenConfig,
             out[i] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes() + end
         else:
             words[i] = t.split()
-    memory.learn(tokenizer, set().union(*words.values()), "", lambda e: np.array(e.ids, kind).tobytes())
+    memory.learn(tokenizer, set().union(*words.values()), "", lambda e: np.array(e.ids, kind).tobytes(), _direct_ids(tokenizer, width))
     for i, w in words.items():
         out[i] = b"".join(map(memory.__getitem__, w)) + end
     return out
