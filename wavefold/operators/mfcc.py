@@ -78,8 +78,9 @@ def mfcc_long(df: DataFrame, cfg: MfccConfig) -> DataFrame:
     pad, spark = cfg.n_fft // 2, df.sparkSession
     # Reflection: sample i also stands at -i and at 2 (t - 1) - i, as often as the padding reaches.
     period = 2 * (F.col("_t") - 1)
-    k = F.explode(F.sequence(F.lit(-(pad // 2) - 1), F.lit(pad // 2 + 1)))
     one = F.col("_t") == 1
+    reach = F.when(one, F.lit(pad)).otherwise(F.lit(pad // 2 + 1))
+    k = F.explode(F.sequence(-reach, reach))
     images = d.withColumn("_k", k).select(
         "clip_id", "v", "_t", F.explode(F.when(one, F.array(F.col("_k"))).otherwise(F.array_distinct(F.array(F.col("n") + F.col("_k") * period, -F.col("n") + F.col("_k") * period)))).alias("_n")
     )
