@@ -39,7 +39,6 @@ def test_bisection_reaches_target(spark):
     v = np.abs(np.sin(np.arange(400) / 30)) + 0.01
     d = clip(spark, v)
     s = spark.createDataFrame([(1, 0, 400)], "clip_id long, start int, end int")
-    spark.sparkContext.setCheckpointDir("/tmp/spark-tests-checkpoint")
     out = signal.fit_segment_count(s, d, "clip_id", 100, 4).orderBy("start").collect()
     assert len(out) == 4 and out[0]["start"] == 0 and out[-1]["end"] == 400
     assert all(a["end"] == b["start"] for a, b in zip(out, out[1:], strict=False))

@@ -67,3 +67,11 @@ def test_serve_splits_results_and_errors(spark, tmp_path):
     assert q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     assert [r["reason"] for r in spark.read.json(str(tmp_path / "e")).collect()] == ["type"]
+
+
+def test_capture_writes_by_device(spark, tmp_path):
+    d = spark.createDataFrame([("esp32/d1/sensor/imu", b"x", 0), ("a/b", b"y", 0)], "topic string, value binary, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    sink = jobs.capture_sink(str(tmp_path / "cap"))
+    sink(d, 0)
+    sink(d, 0)  # a repeated batch replaces itself
+    assert sorted(r["device"] for r in spark.read.parquet(str(tmp_path / "cap")).collect()) == ["d1", "unknown"]

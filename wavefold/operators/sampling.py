@@ -118,9 +118,14 @@ def weighted_resample(df: DataFrame, key: str, weight: str, factor: int = 6, see
     # Draws are made by the keys themselves, so they are as many as n * factor and made in parallel.
     draws = d.select(key, F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("_f")).select(F.concat_ws(":", F.col(key).cast("string"), F.col("_f").cast("string")).alias("draw"))
     draws = draws.withColumn("_u", uniform(seed, F.col("draw")))
-    table = strata.agg(F.sort_array(F.collect_list(F.struct("_lo", "_b"))).alias("_t"), F.max("_total").alias("_total"))  # one row of 2^bits entries
+    # One row: groups of 2^(bits/2) strata, so a draw looks at 2 * 2^(bits/2) bounds, not at all of them.
+    group = F.floor(F.row_number().over(Window.orderBy("_b")) / (1 << bits // 2))
+    groups = strata.withColumn("_g", group).groupBy("_g").agg(F.min("_lo").alias("_lo"), F.sort_array(F.collect_list(F.struct("_lo", "_b"))).alias("_t"), F.max("_total").alias("_total"))
+    table = groups.agg(F.sort_array(F.collect_list(F.struct("_lo", "_t"))).alias("_t"), F.max("_total").alias("_total"))
     draws = draws.crossJoin(F.broadcast(table)).withColumn("_x", F.col("_u") * F.col("_total"))
-    draws = draws.withColumn("_s", F.element_at(F.filter("_t", lambda s: s["_lo"] <= F.col("_x")), -1)).select("draw", (F.col("_x") - F.col("_s._lo")).alias("_x"), F.col("_s._b").alias("_b"))
+    at = F.element_at(F.filter("_t", lambda s: s["_lo"] <= F.col("_x")), -1)
+    draws = draws.withColumn("_t", at["_t"]).withColumn("_s", at)
+    draws = draws.select("draw", (F.col("_x") - F.col("_s._lo")).alias("_x"), F.col("_s._b").alias("_b"))
     hit = draws.join(keys, "_b").filter((F.col("_x") >= F.col("_in")) & (F.col("_x") < F.col("_in") + F.col("_w")))
     return hit.select("draw", key)
 

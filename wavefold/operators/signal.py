@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavefold.operators.lineage import cut
+
 
 def db_to_amplitude(db: float | Column) -> Column:
     return F.pow(F.lit(10.0), (db if isinstance(db, Column) else F.lit(float(db))) / 20)
@@ -184,7 +186,7 @@ def fit_segment_count(segments: DataFrame, df: DataFrame, key: str, sample_rate:
         found = now.count()
         if found == count:
             break
-        count, now = found, split_longest(now, df, key, sample_rate, target).checkpoint()
+        count, now = found, cut(split_longest(now, df, key, sample_rate, target))
     return now
 
 

@@ -208,3 +208,15 @@ def h02(spark, d):
     f = T.features(spark, d).select("clip_id", (F.col("channel") * 8 + F.col("frame")).cast("long").alias("bin"), F.col("v"))
     m = scalar.mel_filterbank(spark, 10, 126, 16000)
     return f.join(F.broadcast(m), "bin").groupBy("clip_id", "mel").agg(F.round(F.sum(F.col("v") * F.col("v") * F.col("w")), 8).alias("energy"))
+
+
+@query("m21_segment_job")
+def m21(spark, d):
+    """Long recordings to a fixed number of clips: best plan, its segments, cut or chosen to the target, scored."""
+    c = T.clips(spark, d)
+    total = c.groupBy("clip_id").agg(F.count(F.lit(1)).alias("total"))
+    plan = signal.plan_segments(c, "clip_id", _grid(spark), L, H, 50, 3, (-2.0, 0.12)).select("clip_id", "threshold_db", "gap_s", "pad_s")
+    rms = signal.frame_rms(c, "clip_id", L, H).join(total, "clip_id").join(plan, "clip_id")
+    seg = signal.detect_segments(rms, ["clip_id"], L, H, F.col("threshold_db"), F.round(F.col("gap_s") * 50), F.round(F.col("pad_s") * 50), 18)
+    few = signal.fit_segment_count(seg.select("clip_id", F.col("start").cast("long"), F.col("end").cast("long")), c, "clip_id", 20, 3)
+    return rounded(signal.top_segments(signal.score_segments(few, c, "clip_id", 50), "clip_id", 3), "score")
