@@ -3,8 +3,10 @@
 Texts become sets of 64-bit hashes of their word shingles; equal sets are one
 class (named by a 64-bit hash of the set), so copies cost one comparison side.
 
-Distribution. Two sets that reach the threshold share an element of their
-prefixes (the first n - ceil(t * n) + 1 elements in one global order). The order
+Distribution. Two sets that reach the threshold share at least l elements of
+their prefixes, the first n - ceil(t * n) + l in one global order, where l is
+1 + n / ``extra`` for the smaller one. Classes that share fewer elements than any
+partner of fitting size asks for drop out before sets are moved. The order
 puts elements that are frequent in a sample last, so common passages seldom bring
 documents together; the sample shapes cost only, never results. Each element with
 several classes names the least one as pivot; each class goes to the pivot that
@@ -41,6 +43,8 @@ from wavefold.llm.words import BY_SPACE, mix64, word_batches
 class JoinConfig:
     words: int = 5
     percent: int = 75
+    #: A prefix is longer by 1 + n / extra elements, and so many must be shared.
+    extra: int = 10
     #: 64-bit words of a token bitmap; members of a leaf; children of a node.
     bitmap: int = 16
     leaf: int = 16
@@ -121,7 +125,7 @@ def _digests(cfg: JoinConfig, frequent: np.ndarray):
                 for s in shingle_sets(part.column("text"), cfg.words):
                     size = len(s)
                     n.append(size), cls.append(class_of(s) if size else None)
-                    keep = size - -(-cfg.percent * size // 100) + 1 if size else 0
+                    keep = size - -(-cfg.percent * size // 100) + 1 + size // cfg.extra if size else 0
                     if size and len(frequent):
                         at = np.searchsorted(frequent, s)
                         late = frequent[np.minimum(at, len(frequent) - 1)] == s
@@ -129,7 +133,7 @@ def _digests(cfg: JoinConfig, frequent: np.ndarray):
                             s = np.concatenate([s[~late], s[late]])
                     prefix.append(s[:keep].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "prefix"]
+                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "cls", "prefix"]
                 )
 
     return run
@@ -147,7 +151,7 @@ def _sampled(cfg: JoinConfig):
 
 def frequent_shingles(documents: DataFrame, cfg: JoinConfig) -> np.ndarray:
     """Elements found in several sampled documents, at most ``cfg.frequent`` (most frequent first), sorted."""
-    d = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(cfg.sample)) == 0).select("text")
+    d = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(cfg.sample)) == 0).select("text")
     n = d.mapInArrow(_sampled(cfg), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4")
     rows = n.orderBy(F.desc("n"), "h").limit(cfg.frequent).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
@@ -272,12 +276,9 @@ def _block_links(cfg: JoinConfig, pair: bool):
         side = np.asarray(rows.column("side").to_numpy())
         ids = rows.column("cls").to_numpy()
         data = rows.column("hashes").to_pylist()
-        if pair:
-            order = np.argsort(side, kind="stable")
-            split = int((side == 0).sum())
-        else:  # the pivot may be a member too
-            _, order = np.unique(ids, return_index=True)
-            split = None
+        # A pivot may be a member too, and rows of a repeated doc_id give a set twice.
+        order = np.concatenate([np.flatnonzero(side == x)[np.unique(ids[side == x], return_index=True)[1]] for x in (0, 1)])
+        split = int((side[order] == 0).sum()) if pair else None
         links = tree_links([np.frombuffer(data[i], "<u8") for i in order], ids[order], cfg, split)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
@@ -285,16 +286,28 @@ def _block_links(cfg: JoinConfig, pair: bool):
 
 
 def _sets(cfg: JoinConfig):
+    """Sets of rows (cls, text); a text that is not of the class (its doc_id is repeated) is passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                data = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text"), cfg.words)]
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(data, pa.binary())], names=["cls", "hashes"])
+                rows = [(c, s.astype("<u8").tobytes()) for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), cfg.words), strict=True) if class_of(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["cls", "hashes"])
 
     return run
 
 
+def _in_play(shared: DataFrame, classes: DataFrame, cfg: JoinConfig, folder: str, name: str) -> DataFrame:
+    """Rows (token, cls, n, pivot) of classes that share enough elements with classes of fitting size."""
+    met = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("met")).join(classes.select("cls", "n"), "cls")
+    least = F.ceil(F.col("n") * cfg.percent / 100)
+    kept = met.filter(F.col("met") >= 1 + F.floor(least / cfg.extra)).select("cls", "n")
+    left = written(shared.select("token", "cls").join(kept, "cls"), folder, f"{name}-kept")
+    pivots = left.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_last")).filter("pivot <> _last").drop("_last")
+    return written(left.join(pivots, "token").select("token", "cls", "n", "pivot"), folder, name)
+
+
 def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of (doc_id, text); ``folder`` takes the stage tables.
 
@@ -303,15 +316,18 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     nothing (their component_id is null). Rows that repeat a doc_id are compared
     like others. An empty table gives no rows. Other columns are not read.
     """
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # key finds a text again; rows without a doc_id are found by their text.
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
     frequent = frequent_shingles(d, cfg)
-    digest = written(d.mapInArrow(_digests(cfg, frequent), "doc_id long, n_shingles long, cls long, prefix array<long>"), folder, "digest")
+    digest = written(d.mapInArrow(_digests(cfg, frequent), "doc_id long, key long, n_shingles long, cls long, prefix array<long>"), folder, "digest")
 
     tokens = digest.filter("cls is not null").select("cls", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "cls")
     shared = written(tokens.mapInArrow(_shared, "token long, cls long, pivot long"), folder, "shared")
 
     # Blocks: each class goes to the pivot that it shares most elements with, itself if there is none of fitting size.
-    classes = digest.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    classes = digest.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"))
+    for step in range(2):
+        shared = _in_play(shared, classes, cfg, folder, f"shared-{step}")
     met = shared.groupBy("cls", "pivot").agg(F.count("*").alias("met"))
     met = met.join(classes.select("cls", "n"), "cls").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
     fits = (100 * F.least("n", "pivot_n") >= cfg.percent * F.greatest("n", "pivot_n")) & (F.col("cls") != F.col("pivot"))
@@ -321,9 +337,9 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     member = member.join(parts, "pivot").select("cls", "n", "pivot", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
     member = written(member, folder, "members")
 
-    # Full sets of the classes in play, each from the least document of its class.
-    source = member.select("cls").join(classes.select("cls", F.col("doc_id").alias("_doc")), "cls")
-    texts = d.join(source, F.col("doc_id") == F.col("_doc")).dropDuplicates(["cls"]).select("cls", "text")
+    # Full sets of the classes in play, each from one document of its class.
+    source = member.select("cls").join(classes.select("cls", F.col("key").alias("_key")), "cls")
+    texts = d.join(source, F.col("key") == F.col("_key")).select("cls", "text")
     sets = written(texts.mapInArrow(_sets(cfg), "cls long, hashes binary"), folder, "sets")
 
     # Round A: members of a block and its pivot.
