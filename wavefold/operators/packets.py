@@ -16,8 +16,11 @@ def _int(x: Column) -> Column:
     return x.rlike(r"^-?\d+$")
 
 
-def validate_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows with reason: null for a good packet, else the first rule that fails (by packet type)."""
+def validate_packets(df: DataFrame, payload: str = "payload", results: tuple[str, ...] = ("action", "keyword")) -> DataFrame:
+    """Rows with reason: null for a good packet, else the first rule that fails (by packet type).
+
+    ``results`` are the types of classification packets.
+    """
     j = lambda p: F.get_json_object(payload, p)
     kind, data = j("$.type"), j("$.data")
     samples = F.from_json(j("$.data.samples"), f"array<map<string,string>>")
@@ -38,7 +41,7 @@ def validate_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
         .when(~conf.try_cast("double").between(0.0, 1.0), "confidence_range")
     )
     reason = (
-        F.when(kind.isNull(), "type").when(data.isNull() | ~data.startswith("{"), "data").when(kind == "imu", imu).when(kind == "voice_mfcc", mfcc).when(kind.isin("action", "pokemon"), cls).otherwise("unknown_type")
+        F.when(kind.isNull(), "type").when(data.isNull() | ~data.startswith("{"), "data").when(kind == "imu", imu).when(kind == "voice_mfcc", mfcc).when(kind.isin(*results), cls).otherwise("unknown_type")
     )
     return df.withColumn("reason", reason)
 
