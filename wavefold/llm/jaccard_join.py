@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavefold.llm.components import components
-from wavefold.llm.shared import written
+from wavefold.llm.shared import discard, light, written
 from wavefold.llm.words import BY_SPACE, mix64, word_batches
 
 
@@ -54,6 +54,8 @@ class JoinConfig:
     #: One document in so many is sampled for frequent elements; at most so many of them are sent to tasks.
     sample: int = 32
     frequent: int = 20_000
+    #: Rows of (class, key) or ids up to which they are broadcast to find texts; beyond, texts are shuffled.
+    light_rows: int = 500_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -316,6 +318,7 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     nothing (their component_id is null). Rows that repeat a doc_id are compared
     like others. An empty table gives no rows. Other columns are not read.
     """
+    spark = documents.sparkSession
     # key finds a text again; rows without a doc_id are found by their text.
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
     frequent = frequent_shingles(d, cfg)
@@ -323,11 +326,14 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
 
     tokens = digest.filter("cls is not null").select("cls", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "cls")
     shared = written(tokens.mapInArrow(_shared, "token long, cls long, pivot long"), folder, "shared")
+    docs = written(digest.drop("prefix"), folder, "docs")
+    discard(spark, folder, "digest")
 
     # Blocks: each class goes to the pivot that it shares most elements with, itself if there is none of fitting size.
-    classes = digest.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"))
+    classes = written(docs.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), folder, "classes")
     for step in range(2):
         shared = _in_play(shared, classes, cfg, folder, f"shared-{step}")
+    discard(spark, folder, "shared", "shared-0-kept", "shared-0", "shared-1-kept")
     met = shared.groupBy("cls", "pivot").agg(F.count("*").alias("met"))
     met = met.join(classes.select("cls", "n"), "cls").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
     fits = (100 * F.least("n", "pivot_n") >= cfg.percent * F.greatest("n", "pivot_n")) & (F.col("cls") != F.col("pivot"))
@@ -339,7 +345,7 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
 
     # Full sets of the classes in play, each from one document of its class.
     source = member.select("cls").join(classes.select("cls", F.col("key").alias("_key")), "cls")
-    texts = d.join(source, F.col("key") == F.col("_key")).select("cls", "text")
+    texts = d.join(light(source, cfg.light_rows), F.col("key") == F.col("_key")).select("cls", "text")
     sets = written(texts.mapInArrow(_sets(cfg), "cls long, hashes binary"), folder, "sets")
 
     # Round A: members of a block and its pivot.
@@ -348,17 +354,21 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     links_a = written(rows.groupBy("pivot", "part").applyInArrow(_block_links(cfg, False), "a long, b long"), folder, "links-a")
     near = components(links_a, folder, "near")
 
-    # Round B: pairs of blocks that share a token and hold different components.
+    # Round B: classes that share enough elements with other components, then pairs of blocks that share enough.
     m = member.join(near, F.col("cls") == F.col("node"), "left").select("cls", "n", F.struct("pivot", "part").alias("block"), F.coalesce("component", "cls").alias("component"))
     t = shared.select("token", "cls").join(m, "cls")
-    several = t.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
-    t = written(t.join(several, "token"), folder, "open")
+    least = lambda n: 1 + F.floor(F.ceil(n * cfg.percent / 100) / cfg.extra)
+    for step in range(2):
+        several = t.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
+        t = written(t.join(several, "token"), folder, f"several-{step}")
+        enough = t.groupBy("cls").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("_n")).filter(F.col("met") >= least(F.col("_n"))).select("cls")
+        t = written(t.join(enough, "cls", "left_semi"), folder, f"open-{step}")
     side = t.groupBy("token", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     other = side.select("token", *[F.col(c).alias(f"o_{c}") for c in side.columns[1:]])
     apart = ~((F.col("c0") == F.col("c1")) & (F.col("o_c0") == F.col("o_c1")) & (F.col("c0") == F.col("o_c0")))
-    sized = (100 * F.col("n1") >= cfg.percent * F.col("o_n0")) & (100 * F.col("o_n1") >= cfg.percent * F.col("n0"))
-    pairs = side.join(other, "token").filter((F.col("block") < F.col("o_block")) & apart & sized).select("block", "o_block").distinct()
-    pairs = written(pairs, folder, "pairs")
+    fitting = (100 * F.col("n1") >= cfg.percent * F.col("o_n0")) & (100 * F.col("o_n1") >= cfg.percent * F.col("n0"))
+    pairs = side.join(other, "token").filter((F.col("block") < F.col("o_block")) & apart & fitting).groupBy("block", "o_block").agg(F.count(F.lit(1)).alias("met"), F.least(F.min("n0"), F.min("o_n0")).alias("_n"))
+    pairs = written(pairs.filter(F.col("met") >= 1 + F.floor(F.col("_n") / cfg.extra)).select("block", "o_block"), folder, "pairs")
     open_members = t.select("cls", "block").distinct()
     first = pairs.join(open_members, "block").select("block", "o_block", "cls", F.lit(0).alias("side"))
     second = pairs.join(open_members.withColumnRenamed("block", "o_block"), "o_block").select("block", "o_block", "cls", F.lit(1).alias("side"))
@@ -366,9 +376,11 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     links_b = written(rows.groupBy("block", "o_block").applyInArrow(_block_links(cfg, True), "a long, b long"), folder, "links-b")
     joined = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links_b), folder, "joined")
 
-    docs = digest.select("doc_id", "n_shingles", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"))
-    least = docs.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return docs.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = docs.select("doc_id", "n_shingles", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"))
+    out = written(out, folder, "labelled")
+    discard(spark, folder, "sets", "shared-1", "docs", "classes", "several-0", "several-1", "open-0", "open-1")
+    least_id = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
@@ -378,6 +390,6 @@ def one_of_each(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig(
     for a group and stay as they are.
     """
     c = link_components(documents, folder, cfg)
-    keep = c.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.filter("doc_id is null"))
+    keep = written(c.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), folder, "keep")
+    found = lambda rows: documents.join(light(keep.filter(rows).select("_kept"), cfg.light_rows), F.col("doc_id") == F.col("_kept"), "left_semi")
+    return found("_rows = 1").unionByName(found("_rows > 1").dropDuplicates(["doc_id"])).unionByName(documents.filter("doc_id is null"))
