@@ -7,7 +7,7 @@ So shared q-grams are counted in overlapping bands of 2 * (k + 1) diagonals, one
 every k + 1: one band holds the whole alignment. Bands that reach the lemma's
 bound are verified by a banded alignment with free ends in the text.
 
-Texts and items are compared with A-Z folded and white space runs as one space.
+Texts and items are compared in lower case and with white space runs as one space.
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ class DecontaminationConfig:
     window: int = 1 << 20
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _BASE = 0x9E3779B97F4A7C15, 0x100000001B3
 
 
 def normal(text: str | None) -> str:
-    return " ".join((text or "").split()).translate(_LOWER) if text and not text.isascii() else " ".join((text or "").split()).lower()
+    return " ".join((text or "").split()).lower()
 
 
 def _codes(text: str) -> np.ndarray:
@@ -49,12 +48,18 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h, c = np.zeros(n, np.uint64), codes.astype(np.uint64)
-        for i in range(q):
-            h *= np.uint64(0x100000001B3)
-            h += c[i : i + n]
-        h *= np.uint64(_MULTIPLIER)
+    # Hashes of 1, 2, 4, ... characters, joined to q by its binary digits.
+    h, done, block, width = None, 0, codes.astype(np.uint64), 1
+    while True:
+        if q & width:
+            part = block[done : done + n]
+            h = part.copy() if h is None else h * np.uint64(pow(_BASE, width, 1 << 64)) + part
+            done += width
+        if done == q:
+            break
+        block = block[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + block[width:]
+        width *= 2
+    h *= np.uint64(_MULTIPLIER)
     return h ^ (h >> np.uint64(29))
 
 
@@ -73,16 +78,20 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
     column = np.arange(width)
     j = column + low  # text prefix lengths in row 0
     row = np.where((j >= 0) & (j <= n), 0, big)
+    # Text character before each cell of all rows; no character matches outside of the text.
+    span = np.arange(low, high + len(item))
+    before = np.where((span >= 0) & (span < n), text[np.clip(span, 0, max(n - 1, 0))] if n else 0, -1).astype(np.int64)
     for i in range(1, len(item) + 1):
-        j = column + low + i
-        inside = (j >= 0) & (j <= n)
-        at = np.clip(j - 1, 0, max(n - 1, 0))
-        same = (text[at] == item[i - 1]) if n else np.zeros(width, bool)
-        new = np.where(j >= 1, row + ~same, big)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where(inside, new, big)
+        new = row + (before[i - 1 : i - 1 + width] != item[i - 1])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        if low + i < 1 or high + i > n:
+            j = column + low + i
+            new[(j < 0) | (j > n)] = big
+            if 0 <= -low - i < width:
+                new[-low - i] = i  # no text yet: the item's begin is left out
         row = np.minimum.accumulate(new - column) + column
-        row = np.where(inside, row, big)
+        if high + i > n:
+            row[max(0, n - low - i + 1) :] = big
         if row.min() > most:
             return None
     best = int(np.argmin(row))
@@ -126,9 +135,19 @@ class Index:
         band = (diagonal + self.longest) // step
         # One band every step diagonals, each two steps wide: a q-gram counts in its band and the one before.
         keys = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
-        keys, count = np.unique(keys, return_counts=True)
-        item = keys >> 40
-        for key, i in zip(keys[count >= self.need[item]].tolist(), item[count >= self.need[item]].tolist(), strict=True):
+        known, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+        full = count >= self.need[known >> 40]
+        if not full.any():
+            return
+        # An alignment keeps each q-gram of the item once: repeats in the text do not count.
+        at = np.flatnonzero(full[back])
+        pairs = np.unique(back[at] * (1 << 32) + np.tile(self.at[entry], 2)[at])
+        band, count = np.unique(pairs >> 32, return_counts=True)
+        keys = known[band[count >= self.need[known[band] >> 40]]]
+        for key in keys.tolist():
+            i = key >> 40
+            if found.get(i, (1,))[0] == 0:
+                continue
             e, m = int(self.budget[i]), int(self.length[i])
             low = (key & ((1 << 40) - 1)) * (e + 1) - self.longest
             high = low + 2 * (e + 1) - 1
