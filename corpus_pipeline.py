@@ -31,7 +31,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, written(mixing.sized(docs), scratch_dir(spark), "sizes"))
+    folder = scratch_dir(spark)
+    sizes = written(mixing.sized(docs), folder, "sizes")
+    return mixing.mixed_documents(docs, written(mixing.source_plan(sizes), folder, "plan"))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

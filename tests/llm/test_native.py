@@ -52,7 +52,7 @@ def test_mixing_targets_and_words(spark):
     again = mixing.mix(mixing.sized(d.repartition(7))).collect()
     key = lambda rs: sorted((str(x["doc_id"]), x["size"], x["taken"]) for x in rs)
     assert key(got) == key(again)
-    out = mixing.mixed_documents(d, mixing.sized(d))
+    out = mixing.mixed_documents(d, mixing.source_plan(mixing.sized(d)))
     assert out.columns == d.columns and out.count() == sum(x["repetitions"] for x in got)
 
 

@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavefold.llm.shared import light
+
 
 @dataclass(frozen=True)
 class MixConfig:
@@ -29,6 +31,8 @@ class MixConfig:
     seed: int = 42
     #: Hex digits of the hash that name a bucket: 16 ** digits buckets a source.
     bucket_digits: int = 3
+    #: Sources up to which their plan is broadcast; beyond, the join is a shuffle.
+    light_sources: int = 10_000
     word: str = field(default=r"[^\x20\x09-\x0D]+")
 
 
@@ -90,8 +94,11 @@ def source_plan(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 
 
 def _planned(rows: DataFrame, plan: DataFrame, cfg: MixConfig) -> DataFrame:
-    """rows with the columns of their source's plan (under names of its own) and their repetitions."""
-    p = plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns])
+    """rows with the columns of their source's plan (under names of its own) and their repetitions.
+
+    The plan has one row a source; up to ``cfg.light_sources`` it is broadcast, so texts are not moved.
+    """
+    p = light(plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns]), cfg.light_sources)
     extra = F.coalesce(_key(cfg) <= F.col("_plan_cut"), F.lit(False)).cast("long")
     out = rows.join(p, F.col("source").eqNullSafe(F.col("_plan_source")))
     return out.withColumn("_plan_repetitions", F.least(F.col("_plan_whole") + extra, F.lit(cfg.max_epochs).cast("long")))
@@ -101,15 +108,17 @@ def sized(documents: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     return documents.select("doc_id", "source", count_words(F.col("text"), cfg).alias("size"))
 
 
-def mix(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+def mix(sizes: DataFrame, plan: DataFrame | None = None, cfg: MixConfig = MixConfig()) -> DataFrame:
     """doc_id, source, size, source_size, target, repetitions and taken of every row of ``sized``.
 
+    ``plan`` is ``source_plan(sizes)``, where it was written before.
+
     Null text has size 0; null is a source of its own, last in order. Documents
     of size 0 take part with 0 words. Rows that repeat a doc_id share its hash
     and so its repetitions. An empty table gives no rows. Sums are whole
     numbers, so a rerun gives the same rows.
     """
-    out = _planned(sizes.select("doc_id", "source", "size"), source_plan(sizes, cfg), cfg)
+    out = _planned(sizes.select("doc_id", "source", "size"), source_plan(sizes, cfg) if plan is None else plan, cfg)
     n = F.col("_plan_repetitions")
     return out.select(
         "doc_id", "source", "size", F.col("_plan_source_size").alias("source_size"), F.col("_plan_target").alias("target"),
@@ -117,12 +126,11 @@ def mix(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     )
 
 
-def mixed_documents(documents: DataFrame, sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+def mixed_documents(documents: DataFrame, plan: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The rows of ``documents``, each as often as the mix repeats it.
 
-    ``sizes`` is ``sized(documents)``, best written once. Texts stay where they
-    are: only the small table of sources is joined to them.
+    ``plan`` is ``source_plan(sized(documents))``, best written once.
     """
-    out = _planned(documents, source_plan(sizes, cfg), cfg).filter("_plan_repetitions > 0")
+    out = _planned(documents, plan, cfg).filter("_plan_repetitions > 0")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_plan_repetitions")))
     return out.select(*documents.columns, each.alias("_plan_n")).drop("_plan_n")

@@ -24,8 +24,9 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = written(mixing.sized(table(spark, sf_dir, "documents")), scratch_dir(spark), "sizes")
-    return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    folder = scratch_dir(spark)
+    sizes = written(mixing.sized(table(spark, sf_dir, "documents")), folder, "sizes")
+    return mixing.mix(sizes, written(mixing.source_plan(sizes), folder, "plan")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def token_config() -> token_output.TokenConfig:
