@@ -105,8 +105,8 @@ def _counted(n: int, prefixes: tuple[int, ...]):
 def _indexed(n: int, prefixes: tuple[int, ...], kept: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [f.astype(np.int32) for _, f in _features(batch.column("text"), prefixes, kept)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column(f"_y{i}") for i in range(n)), pa.array(x, pa.list_(pa.int32()))], names=["_id", *(f"_y{i}" for i in range(n)), "x"])
+            x = [f.astype("<i4").tobytes() for _, f in _features(batch.column("text"), prefixes, kept)]  # compact on the driver
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column(f"_y{i}") for i in range(n)), pa.array(x, pa.binary())], names=["_id", *(f"_y{i}" for i in range(n)), "x"])
 
     return run
 
@@ -178,10 +178,10 @@ def fit_chain(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
         for b in best:
             kept.update(r[0] for r in b.collect())
     hashes = np.sort(np.array(sorted(kept), np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_indexed(n, cfg.prefixes, hashes), "_id long, " + ", ".join(f"_y{i} int" for i in range(n)) + ", x array<int>").collect() if kept else []
-    rows.sort(key=lambda r: (r[0], r[-1]))
+    rows = sample.mapInArrow(_indexed(n, cfg.prefixes, hashes), "_id long, " + ", ".join(f"_y{i} int" for i in range(n)) + ", x binary").collect() if kept else []
+    rows.sort(key=lambda r: (r[0], bytes(r[-1])))
     ids, y = np.array([r[0] for r in rows], np.int64), np.array([[r[1 + i] for i in range(n)] for r in rows], float).reshape(-1, n)
-    x = [np.array(r[-1], np.int32) for r in rows]
+    x = [np.frombuffer(r[-1], "<i4") for r in rows]
     fold = (np.array(ids, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % cfg.folds if len(ids) else np.zeros(0, np.int64)
     earlier, models = np.zeros((len(rows), 0)), []
     for i in range(n):
