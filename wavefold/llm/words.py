@@ -17,7 +17,7 @@ import pyarrow as pa
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 #: Bytes read at once; a text of more is cut between words.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
