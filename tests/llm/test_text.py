@@ -239,6 +239,27 @@ def test_join_against_all_pairs(spark, cfg):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cfg", [jaccard_join.JoinConfig(), jaccard_join.JoinConfig(block=300, leaf=2, fan=2, bitmap=1, sample=2, extra=4)])
+def test_join_counts_every_link(spark, cfg):
+    r = random.Random(8)
+    base = [[f"b{j}_{k}" for k in range(60)] for j in range(3)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 3])
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000, "one two"), (1001, "ONE two"), (1002, ""), (1003, None), (1004, rows[5][1]), (None, rows[5][1])]
+    sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())((t or "").lower().split()) for _, t in rows]
+    close = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = sorted((str(i), sum(close(s, o) for k, o in enumerate(sets) if k != n)) for n, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.link_components(d, scratch_dir(spark), cfg).collect()
+    assert sorted((str(x["doc_id"]), x["n_links"]) for x in got) == want
+    of = {x["doc_id"]: x["class_id"] for x in got}
+    assert all((of[i] == of[j]) == (s == o) for (i, _), s in zip(rows, sets, strict=True) for (j, _), o in zip(rows, sets, strict=True) if s and o)
+
+
 def test_join_one_of_each_and_empty(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "x"), (3, "x"), (4, None), (None, "z")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))

@@ -17,17 +17,23 @@ the OR of their token bitmaps, the range of set sizes and the fewest bits of a
 member. A dual traversal from the root against itself (or against the root of
 another block's tree) prunes pairs of nodes whose maximum possible overlap stays
 below the overlap that their sizes ask for; what remains at the leaves is
-verified on the full sets, unless both are in one component already.
+verified on the full sets.
 
-Round A joins each block with itself. Round B joins pairs of blocks that share a
-prefix element and still hold different components. Links of both rounds make
-the components; a link inside a component may be left out, none between two is.
+Round A joins each block with itself. Round B joins pairs of blocks that share
+enough prefix elements. A class is a member of one block, so each pair of classes
+is verified in one task at most. Tasks return a forest of links, which makes the
+components, and for each class the number of documents it links with: every link
+is counted, but rows do not grow with the square of a group.
+
+Without ``every_link`` (``one_of_each``, which asks for components only) pairs that
+are in one component already are not verified: round A has each block's pivot as
+a guest, and round B takes blocks that still hold different components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +62,8 @@ class JoinConfig:
     frequent: int = 20_000
     #: Rows of (class, key) or ids up to which they are broadcast to find texts; beyond, texts are shuffled.
     light_rows: int = 500_000
+    #: Verify and count all links; without it only as many as connect the components.
+    every_link: bool = True
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -220,20 +228,63 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def tree_links(sets: list[np.ndarray], ids: np.ndarray, cfg: JoinConfig, split: int | None = None) -> list[tuple[int, int]]:
-    """Links between sets by dual traversal; with ``split``, only between the first ``split`` sets and the others.
+def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets of two leaves, given as ``Leaves`` holds them."""
+    out = np.zeros((x[1].shape[1] * 8, y[1].shape[1] * 8), np.int64)
+    for k in range(0, len(x[0]), 1 << 16):
+        e = x[0][k : k + (1 << 16)]
+        at = np.minimum(np.searchsorted(y[0], e), len(y[0]) - 1)
+        both = np.flatnonzero(y[0][at] == e)
+        u, v = np.unpackbits(x[1][k + both], axis=1).astype(np.float32), np.unpackbits(y[1][at[both]], axis=1).astype(np.float32)
+        out += (u.T @ v).astype(np.int64)  # at most 2^16 ones each: exact
+    return out
+
+
+class Leaves:
+    """Distinct elements of a leaf and, as packed bits, which of its members hold each; made when asked for."""
+
+    def __init__(self, sets: list[np.ndarray], places: np.ndarray, tree: Tree):
+        self.sets, self.places, self.tree, self.made = sets, places, tree, {}
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.made:
+            begin = self.tree.levels[0][4]
+            members = [self.sets[k] for k in self.places[self.tree.order[begin[i] : begin[i + 1]]]]
+            elements, at = np.unique(np.concatenate(members), return_inverse=True)
+            bits = np.zeros((len(elements), -(-len(members) // 8)), np.uint8)
+            row = np.repeat(np.arange(len(members)), [len(m) for m in members])
+            for r in range(len(members)):
+                bits[at[row == r], r >> 3] |= np.uint8(128 >> (r & 7))
+            self.made[i] = elements, bits
+        return self.made[i]
+
 
-    Enough links to connect all that are connected: pairs already in one component are not verified.
+def tree_links(sets: list[np.ndarray], ids: np.ndarray, cfg: JoinConfig, split: int | None = None, weights: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest of links between sets by dual traversal, and the weight of the sets that each is linked with.
+
+    With ``split``, only between the first ``split`` sets and the others. Without
+    ``weights``, pairs already in one component are not verified, and nothing is
+    counted.
     """
     parent = np.arange(len(sets))  # component of each set, renamed at every link
+    linked = np.zeros(len(sets), np.int64)
     left = np.arange(len(sets)) if split is None else np.arange(split)
     right = left if split is None else np.arange(split, len(sets))
     if not len(left) or not len(right):
-        return []
+        return [], linked
     a = Tree([sets[i] for i in left], cfg)
     b = a if split is None else Tree([sets[i] for i in right], cfg)
+    in_a = Leaves(sets, left, a)
+    in_b = in_a if a is b else Leaves(sets, right, b)
+    sizes = np.array([len(s) for s in sets], np.int64)
     links: list[tuple[int, int]] = []
 
+    def linked_pair(u: int, v: int) -> bool:
+        s, t = (sets[u], sets[v]) if len(sets[u]) <= len(sets[v]) else (sets[v], sets[u])
+        at = np.searchsorted(t, s)
+        both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
+        return bool(both) and 100 * both >= cfg.percent * (len(s) + len(t) - both)
+
     def leaves(i: int, j: int) -> None:
         x, y = slice(a.levels[0][4][i], a.levels[0][4][i + 1]), slice(b.levels[0][4][j], b.levels[0][4][j + 1])
         m, n = left[a.order[x]], right[b.order[y]]
@@ -241,16 +292,31 @@ def tree_links(sets: list[np.ndarray], ids: np.ndarray, cfg: JoinConfig, split:
         common = np.bitwise_count(a.bits[x][:, None, :] & b.bits[y][None, :, :]).sum(axis=2).astype(np.int64)
         # A bit that only one set has stands for an element that only it has.
         most = np.minimum(sm - (a.ones[x][:, None] - common), sn - (b.ones[y][None, :] - common))
-        p, q = np.nonzero((most >= _needed(sm, sn, cfg.percent)) & (parent[m][:, None] != parent[n][None, :]))
-        for u, v in zip(m[p], n[q], strict=True):
-            if parent[u] == parent[v]:
-                continue
-            s, t = (sets[u], sets[v]) if len(sets[u]) <= len(sets[v]) else (sets[v], sets[u])
-            at = np.searchsorted(t, s)
-            both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-            if both and 100 * both >= cfg.percent * (len(s) + len(t) - both):
-                links.append((int(ids[u]), int(ids[v])))
-                parent[parent == parent[v]] = parent[u]
+        asked = most >= _needed(sm, sn, cfg.percent)
+        if weights is None:
+            for p, q in zip(*np.nonzero(asked & (parent[m][:, None] != parent[n][None, :])), strict=True):
+                if parent[m[p]] != parent[n[q]] and linked_pair(m[p], n[q]):
+                    links.append((int(ids[m[p]]), int(ids[n[q]])))
+                    parent[parent == parent[n[q]]] = parent[m[p]]
+            return
+        if a is b and i == j:
+            asked = np.triu(asked, 1)
+        p, q = np.nonzero(asked)
+        if not len(p):
+            return
+        if len(p) <= 4:
+            ok = np.array([linked_pair(u, v) for u, v in zip(m[p], n[q], strict=True)])
+        else:
+            both = _overlaps(in_a[i], in_b[j])[p, q]
+            ok = (both > 0) & (100 * both >= cfg.percent * (sizes[m[p]] + sizes[n[q]] - both))
+        u, v = m[p[ok]], n[q[ok]]
+        np.add.at(linked, u, weights[v])
+        np.add.at(linked, v, weights[u])
+        apart = parent[u] != parent[v]
+        for c, d in zip(u[apart], v[apart], strict=True):
+            if parent[c] != parent[d]:
+                links.append((int(ids[c]), int(ids[d])))
+                parent[parent == parent[d]] = parent[c]
 
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
@@ -262,7 +328,7 @@ def tree_links(sets: list[np.ndarray], ids: np.ndarray, cfg: JoinConfig, split:
         if most < -(-cfg.percent * int(lo[i] + lo_b[j]) // (100 + cfg.percent)) or 100 * hi[i] < cfg.percent * lo_b[j] or 100 * hi_b[j] < cfg.percent * lo[i]:
             continue
         one = parent[left[a.order[at_a[i]]]]
-        if (parent[left[a.order[at_a[i] : at_a[i + 1]]]] == one).all() and (parent[right[b.order[at_b[j] : at_b[j + 1]]]] == one).all():
+        if weights is None and (parent[left[a.order[at_a[i] : at_a[i + 1]]]] == one).all() and (parent[right[b.order[at_b[j] : at_b[j + 1]]]] == one).all():
             continue
         if la == 0 and lb == 0:
             leaves(i, j)
@@ -270,10 +336,12 @@ def tree_links(sets: list[np.ndarray], ids: np.ndarray, cfg: JoinConfig, split:
         mine = [(la - 1, k) for k in range(i * cfg.fan, min((i + 1) * cfg.fan, len(a.levels[la - 1][1])))] if la >= lb and la else [(la, i)]
         yours = [(lb - 1, k) for k in range(j * cfg.fan, min((j + 1) * cfg.fan, len(b.levels[lb - 1][1])))] if lb >= la and lb else [(lb, j)]
         stack += [(x, k, y, m) for x, k in mine for y, m in yours if a is not b or (x, k) <= (y, m) or x != y]
-    return links
+    return links, linked
 
 
 def _block_links(cfg: JoinConfig, pair: bool):
+    """Rows (a, b, 0) of a forest of links and, for each class a with links, (a, a, documents linked with)."""
+
     def run(rows: pa.Table) -> pa.Table:
         side = np.asarray(rows.column("side").to_numpy())
         ids = rows.column("cls").to_numpy()
@@ -281,8 +349,12 @@ def _block_links(cfg: JoinConfig, pair: bool):
         # A pivot may be a member too, and rows of a repeated doc_id give a set twice.
         order = np.concatenate([np.flatnonzero(side == x)[np.unique(ids[side == x], return_index=True)[1]] for x in (0, 1)])
         split = int((side[order] == 0).sum()) if pair else None
-        links = tree_links([np.frombuffer(data[i], "<u8") for i in order], ids[order], cfg, split)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        weights = rows.column("size").to_numpy()[order] if cfg.every_link else None
+        links, linked = tree_links([np.frombuffer(data[i], "<u8") for i in order], ids[order], cfg, split, weights)
+        some = np.flatnonzero(linked)
+        a, b = ([x[k] for x in links] for k in (0, 1))
+        own = ids[order][some].tolist()
+        return pa.table({"a": pa.array(a + own, pa.int64()), "b": pa.array(b + own, pa.int64()), "n": pa.array([0] * len(a) + linked[some].tolist(), pa.int64())})
 
     return run
 
@@ -311,7 +383,11 @@ def _in_play(shared: DataFrame, classes: DataFrame, cfg: JoinConfig, folder: str
 
 
 def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of (doc_id, text); ``folder`` takes the stage tables.
+    """doc_id, n_shingles, component_id, class_id, n_links of each row of (doc_id, text); ``folder`` takes the stage tables.
+
+    class_id names the set of shingles (null without shingles): rows of one class
+    are exact copies. n_links is the number of other rows a row is linked with,
+    copies of its class included; it is null without ``every_link``.
 
     Texts without words and null texts have no shingles, link with nothing and
     are components of their own, as are rows with a null doc_id that link with
@@ -330,17 +406,17 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     discard(spark, folder, "digest")
 
     # Blocks: each class goes to the pivot that it shares most elements with, itself if there is none of fitting size.
-    classes = written(docs.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), folder, "classes")
+    classes = written(docs.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("size")), folder, "classes")
     for step in range(2):
         shared = _in_play(shared, classes, cfg, folder, f"shared-{step}")
     discard(spark, folder, "shared", "shared-0-kept", "shared-0", "shared-1-kept")
     met = shared.groupBy("cls", "pivot").agg(F.count("*").alias("met"))
-    met = met.join(classes.select("cls", "n"), "cls").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
+    met = met.join(classes.select("cls", "n", "size"), "cls").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
     fits = (100 * F.least("n", "pivot_n") >= cfg.percent * F.greatest("n", "pivot_n")) & (F.col("cls") != F.col("pivot"))
-    best = met.groupBy("cls").agg(F.max("n").alias("n"), F.max(F.when(fits, F.struct("met", "pivot"))).alias("best"))
-    member = best.select("cls", "n", F.coalesce("best.pivot", "cls").alias("pivot"))
+    best = met.groupBy("cls").agg(F.max("n").alias("n"), F.max("size").alias("size"), F.max(F.when(fits, F.struct("met", "pivot"))).alias("best"))
+    member = best.select("cls", "n", "size", F.coalesce("best.pivot", "cls").alias("pivot"))
     parts = member.groupBy("pivot").agg(F.ceil(F.sum("n") / cfg.block).alias("parts"))
-    member = member.join(parts, "pivot").select("cls", "n", "pivot", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
+    member = member.join(parts, "pivot").select("cls", "n", "size", "pivot", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
     member = written(member, folder, "members")
 
     # Full sets of the classes in play, each from one document of its class.
@@ -348,14 +424,21 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     texts = d.join(light(source, cfg.light_rows), F.col("key") == F.col("_key")).select("cls", "text")
     sets = written(texts.mapInArrow(_sets(cfg), "cls long, hashes binary"), folder, "sets")
 
-    # Round A: members of a block and its pivot.
-    guests = member.filter("cls <> pivot").select("pivot", "part").distinct().select(F.col("pivot").alias("cls"), "pivot", "part")
-    rows = member.select("cls", "pivot", "part").unionByName(guests).withColumn("side", F.lit(0)).join(sets, "cls")
-    links_a = written(rows.groupBy("pivot", "part").applyInArrow(_block_links(cfg, False), "a long, b long"), folder, "links-a")
-    near = components(links_a, folder, "near")
-
-    # Round B: classes that share enough elements with other components, then pairs of blocks that share enough.
-    m = member.join(near, F.col("cls") == F.col("node"), "left").select("cls", "n", F.struct("pivot", "part").alias("block"), F.coalesce("component", "cls").alias("component"))
+    # Round A: members of a block and, to connect them, its pivot.
+    rows = member.select("cls", "size", "pivot", "part")
+    if not cfg.every_link:
+        rows = rows.unionByName(member.filter("cls <> pivot").select("pivot", "part").distinct().select(F.col("pivot").alias("cls"), F.lit(0).cast("long").alias("size"), "pivot", "part"))
+    rows = rows.withColumn("side", F.lit(0)).join(sets, "cls")
+    links = written(rows.groupBy("pivot", "part").applyInArrow(_block_links(cfg, False), "a long, b long, n long"), folder, "links-a")
+
+    # Round B: classes that share enough elements with other blocks (or components), then pairs of blocks that share enough.
+    block = F.struct("pivot", "part")
+    if cfg.every_link:
+        m = member.select("cls", "n", "size", block.alias("block"), block.alias("component"))
+    else:
+        near = components(links.select("a", "b"), folder, "near")
+        m = member.join(near, F.col("cls") == F.col("node"), "left").select("cls", "n", "size", block.alias("block"), F.coalesce("component", "cls").alias("component"))
+        links = near.select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(0).cast("long").alias("n"))
     t = shared.select("token", "cls").join(m, "cls")
     least = lambda n: 1 + F.floor(F.ceil(n * cfg.percent / 100) / cfg.extra)
     for step in range(2):
@@ -369,18 +452,26 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     fitting = (100 * F.col("n1") >= cfg.percent * F.col("o_n0")) & (100 * F.col("o_n1") >= cfg.percent * F.col("n0"))
     pairs = side.join(other, "token").filter((F.col("block") < F.col("o_block")) & apart & fitting).groupBy("block", "o_block").agg(F.count(F.lit(1)).alias("met"), F.least(F.min("n0"), F.min("o_n0")).alias("_n"))
     pairs = written(pairs.filter(F.col("met") >= 1 + F.floor(F.col("_n") / cfg.extra)).select("block", "o_block"), folder, "pairs")
-    open_members = t.select("cls", "block").distinct()
-    first = pairs.join(open_members, "block").select("block", "o_block", "cls", F.lit(0).alias("side"))
-    second = pairs.join(open_members.withColumnRenamed("block", "o_block"), "o_block").select("block", "o_block", "cls", F.lit(1).alias("side"))
+    open_members = t.select("cls", "size", "block").distinct()
+    first = pairs.join(open_members, "block").select("block", "o_block", "cls", "size", F.lit(0).alias("side"))
+    second = pairs.join(open_members.withColumnRenamed("block", "o_block"), "o_block").select("block", "o_block", "cls", "size", F.lit(1).alias("side"))
     rows = first.unionByName(second).join(sets, "cls")
-    links_b = written(rows.groupBy("block", "o_block").applyInArrow(_block_links(cfg, True), "a long, b long"), folder, "links-b")
-    joined = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links_b), folder, "joined")
-
-    out = docs.select("doc_id", "n_shingles", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"))
+    links_b = written(rows.groupBy("block", "o_block").applyInArrow(_block_links(cfg, True), "a long, b long, n long"), folder, "links-b")
+    links = links.unionByName(links_b)
+    joined = components(links.select("a", "b"), folder, "joined").withColumnRenamed("node", "cls")
+    if cfg.every_link:
+        linked = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))
+        found = classes.select("cls", "size").join(joined, "cls", "left").join(linked, "cls", "left")
+        n_links = F.when(F.col("cls").isNull(), 0).otherwise(F.col("size") - 1 + F.coalesce("linked", F.lit(0)))
+    else:
+        found, n_links = joined, F.lit(None)
+
+    out = docs.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"), F.col("cls").alias("class_id"), n_links.cast("long").alias("n_links"))
     out = written(out, folder, "labelled")
     discard(spark, folder, "sets", "shared-1", "docs", "classes", "several-0", "several-1", "open-0", "open-1")
     least_id = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id", "n_links")
 
 
 def one_of_each(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
@@ -389,7 +480,7 @@ def one_of_each(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig(
     Of rows that repeat a doc_id one stays. Rows with a null doc_id cannot stand
     for a group and stay as they are.
     """
-    c = link_components(documents, folder, cfg)
+    c = link_components(documents, folder, replace(cfg, every_link=False))
     keep = written(c.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), folder, "keep")
     found = lambda rows: documents.join(light(keep.filter(rows).select("_kept"), cfg.light_rows), F.col("doc_id") == F.col("_kept"), "left_semi")
     return found("_rows = 1").unionByName(found("_rows > 1").dropDuplicates(["doc_id"])).unionByName(documents.filter("doc_id is null"))

@@ -40,6 +40,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_jaccard_links(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with class and number of links of each document, which the SQL of the former does not have."""
     return jaccard_join.link_components(table(spark, sf_dir, "documents"), scratch_dir(spark))
 
 
@@ -82,7 +87,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     ops = (
-        op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
+        op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op4_jaccard_links, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
