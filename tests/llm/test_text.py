@@ -282,6 +282,28 @@ def test_long_texts_are_cut_between_words():
     assert cut == [s.tolist() for s in jaccard_join.shingle_sets(pa.array(texts), 5)]
 
 
+def test_words_of_any_length_have_one_hash():
+    import pyarrow as pa
+
+    from wavefold.llm import words
+
+    long = "".join(chr(97 + i * i % 23) for i in range(200))
+    texts = [f"a b c d {long}", long, f"{long} {'y' * 64} {'Z' * 65} tail", f"one {'q' * 40} two {long}漢 three four five " + "six " * 40, "k" * 64, "w " * 31 + "v" * 63 + " x"]
+
+    def found():
+        sets = [s.tolist() for s in jaccard_join.shingle_sets(pa.array(texts), 5)]
+        letters = [(w.hashes.tolist(), w.prefixes(6)[1].tolist()) for t in texts for *_, w in words.word_batches(pa.array([t]), words.BY_LETTER)]
+        return sets, sum((h for h, _ in letters), []), sum((p for _, p in letters), [])
+
+    whole, old = found(), words.PIECE
+    assert len(whole[0][0]) == 1
+    try:
+        words.PIECE = 64
+        assert found() == whole
+    finally:
+        words.PIECE = old
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links, scratch_dir(spark), "c").collect()}

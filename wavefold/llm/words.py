@@ -16,7 +16,7 @@ import pyarrow as pa
 #: An odd factor and its inverse modulo 2^64.
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
-#: Bytes read at once; a text of more is cut between words.
+#: Bytes read at once; a text of more is cut between words, and a word of more is summed in pieces.
 PIECE = 1 << 19
 
 
@@ -62,6 +62,20 @@ class Words:
             np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=self.sums[1:])
         self.hashes = self._between(self.starts, self.ends)
 
+    @classmethod
+    def of_long(cls, data: np.ndarray, is_word: np.ndarray) -> Words:
+        """One word of more than a piece: its polynomial sum is carried from piece to piece."""
+        out = cls(data[:PIECE], np.array([0, PIECE]), is_word)
+        total, factor, step = 0, 1, pow(_FACTOR, PIECE, 1 << 64)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(data), PIECE):
+                part = LOWER[data[at : at + PIECE]].astype(np.uint64) + np.uint64(1)
+                total += factor * int((part * _UP[: len(part)]).sum(dtype=np.uint64))
+                factor = factor * step % (1 << 64)
+            out.ends = np.array([len(data)])
+            out.hashes = mix64(np.array([total % (1 << 64)], np.uint64) + np.uint64(len(data)) * np.array([0xD6E8FEB86659FD93], np.uint64))
+        return out
+
     def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.sums[b] - self.sums[a]) * _DOWN[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -74,12 +88,17 @@ class Words:
 
 
 def _cut(data: np.ndarray, is_word: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in pieces that end between words; a word longer than a piece is cut."""
+    """A long text in pieces that end between words; a word longer than a piece is a piece of its own."""
     at = 0
     while len(data) - at > PIECE:
-        part = data[at : at + PIECE]
-        gaps = np.flatnonzero(~is_word[part[-(1 << 16) :]])
-        end = at + PIECE - (len(part[-(1 << 16) :]) - 1 - int(gaps[-1]) if len(gaps) else 0)
+        gaps = np.flatnonzero(~is_word[data[at : at + PIECE]])
+        if len(gaps):
+            end = at + int(gaps[-1]) + 1
+        else:
+            end = at + PIECE
+            while end < len(data) and not len(gaps):
+                gaps = np.flatnonzero(~is_word[data[end : end + PIECE]])
+                end += int(gaps[0]) if len(gaps) else len(data[end : end + PIECE])
         yield data[at:end]
         at = end
     yield data[at:]
@@ -107,6 +126,6 @@ def word_batches(texts: pa.Array, is_word: np.ndarray) -> Iterator[tuple[int, in
             yield at, end - at, np.searchsorted(w.starts, edges), w
         else:
             for piece in _cut(part, is_word):
-                w = Words(piece, np.array([0, len(piece)]), is_word)
+                w = Words(piece, np.array([0, len(piece)]), is_word) if len(piece) <= PIECE else Words.of_long(piece, is_word)
                 yield at, 1, np.array([0, len(w.starts)]), w
         at = end
