@@ -63,3 +63,15 @@ def test_mfcc_engines_agree(spark):
         b[r["clip_id"]][r["coef"], r["frame"]] = r["v"]
     for k in clips:
         assert np.allclose(a[k], b[k], atol=1e-6), k
+
+
+def test_ema_of_long_clips(spark):
+    rng = np.random.default_rng(4)
+    for alpha, n in ((0.05, 50_000), (0.9, 3000), (1.0, 50), (1e-5, 5000)):
+        v = rng.normal(size=n) + 3
+        want, e = np.zeros(n), v[0]
+        for i in range(n):
+            e = (1 - alpha) * e + alpha * v[i] if i else e
+            want[i] = e
+        got = np.array([r["ema"] for r in signal.ema_baseline(clip(spark, v), "clip_id", alpha).orderBy("n").collect()])
+        assert len(got) == n and np.allclose(got, want, rtol=1e-9, atol=1e-12), alpha

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,14 +208,27 @@ def focus(df: DataFrame, key: str, half: int, length: int, hop: int, threshold_d
 
 
 def ema_baseline(df: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
-    """Exponential moving average e = (1 - alpha) * e + alpha * v from the first sample on, in closed form.
+    """Exponential moving average e = (1 - alpha) * e + alpha * v from the first sample on, for clips of any length.
 
-    e_n = (1 - alpha)^n * (v_0 + alpha * sum over 1..n of v_k / (1 - alpha)^k), a
-    running sum; for windows of serving length (some hundreds of samples).
+    Inside a block, whose length keeps (1 - alpha)^-n below e^20, it is a running
+    sum in closed form. A block starts from the decayed values at the ends of the
+    75 blocks before it; what is older has weights below e^-1480, where doubles end.
     """
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    term = F.col("v") * F.pow(F.lit(1 - alpha), -F.col("n")) * F.when(F.col("n") == 0, 1.0).otherwise(alpha)
-    return df.select(key, "n", "v", (F.pow(F.lit(1 - alpha), F.col("n")) * F.sum(term).over(w)).alias("ema"))
+    q = 1 - alpha
+    size = 1 if q <= 0 else 1 << 40 if q >= 1 else max(1, int(20 / -math.log(q)))
+    power = lambda n: F.pow(F.lit(float(q)), n)
+    d = df.withColumn("_b", F.floor(F.col("n") / size)).withColumn("_k", F.col("n") % size)
+    x = F.col("v") * F.when(F.col("n") == 0, 1.0).otherwise(alpha)
+    if size == 1:
+        local = x
+    else:
+        local = power(F.col("_k")) * F.sum(x * power(-F.col("_k"))).over(Window.partitionBy(key, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_e", local)
+    last = d.groupBy(key, "_b").agg(F.max_by("_e", "_k").alias("_l"), F.max("_k").alias("_k")).select(key, "_b", (F.col("_l") * power(size - 1 - F.col("_k"))).alias("_l"))
+    before = F.collect_list(F.struct("_b", "_l")).over(Window.partitionBy(key).orderBy("_b").rangeBetween(-75, -1))
+    carry = F.aggregate(before, F.lit(0.0), lambda s, x: s + x["_l"] * power((F.col("_b") - x["_b"] - 1) * size))
+    last = last.select(key, "_b", carry.alias("_c"))
+    return d.join(last, [key, "_b"]).select(key, "n", "v", (F.col("_e") + power(F.col("_k") + 1) * F.col("_c")).alias("ema"))
 
 
 def roll(df: DataFrame, frame: str, shift: int, total: int) -> DataFrame:
