@@ -75,3 +75,53 @@ def test_ema_of_long_clips(spark):
             want[i] = e
         got = np.array([r["ema"] for r in signal.ema_baseline(clip(spark, v), "clip_id", alpha).orderBy("n").collect()])
         assert len(got) == n and np.allclose(got, want, rtol=1e-9, atol=1e-12), alpha
+
+
+def plain_splits(v, rate, scale):
+    """The search over silence settings, one by one."""
+    found = []
+    for ms in signal.SILENCES_MS:
+        m, step = max(1, round(ms * rate / 1000)), max(1, round(5 * rate / 1000))
+        for delta in signal.DELTAS_DB:
+            t = np.sqrt(np.mean(v * v)) * 10 ** (delta * scale / 20)
+            starts = [i for i in range(len(v) - m + 1) if (i % step == 0 or i == len(v) - m) and np.sqrt(np.mean(v[i : i + m] ** 2)) <= t]
+            quiet = []
+            for i in starts:
+                if quiet and i <= quiet[-1][1]:
+                    quiet[-1][1] = i + m
+                else:
+                    quiet.append([i, i + m])
+            cuts = [0, *[x for q in quiet for x in q], len(v)]
+            spans = [(a * 1000 / rate, b * 1000 / rate) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            merged = []
+            for a, b in [x for x in spans if x[1] - x[0] >= 220]:
+                if merged and a - merged[-1][1] <= 55:
+                    merged[-1][1] = b
+                else:
+                    merged.append([a, b])
+            if merged:
+                d, n = [b - a for a, b in merged], len(merged)
+                score = (0 if 9 <= n <= 11 else 10_000 + abs(n - 10) * 2_000) + 6 * sum(max(0, 240 - x) for x in d) + 2 * sum(max(0, x - 2200) for x in d) + max(d) - min(d)
+                found.append(((score, abs(n - 10), max(d) - min(d), ms, -delta), (ms, delta * scale, n, score)))
+    return min(found)[1]
+
+
+def test_split_search_over_all_settings(spark):
+    rng, rate = np.random.default_rng(6), 1000
+    clips = {}
+    for k in range(3):
+        level = np.concatenate([x for _ in range(10 - k) for x in (np.full(rng.integers(250, 500), 1.0), np.full(rng.integers(70, 300), 10 ** (-rng.uniform(8, 25) / 20)))])
+        clips[k] = rng.normal(size=len(level)) * level
+    d = spark.createDataFrame([(k, i, float(x)) for k, v in clips.items() for i, x in enumerate(v)], "clip_id long, n int, v double")
+    got = {r["clip_id"]: r for r in signal.best_splits(d, "clip_id", rate).collect()}
+    for k, v in clips.items():
+        ms, delta, n, score = plain_splits(v, rate, 1.0)
+        r = got[k]
+        assert (r["min_silence_ms"], r["delta_db"], r["n"]) == (ms, delta, n) and abs(r["score"] - score) < 1e-6
+
+
+def test_segment_grid_is_whole(spark):
+    assert signal.segment_grid(spark).distinct().count() == 455
+    burst = np.where((np.arange(6000) // 600) % 2 == 0, 1.0, 10 ** (-30.5 / 20))
+    best = signal.plan_segments(clip(spark, burst), "clip_id", None, 50, 25, 1000, 5).collect()[0]
+    assert best["n"] == 5 and best["threshold_db"] == -30.0

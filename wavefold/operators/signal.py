@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavefold.operators.lineage import cut
@@ -84,13 +84,14 @@ def pre_emphasis(df: DataFrame, key: str, a: float = 0.97) -> DataFrame:
     return df.select(key, "n", (F.col("v") - a * F.coalesce(before, F.lit(0.0))).alias("v"))
 
 
-def merge_spans(spans: DataFrame, key: str, gap: Column | int) -> DataFrame:
+def merge_spans(spans: DataFrame, key: str | list[str], gap: Column | int) -> DataFrame:
     """Gaps and islands: spans (a, b) that start within ``gap`` of the running end join."""
-    order = Window.partitionBy(key).orderBy("a", "b")
+    keys = [key] if isinstance(key, str) else key
+    order = Window.partitionBy(*keys).orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     d = spans.withColumn("_new", F.when(reach.isNull() | (F.col("a") - reach > gap), 1).otherwise(0))
     d = d.withColumn("_island", F.sum("_new").over(order))
-    return d.groupBy(key, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
+    return d.groupBy(*keys, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
 
 
 def detect_segments(rms: DataFrame, key: list[str], length: int, hop: int, threshold_db: Column, gap: Column, pad: Column, least: int) -> DataFrame:
@@ -122,14 +123,30 @@ def score_segments(segments: DataFrame, df: DataFrame, key: str, sample_rate: in
     return d.withColumn("score", (F.coalesce("_sb", F.lit(0.0)) - F.coalesce("_sa", F.lit(0.0))) / sample_rate).drop("_sa", "_sb")
 
 
-def plan_segments(df: DataFrame, key: str, grid: DataFrame, length: int, hop: int, sample_rate: int, target: int, prefer: tuple[float, float] = (-32.0, 0.12)) -> DataFrame:
+#: The whole grids of the segment and split searches.
+THRESHOLDS_DB = tuple(float(-x) for x in range(26, 39))
+GAPS_S = (0.10, 0.12, 0.15, 0.18, 0.20, 0.25, 0.30)
+PADS_S = (0.0, 0.05, 0.10, 0.15, 0.20)
+SILENCES_MS = (60, 80, 100, 120, 140, 160, 180, 200, 220, 260, 300, 340, 380, 420)
+DELTAS_DB = (-6.0, -8.0, -10.0, -12.0, -14.0, -16.0, -18.0, -20.0, -22.0, -24.0)
+
+
+def segment_grid(spark: SparkSession, scale: float = 1.0) -> DataFrame:
+    """All 13 x 7 x 5 plans (threshold_db, gap_s, pad_s); ``scale`` fits thresholds to clips of another range of levels."""
+    each = lambda values: F.explode(F.array(*[F.lit(x) for x in values]))
+    return spark.range(1).select(each([x * scale for x in THRESHOLDS_DB]).alias("threshold_db")).withColumn("gap_s", each(GAPS_S)).withColumn("pad_s", each(PADS_S))
+
+
+def plan_segments(df: DataFrame, key: str, grid: DataFrame | None, length: int, hop: int, sample_rate: int, target: int, prefer: tuple[float, float] = (-32.0, 0.12)) -> DataFrame:
     """The best plan of each clip: its grid row and number of segments.
 
-    ``grid`` has threshold_db, gap_s and pad_s (a few hundred rows, broadcast).
+    ``grid`` has threshold_db, gap_s and pad_s (a few hundred rows, broadcast);
+    None is the whole ``segment_grid``.
     Frame levels are computed once; plans are compared by a struct in the order:
     long segments, short segments, too few, distance to the target, longest,
     distance to the preferred threshold and gap, padding.
     """
+    grid = segment_grid(df.sparkSession) if grid is None else grid
     total = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     rms = frame_rms(df, key, length, hop).join(total, key).crossJoin(F.broadcast(grid))
     keys = [key, "threshold_db", "gap_s", "pad_s"]
@@ -149,6 +166,41 @@ def plan_splits(spans: DataFrame, key: list[str], target: int = 10, low: int = 9
     return g.withColumn("score", (penalty + F.col("short") * 6 + F.col("long") * 2 + F.col("most") - F.col("least")).cast("double"))
 
 
+def split_spans(df: DataFrame, key: str, sample_rate: int, scale: float = 1.0, step_ms: int = 5, least_ms: int = 220, gap_ms: int = 55) -> DataFrame:
+    """(key, min_silence_ms, delta_db, a, b): spans in ms of all 14 x 10 silence settings.
+
+    A window of min_silence_ms whose rms is at most the clip's rms plus delta_db is
+    silent. What lies between silences and lasts ``least_ms`` is a span; spans up
+    to ``gap_ms`` apart join. ``scale`` fits delta_db to clips of another range of levels.
+    """
+    samples = lambda ms: max(1, round(ms * sample_rate / 1000))
+    order, whole = Window.partitionBy(key).orderBy("n"), Window.partitionBy(key)
+    v2 = F.col("v") * F.col("v")
+    d = df.withColumn("_s", F.sum(v2).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_total", F.count(F.lit(1)).over(whole)).withColumn("_rms", F.sqrt(F.avg(v2).over(whole)))
+    before = F.coalesce(F.lag("_s").over(order), F.lit(0.0))
+    windows = F.array(*[F.struct(F.lit(ms).alias("min_silence_ms"), F.lit(samples(ms)).alias("_m"), (F.lead("_s", samples(ms) - 1).over(order) - before).alias("_w")) for ms in SILENCES_MS])
+    d = d.select(key, "n", "_total", "_rms", windows.alias("_x")).withColumn("_x", F.explode("_x")).select(key, "n", "_total", "_rms", "_x.*")
+    d = d.filter(F.col("_w").isNotNull() & ((F.col("n") % samples(step_ms) == 0) | (F.col("n") == F.col("_total") - F.col("_m"))))
+    d = d.withColumn("delta_db", F.explode(F.array(*[F.lit(x * scale) for x in DELTAS_DB])))
+    silent = d.filter(F.sqrt(F.greatest(F.col("_w"), F.lit(0.0)) / F.col("_m")) <= F.col("_rms") * db_to_amplitude(F.col("delta_db")))
+    keys = [key, "min_silence_ms", "delta_db"]
+    quiet = merge_spans(silent.select(*keys, F.col("n").cast("long").alias("a"), (F.col("n") + F.col("_m")).cast("long").alias("b")), keys, max(0, samples(step_ms) - samples(SILENCES_MS[0])))
+    total = df.groupBy(key).agg(F.count(F.lit(1)).alias("a"))
+    end = total.withColumn("min_silence_ms", F.explode(F.array(*[F.lit(x) for x in SILENCES_MS]))).withColumn("delta_db", F.explode(F.array(*[F.lit(x * scale) for x in DELTAS_DB])))
+    quiet = quiet.unionByName(end.select(*keys, "a", F.col("a").alias("b")))
+    last = F.coalesce(F.lag("b").over(Window.partitionBy(*keys).orderBy("a", "b")), F.lit(0))
+    ms = lambda c: c * 1000.0 / sample_rate
+    spans = quiet.select(*keys, ms(last).alias("_a"), ms(F.col("a")).alias("_b")).select(*keys, F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return merge_spans(spans.filter(F.col("b") - F.col("a") >= least_ms), keys, gap_ms)
+
+
+def best_splits(df: DataFrame, key: str, sample_rate: int, scale: float = 1.0, target: int = 10, low: int = 9, high: int = 11) -> DataFrame:
+    """The best of all silence settings for each clip: (key, min_silence_ms, delta_db, n, score); no row for clips without spans."""
+    p = plan_splits(split_spans(df, key, sample_rate, scale), [key, "min_silence_ms", "delta_db"], target, low, high)
+    rank = F.struct("score", F.abs(F.col("n") - target), F.col("most") - F.col("least"), "min_silence_ms", -F.col("delta_db"))
+    return p.groupBy(key).agg(F.min_by(F.struct("min_silence_ms", "delta_db", "n", "score"), rank).alias("p")).select(key, "p.*")
+
+
 def top_segments(segments: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` segments of highest score of each clip, in time order."""
     best = segments.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "start"))).filter(F.col("_r") <= n).drop("_r")

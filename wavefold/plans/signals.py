@@ -105,6 +105,17 @@ def w12(spark, d):
     return signal.plan_segments(T.clips(spark, d), "clip_id", _grid(spark), L, H, 50, 3, (-2.0, 0.12))
 
 
+_ALL = ", grid AS (SELECT t AS threshold_db, g AS gap_s, p AS pad_s FROM (SELECT unnest([%s]) AS t), (SELECT unnest([%s]) AS g), (SELECT unnest([%s]) AS p))" % tuple(
+    ", ".join(f"{x!r}::DOUBLE" for x in values) for values in ([x / 16 for x in signal.THRESHOLDS_DB], signal.GAPS_S, signal.PADS_S)
+)
+
+
+@query("w12_all_plans", _C + _FR + _ALL + _SEG + " SELECT clip_id, threshold_db, gap_s, pad_s, n, longest FROM pl QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY long, short, CASE WHEN n >= 3 THEN 0 ELSE 1 END, abs(n - 3), longest, abs(threshold_db + 2), abs(gap_s - 0.12), pad_s, threshold_db, gap_s) = 1")
+def w12_all(spark, d):
+    """All 455 plans, thresholds scaled to the clips' levels (-32 dB to -2 dB)."""
+    return signal.plan_segments(T.clips(spark, d), "clip_id", signal.segment_grid(spark, 1 / 16), L, H, 50, 3, (-2.0, 0.12))
+
+
 def _one_plan(spark, d):
     c = T.clips(spark, d)
     total = c.groupBy("clip_id").agg(F.count(F.lit(1)).alias("total"))
@@ -158,6 +169,12 @@ def w13(spark, d):
     return rounded(best.select("clip", "plan", "n", "score"), "score", digits=3)
 
 
+@query("w13_split_plans")
+def w13_plans(spark, d):
+    """All 140 silence settings, levels scaled to the clips' (-6 dB to -0.75 dB)."""
+    return rounded(signal.best_splits(T.clips(spark, d), "clip_id", 50, 1 / 8), "score", digits=3)
+
+
 @query(
     "w16_focus",
     _C + _FR + f""", lv AS (SELECT clip_id, count(*) AS total, sqrt(avg(v * v)) AS level FROM clips GROUP BY 1),
@@ -215,7 +232,7 @@ def m21(spark, d):
     """Long recordings to a fixed number of clips: best plan, its segments, cut or chosen to the target, scored."""
     c = T.clips(spark, d)
     total = c.groupBy("clip_id").agg(F.count(F.lit(1)).alias("total"))
-    plan = signal.plan_segments(c, "clip_id", _grid(spark), L, H, 50, 3, (-2.0, 0.12)).select("clip_id", "threshold_db", "gap_s", "pad_s")
+    plan = signal.plan_segments(c, "clip_id", signal.segment_grid(spark, 1 / 16), L, H, 50, 3, (-2.0, 0.12)).select("clip_id", "threshold_db", "gap_s", "pad_s")
     rms = signal.frame_rms(c, "clip_id", L, H).join(total, "clip_id").join(plan, "clip_id")
     seg = signal.detect_segments(rms, ["clip_id"], L, H, F.col("threshold_db"), F.round(F.col("gap_s") * 50), F.round(F.col("pad_s") * 50), 18)
     few = signal.fit_segment_count(seg.select("clip_id", F.col("start").cast("long"), F.col("end").cast("long")), c, "clip_id", 20, 3)
