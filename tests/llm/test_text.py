@@ -113,6 +113,23 @@ def test_html_text(spark):
     assert html_text.extract_text(d.limit(0)).collect() == []
 
 
+def test_marks_do_not_take_prose():
+    long = "A sentence of the article that goes on for quite some length, as prose does. " * 3
+    text = long.strip()
+    article = f"<article><h2 id='discussion'>Results and more</h2><p id='notice-period'>{long}</p><section id='related-work'><p>{long}</p></section><section id='discussion'><p>{long}</p></section></article>"
+    body = f"Results and more\n{text}\n{text}\n{text}"
+    links = "<a href=x>Other page</a> <a href=y>More pages</a>"
+    assert html_text.main_text(f"<body><nav>m</nav>{article}</body>") == body
+    for name in ("sidebar-right", "sidebar", "has-ad content promo-x"):
+        assert html_text.main_text(f"<body><nav>m</nav><div class='{name}'>{article}</div></body>") == body
+    assert html_text.main_text(f"<body>{article}<div class='comments'><article><p>{long}</p></article></div><div class='related-posts'>{links}</div></body>") == body
+    inner = article.replace("</article>", f"<div class='related-posts'>{links}</div></article>")
+    assert html_text.main_text(inner) == body
+    assert html_text.main_text(f"<body>{article}<nav>m</nav><article><p>Short one.</p></article><nav>m</nav></body>") == body + "\nShort one."
+    run = f"<p>{long}</p><p>{long}</p><div class='ad'>Buy</div><p>It ends with a short run here.</p><div class='ad'>Buy</div>"
+    assert html_text.main_text(f"<body>{run}</body>") == f"{text}\n{text}\nIt ends with a short run here."
+
+
 def test_html_of_driver_pages(spark, sf):
     import html
 
