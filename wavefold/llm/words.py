@@ -1,33 +1,27 @@
-"""Vectorised word hashes of Arrow text columns.
+"""Vectorised words of Arrow text columns and 64-bit names of them.
 
 A text is read as its UTF-8 bytes. A table of 256 entries says which bytes belong
-to words and how they are folded. Hashes are differences of running polynomial
-sums modulo 2^64, so every word (and every prefix of one) costs a few array
-operations, not a Python object.
+to words and how they are folded. A word is read eight bytes at a time, each mixed
+into its name, so most words cost one or two steps on an array, not a Python
+object; words of more than 64 bytes are named by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: An odd factor and its inverse modulo 2^64.
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-#: Bytes read at once; a text of more is cut between words, and a word of more is summed in pieces.
+#: Odd factors.
+_LENGTH, _STEP, _PREFIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes read at once; a text of more is cut between words, and a word of more is a piece of its own.
 PIECE = 1 << 19
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-
-
-_UP, _DOWN = _powers(_FACTOR, PIECE + 1), _powers(_INVERSE, PIECE + 1)
+#: The lowest 0 to 8 bytes of a number.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are named by BLAKE2.
+_SHORT = 64
 
 #: Space, and tab to carriage return, part words; A-Z are folded.
 BY_SPACE = np.ones(256, bool)
@@ -48,84 +42,83 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of one piece: hash of each, and access to the hashes of their prefixes."""
+    """Words of one piece: where they start and end, the name of each, and the names of their prefixes."""
 
-    def __init__(self, data: np.ndarray, edges: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, edges: np.ndarray, is_word: np.ndarray, fold: bool = True):
         word = is_word[data]
         new = np.zeros(len(data) + 1, bool)
         new[edges] = True
         before, after = np.r_[False, word[:-1]], np.r_[word[1:], False]
         self.starts = np.flatnonzero(word & (~before | new[:-1]))
         self.ends = np.flatnonzero(word & (~after | new[1:])) + 1
+        self.data = np.concatenate([LOWER[data] if fold else data, np.zeros(8, np.uint8)])
+        self._eights = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+        self.hashes = self._names()
+
+    def chunk(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Eight bytes of each word from its byte 8 * k on, as a number; bytes behind its end are 0."""
+        begin = self.starts[at] + 8 * k
+        return self._eights[np.minimum(begin, len(self._eights) - 1)] & _BYTES[np.clip(self.ends[at] - begin, 0, 8)]
+
+    def _names(self) -> np.ndarray:
+        n = self.ends - self.starts
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=self.sums[1:])
-        self.hashes = self._between(self.starts, self.ends)
-
-    @classmethod
-    def of_long(cls, data: np.ndarray, is_word: np.ndarray) -> Words:
-        """One word of more than a piece: its polynomial sum is carried from piece to piece."""
-        out = cls(data[:PIECE], np.array([0, PIECE]), is_word)
-        total, factor, step = 0, 1, pow(_FACTOR, PIECE, 1 << 64)
-        with np.errstate(over="ignore"):
-            for at in range(0, len(data), PIECE):
-                part = LOWER[data[at : at + PIECE]].astype(np.uint64) + np.uint64(1)
-                total += factor * int((part * _UP[: len(part)]).sum(dtype=np.uint64))
-                factor = factor * step % (1 << 64)
-            out.ends = np.array([len(data)])
-            out.hashes = mix64(np.array([total % (1 << 64)], np.uint64) + np.uint64(len(data)) * np.array([0xD6E8FEB86659FD93], np.uint64))
-        return out
-
-    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[b] - self.sums[a]) * _DOWN[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            h, k = mix64(self.chunk(0) + n.astype(np.uint64) * _LENGTH), 1
+            at = np.flatnonzero((n > 8) & (n <= _SHORT))
+            while len(at):
+                h[at] = mix64((h[at] ^ self.chunk(k, at)) * _STEP)
+                k += 1
+                at = at[n[at] > 8 * k]
+        for i in np.flatnonzero(n > _SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+        return h
 
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which words have more than ``n`` bytes, and the hash of the first ``n`` of each."""
+        """Which words have more than ``n`` bytes (8 at most), and a name of the first ``n`` of each."""
         at = np.flatnonzero(self.ends - self.starts > n)
-        a = self.starts[at]
-        return at, mix64(self._between(a, a + n) ^ np.uint64(n))
+        with np.errstate(over="ignore"):
+            return at, mix64((self.chunk(0, at) & _BYTES[n]) + np.uint64(n) * _PREFIX)
 
 
-def _cut(data: np.ndarray, is_word: np.ndarray) -> Iterator[np.ndarray]:
+def _cut(data: np.ndarray, is_word: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """A long text in pieces that end between words; a word longer than a piece is a piece of its own."""
     at = 0
-    while len(data) - at > PIECE:
-        gaps = np.flatnonzero(~is_word[data[at : at + PIECE]])
+    while len(data) - at > size:
+        gaps = np.flatnonzero(~is_word[data[at : at + size]])
         if len(gaps):
             end = at + int(gaps[-1]) + 1
         else:
-            end = at + PIECE
+            end = at + size
             while end < len(data) and not len(gaps):
-                gaps = np.flatnonzero(~is_word[data[end : end + PIECE]])
-                end += int(gaps[0]) if len(gaps) else len(data[end : end + PIECE])
+                gaps = np.flatnonzero(~is_word[data[end : end + size]])
+                end += int(gaps[0]) if len(gaps) else len(data[end : end + size])
         yield data[at:end]
         at = end
     yield data[at:]
 
 
-def word_batches(texts: pa.Array, is_word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, Words]]:
+def word_batches(texts: pa.Array, is_word: np.ndarray, fold: bool = True, piece: int | None = None) -> Iterator[tuple[int, int, np.ndarray, Words]]:
     """(first row, rows, words before each row and the end, Words); null is empty.
 
     A text of more than a piece comes alone, in several such tuples of one row.
     """
+    piece = piece or PIECE
     texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if texts.null_count:
         texts = texts.fill_null("")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, side="right")) - 1)
         part = data[offsets[at] : offsets[end]]
-        if len(part) <= PIECE:
+        if len(part) <= piece:
             edges = offsets[at : end + 1] - offsets[at]
-            w = Words(part, edges, is_word)
+            w = Words(part, edges, is_word, fold)
             yield at, end - at, np.searchsorted(w.starts, edges), w
         else:
-            for piece in _cut(part, is_word):
-                w = Words(piece, np.array([0, len(piece)]), is_word) if len(piece) <= PIECE else Words.of_long(piece, is_word)
+            for one in _cut(part, is_word, piece):
+                w = Words(one, np.array([0, len(one)]), is_word, fold)
                 yield at, 1, np.array([0, len(w.starts)]), w
         at = end
