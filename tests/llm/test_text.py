@@ -90,6 +90,26 @@ def test_token_files(spark):
     assert one.tolist() == ids_of(texts[301]).tolist()
 
 
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from wavefold.llm import words
+
+    tok = token_count.load(WORD)
+    texts = [*odd_texts(3000, 60, 9), "a\x00 a a\x00\x00", "\ufb1d x \u0130 y \u1100\u1161 z", " \u0301a", "q" * 17 + " " + "q" * 16 + " " + "é" * 40, "word. word, word! word", "</w> <|startoftext|>x"]
+    want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for names in (None, lambda w: (w.ends - w.starts).astype(np.uint64)):  # the second gives words of one length one name
+        if names:
+            monkeypatch.setattr(words.Words, "_names", names)
+        memory = token_output.WordIds(tok, 100)
+        assert memory.by_word and not token_output.encodes_by_word(token_count.load(BYTE))
+        for size in (7, 4000):
+            got = [x for i in range(0, len(texts), size) for x in token_output.encode_texts(memory, pa.array(texts[i : i + size]), 2)]
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    memory.by_word = False
+    assert [np.frombuffer(x, "<u2").tolist() for x in token_output.encode_texts(memory, pa.array(texts), 2)] == want
+
+
 def test_token_files_empty(spark):
     folder = scratch_dir(spark) + "/t"
     token_output.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder, token_output.TokenConfig(tokenizer=WORD))

@@ -5,8 +5,9 @@ File format: a Parquet table ``blocks`` that Spark's writer commits, and a table
 each other in ascending doc_id: ``payload`` has one zstandard frame for each
 document, all made with the shared dictionary named by ``dictionary_hash``;
 ``offsets[i]`` and ``offsets[i + 1]`` bound the frame of ``doc_ids[i]``, so a short
-document is read by one slice and one small decompression. (part, seq) orders the
-blocks, and no doc_id is in two parts. Ids are little-endian unsigned integers of
+document is read by one slice and one small decompression; ``first_id`` and
+``last_id`` bound the ids of a block, so the files' statistics lead to it. (part,
+seq) orders the blocks. Ids are little-endian unsigned integers of
 ``width`` bytes. The dictionary is trained on the serialized ids of a bounded
 sample of documents; it shapes the size of the files only.
 """
@@ -14,10 +15,12 @@ sample of documents; it shapes the size of the files only.
 from __future__ import annotations
 
 import hashlib
-import unicodedata
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavefold.llm.token_count import Memory, _memory, byte_letters, load
+from wavefold.llm.token_count import load
+from wavefold.llm.words import BY_SPACE, Words, word_batches
 
 
 @dataclass(frozen=True)
@@ -49,70 +53,161 @@ def id_width(tokenizer) -> int:
     return 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def _direct_ids(tokenizer, width: int):
-    """Serialized ids of a word of Latin letters, a comma or full stop behind it or not, from the library's model alone."""
-    model = tokenizer.model
-    marks = {c: b"".join(t.id.to_bytes(width, "little") for t in model.tokenize(c)) for c in ".,"}
+#: What may stand in a tokenizer that encodes the words between ASCII white space on their own (fixed values).
+_NORMALIZERS = frozenset(("NFC", "NFKC", "Lowercase", "Replace"))
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def of(letters: str) -> bytes | None:
-        small = letters.lower()
-        w = byte_letters(small) if small.isalpha() and max(letters, default="") < "\u0250" and (letters.isascii() or unicodedata.is_normalized("NFC", letters)) else None
-        return None if w is None else b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(w)])
 
-    def ids(word: str) -> bytes | None:
-        if word[-1] in marks:
-            core = of(word[:-1])
-            return None if core is None else core + marks[word[-1]]
-        return of(word)
+def encodes_by_word(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words between ASCII white space, one after the other.
 
-    return ids
-
-
-def encode_texts(tokenizer, memory: Memory, texts: list[str], cfg: TokenConfig, width: int) -> list[bytes]:
-    """Serialized ids of each text, the end id included.
-
-    The vocabulary drops white space between words and has word ends, so words
-    between white space are encoded on their own, each once. Texts with
-    separators that not all libraries take for white space are encoded whole.
+    So it is where the pre-tokenizer drops white space, no match of it crosses
+    any, the normalizer leaves it where it is, and no special string holds or takes
+    any. Other tokenizers get whole texts.
     """
-    kind, end = f"<u{width}", cfg.end_id.to_bytes(width, "little")
-    out: list[bytes] = [b""] * len(texts)
-    words: dict[int, list[str]] = {}
-    for i, t in enumerate(texts):
-        if any(c in t for c in "\x1c\x1d\x1e\x1f\x85"):
-            out[i] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes() + end
+    j = json.loads(tokenizer.to_str())
+    steps = j["normalizer"] or {}
+    steps = steps.get("normalizers", [steps] if steps else [])
+    plain = all(s["type"] in _NORMALIZERS and (s["type"] != "Replace" or (s["pattern"], s["content"]) == ({"Regex": r"\s+"}, " ")) for s in steps)
+    first, *_ = (j["pre_tokenizer"] or {}).get("pretokenizers", [j["pre_tokenizer"] or {}])
+    splits = first.get("type") == "Split" and first["pattern"] == {"Regex": _WORD_PATTERN} and first["behavior"] == "Removed" and first["invert"]
+    return plain and bool(splits) and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in j["added_tokens"])
+
+
+class WordIds:
+    """Ids of the words that a worker has met, each encoded once by the library.
+
+    A word of up to 16 bytes is looked up by its 64-bit name in a sorted array and
+    then compared byte by byte (two numbers and the length), so a name that two words
+    share costs a look into a dictionary and no more. At most ``most`` words are
+    remembered; then all are forgotten.
+    """
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most, self.width = tokenizer, most, id_width(tokenizer)
+        self.by_word = encodes_by_word(tokenizer)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([bool(suffix) and (tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)], bool)
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted names, and which entry each is
+        self.known = np.zeros((0, 3), np.uint64)  # two numbers and the length of each name's word
+        self.others: dict[bytes, int] = {}
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Letters, with one mark behind them or not, are encoded together: a word's last id has the word end."""
+        out: list = [None] * len(words)
+        parts = np.array([1 if w.isalpha() else 2 if w[-1] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words], np.int64)
+        for run in np.array_split(plain := np.flatnonzero(parts), max(1, len(plain) // 1024)) if self.ends.any() else ():
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run])], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            # Each part has a word end at least, so the same total says that each has one.
+            if len(run) and len(cut) == parts[run].sum() and cut[-1] == len(ids):
+                last = cut[np.cumsum(parts[run]) - 1]
+                for i, a, b in zip(run.tolist(), [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(rest), 1024):
+            part = rest[k : k + 1024]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, f"<u{self.width}")
+        return out
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        """Entries of words that have none."""
+        ids = self._encoded([w.decode() for w in words])
+        count = np.array([len(x) for x in ids], np.int64)
+        first = len(self.count)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, *ids])
+        return np.arange(first, first + len(words))
+
+    def entries(self, w: Words) -> np.ndarray:
+        """The entry of each word, made where there is none."""
+        if len(self.count) > self.most:
+            self.forget()
+        size = w.ends - w.starts
+        out, word = np.full(len(size), -1, np.int64), lambda i: w.data[w.starts[i] : w.ends[i]].tobytes()
+        at = np.flatnonzero(size <= 16)
+        name, first, back = np.unique(w.hashes[at], return_index=True, return_inverse=True)
+        key = np.column_stack([w.chunk(0, at), w.chunk(1, at), size[at].astype(np.uint64)])
+        head = key[first]
+        place = np.searchsorted(self.names, name)
+        found = np.minimum(place, len(self.names) - 1)
+        hit = self.names[found] == name if len(self.names) else np.zeros(len(name), bool)
+        new = np.flatnonzero(~hit)
+        entry = np.zeros(len(name), np.int64)
+        if len(new):
+            entry[new] = self._add([word(i) for i in at[first[new]].tolist()])
+            order = np.insert(np.arange(len(self.names)), place[new], len(self.names) + np.arange(len(new)))
+            self.names, self.entry = np.concatenate([self.names, name[new]])[order], np.concatenate([self.entry, entry[new]])[order]
+            self.known = np.concatenate([self.known, head[new]])[order]
+            found = np.searchsorted(self.names, name)
+        entry = self.entry[found]
+        same = (key == self.known[found][back]).all(axis=1)
+        out[at[same]] = entry[back[same]]
+        # Long words, and those whose name another word has.
+        other = {word(i): i for i in np.flatnonzero(out < 0).tolist()}
+        missing = [x for x in other if x not in self.others]
+        self.others |= dict(zip(missing, self._add(missing).tolist(), strict=True))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.others[word(i)]
+        return out
+
+    def of(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of words one after the other."""
+        count = self.count[entries]
+        return self.ids[np.repeat(self.begin[entries] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
+def encode_texts(memory: WordIds, texts: pa.Array, end_id: int) -> Iterator[bytes]:
+    """Serialized ids of each text, the end id included; null is empty."""
+    end = int(end_id).to_bytes(memory.width, "little")
+    if not memory.by_word:
+        for t in texts:
+            yield np.array(memory.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, f"<u{memory.width}").tobytes() + end
+        return
+    open_row, parts = -1, []  # a text of several pieces
+    for first, rows, edges, w in word_batches(texts, BY_SPACE, fold=False, piece=4 << 20):
+        entries = memory.entries(w)
+        ids, cut = memory.of(entries), np.r_[0, np.cumsum(memory.count[entries])][edges]
+        if first != open_row and open_row >= 0:
+            yield b"".join(parts) + end
+            open_row, parts = -1, []
+        if rows == 1:
+            open_row = first
+            parts.append(ids.tobytes())
         else:
-            words[i] = t.split()
-    memory.learn(tokenizer, set().union(*words.values()), "", lambda e: np.array(e.ids, kind).tobytes(), _direct_ids(tokenizer, width))
-    for i, w in words.items():
-        out[i] = b"".join(map(memory.__getitem__, w)) + end
-    return out
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[a:b].tobytes() + end
+    if open_row >= 0:
+        yield b"".join(parts) + end
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[list, list[str]]]:
-    for i in range(0, batch.num_rows, rows):
-        part = batch.slice(i, rows)
-        yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+@lru_cache(maxsize=4)
+def _memory(path: str, most: int) -> WordIds:
+    return WordIds(load(path), most)
 
 
 def _samples(cfg: TokenConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(cfg.tokenizer)
-        width = id_width(tokenizer)
+        memory = _memory(cfg.tokenizer, cfg.remembered)
         for batch in batches:
-            for _, texts in _batches(batch):
-                ids = encode_texts(tokenizer, Memory(cfg.remembered), texts, cfg, width)
-                yield pa.RecordBatch.from_arrays([pa.array([x[: cfg.sample_bytes] for x in ids], pa.binary())], names=["ids"])
+            ids = [x[: cfg.sample_bytes] for x in encode_texts(memory, batch.column("text"), cfg.end_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
 
 
 def train_dictionary(documents: DataFrame, cfg: TokenConfig) -> bytes:
-    """A dictionary from the ids of at most ``sample_docs`` documents, those of least hash of doc_id."""
+    """A dictionary from the ids of at most ``sample_docs`` doc_ids, those of least hash; of rows that repeat one, those of least ids."""
     d = documents.select("doc_id", "text")
     chosen = [r[0] for r in d.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs).collect()]
-    rows = d.filter(F.col("doc_id").isin(chosen)).mapInArrow(_samples(cfg), "ids binary").limit(2 * cfg.sample_docs).collect() if chosen else []
-    samples = sorted(bytes(r[0]) for r in rows)
+    rows = d.filter(F.col("doc_id").isin(chosen)).mapInArrow(_samples(cfg), "ids binary").orderBy("ids").limit(2 * cfg.sample_docs).collect() if chosen else []
+    samples = [bytes(r[0]) for r in rows]
     try:
         return zstandard.train_dictionary(cfg.dictionary_bytes, samples, level=cfg.level, threads=0).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples: their bytes are the dictionary
@@ -123,31 +218,30 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-_BLOCKS = "part int, seq int, dictionary_hash string, width int, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, payload binary"
+_BLOCKS = "part int, seq int, first_id bigint, last_id bigint, dictionary_hash string, width int, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, payload binary"
 
 
 def _blocks(cfg: TokenConfig, raw: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memory = load(cfg.tokenizer), _memory(cfg.tokenizer + "#ids", cfg.remembered)
-        width, name, part = id_width(tokenizer), hashlib.sha256(raw).hexdigest(), TaskContext.get().partitionId()
+        memory = _memory(cfg.tokenizer, cfg.remembered)
+        width, name, part = memory.width, hashlib.sha256(raw).hexdigest(), TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=cfg.level, dict_data=_dictionary(raw), write_checksum=False)
         seq, doc_ids, frames, counts, size = 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
             edges = np.r_[0, np.cumsum([len(f) for f in frames])].tolist()
-            values = [part, seq, name, width, doc_ids, edges, counts, b"".join(frames)]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            values = [part, seq, doc_ids[0], doc_ids[-1], name, width, doc_ids, edges, counts, b"".join(frames)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
         for batch in batches:
-            for ids, texts in _batches(batch):
-                for doc_id, data in zip(ids, encode_texts(tokenizer, memory, texts, cfg, width), strict=True):
-                    frame = press.compress(data)
-                    doc_ids.append(doc_id), frames.append(frame), counts.append(len(data) // width)
-                    size += len(frame)
-                    if size >= cfg.block_bytes or len(frames) >= cfg.block_docs:
-                        yield block()
-                        seq, doc_ids, frames, counts, size = seq + 1, [], [], [], 0
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode_texts(memory, batch.column("text"), cfg.end_id), strict=True):
+                frame = press.compress(data)
+                doc_ids.append(doc_id), frames.append(frame), counts.append(len(data) // width)
+                size += len(frame)
+                if size >= cfg.block_bytes or len(frames) >= cfg.block_docs:
+                    yield block()
+                    seq, doc_ids, frames, counts, size = seq + 1, [], [], [], 0
         if frames:
             yield block()
 
@@ -160,12 +254,13 @@ def write_tokens(documents: DataFrame, folder: str, cfg: TokenConfig) -> None:
     Null text is an empty one (its end id only); a null doc_id comes first;
     rows that repeat a doc_id follow each other, ordered by text. An empty table
     writes a format without blocks. Other columns are not read. Texts are dealt
-    out by ranges of doc_id, so each task writes one run of the order.
+    out by ranges of doc_id and, inside of one that is repeated, of the texts'
+    beginnings, so each task writes one run of the order.
     """
     spark, d = documents.sparkSession, documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = train_dictionary(d, cfg)
     spark.range(1).select(F.lit(hashlib.sha256(raw).hexdigest()).alias("hash"), F.lit(bytearray(raw)).alias("dictionary")).write.parquet(f"{folder}/dictionary")
-    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = d.repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_blocks(cfg, raw), _BLOCKS).write.parquet(f"{folder}/blocks")
 
 
@@ -211,7 +306,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     part, over the documents of a block.
     """
     name, raw = read_dictionary(spark, folder)
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks").drop("first_id", "last_id")
     totals = blocks.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     of_part = totals.groupBy("part").agg(F.sum("n").alias("n"))
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
