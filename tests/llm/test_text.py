@@ -33,7 +33,7 @@ def test_top_k_is_exact(spark, block):
     vectors = [(int(i), (rng.normal(size=64) * rng.choice([0.1, 1.0])).astype(float).tolist()) for i in range(400)]
     vectors += [(1000 + i, vectors[5][1]) for i in range(9)] + [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 64), (2003, []), (2004, [1.0] * 8), (2050, [2.0] * 8), (5, vectors[5][1])]
     d = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = search.top_k(d.filter("vec_id % 50 = 0"), d, search.SearchConfig(query_block=block, candidate_block=block, parts=3)).collect()
+    got = search.top_k(d.filter("vec_id % 50 = 0"), d, search.SearchConfig(query_block=block, candidate_block=block, group_bytes=5 * 512, cells=7, sample=64 * 50)).collect()
     good = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
     for i, q in good:
@@ -43,6 +43,37 @@ def test_top_k_is_exact(spark, block):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("dim", "scale"), [(64, 1e5), (64, 2.0**24), (768, 1e5), (768, 2.0**24), (5, 2.0**60), (3, 1e300)])
+def test_scores_of_large_values_are_exact(spark, dim, scale):
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(60, dim)) * scale) + rng.random((60, dim))
+    x[7], x[8], x[9] = -x[3], x[3], np.r_[x[3][:-1], -x[3][-1]]
+    rows = list(enumerate(x.tolist()))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.top_k(d.filter("vec_id % 10 = 0 or vec_id = 3"), d, search.SearchConfig(candidate_block=16)).collect()
+    whole = {i: [int(v) for v in np.floor(np.clip(np.array(r) * 256, -(2.0**400), 2.0**400))] for i, r in rows}
+    most, want = (1 << 63) - 1, set()
+    for i in [*range(0, 60, 10), 3]:
+        s = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[i], whole[j], strict=True)))), j) for j in whole if j != i)[:5]
+        want |= {(i, r + 1, j, -v) for r, (v, j) in enumerate(s)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_bounds_leave_few_pairs_of_uneven_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64)) * 0.7 ** np.arange(64)
+    x = x @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    cfg = search.SearchConfig()
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    side = search.Side(64, np.arange(3000), x, cfg, turn)
+    q, best, counts = side.part(slice(0, 100)), search.Best(100, 5), []
+    search.search_block(q, side, 0, best, counts)
+    scores = (side.x @ q.x.T).T
+    scores[np.arange(100), np.arange(100)] = -np.inf
+    assert counts[0] >= counts[1] >= counts[2] and counts[2] < 0.05 * 100 * 3000
+    assert np.sort(best.score.reshape(100, 5), axis=1)[:, ::-1].tolist() == (-np.sort(-scores, axis=1))[:, :5].tolist()
+
+
 def test_search_empty(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert search.top_k(e, e).collect() == []
