@@ -102,7 +102,8 @@ class Side:
                 break
             mean = np.add.reduceat(y, edges[:-1], axis=1) / length
             sd = np.sqrt(np.maximum(np.add.reduceat(y * y, edges[:-1], axis=1) / length - mean * mean, 0))
-            self.levels.append(np.hstack([mean * np.sqrt(length), sd[:, length > 1] * np.sqrt(length[length > 1])]))
+            # The last column is the slack of a bound.
+            self.levels.append(np.hstack([mean * np.sqrt(length), sd[:, length > 1] * np.sqrt(length[length > 1]), np.sqrt(_SLACK) * self.norm[:, None]]))
 
     def part(self, at: slice) -> Side:
         out = object.__new__(Side)
@@ -110,12 +111,32 @@ class Side:
         return out
 
 
-def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of rows i of a with rows j of b; by a whole matrix where they are many of all."""
-    if 8 * len(i) > len(a) * len(b):
-        return (a @ b.T)[i, j]
-    runs = [slice(n, n + (1 << 16)) for n in range(0, len(i), 1 << 16)]
-    return np.concatenate([np.einsum("nd,nd->n", a[i[r]], b[j[r]]) for r in runs] or [np.zeros(0)])
+class Left:
+    """The pairs of a block that are left: a matrix of marks while they are many, then their rows and columns."""
+
+    def __init__(self, rows: int, columns: int):
+        self.mask: np.ndarray | None = np.ones((rows, columns), bool)
+        self.i = self.j = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.i) if self.mask is None else int(np.count_nonzero(self.mask))
+
+    def keep(self, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> None:
+        """Keeps the pairs whose product of rows of a and b reaches ``low`` of the row."""
+        if self.mask is not None:
+            self.mask &= a @ b.T >= low[:, None]
+            if 8 * len(self) <= self.mask.size:
+                self.listed()
+            return
+        runs = [slice(n, n + (1 << 16)) for n in range(0, len(self.i), 1 << 16)]
+        product = np.concatenate([np.einsum("nd,nd->n", a[self.i[r]], b[self.j[r]]) for r in runs] or [np.zeros(0)])
+        good = product >= low[self.i]
+        self.i, self.j = self.i[good], self.j[good]
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.mask is not None:
+            (self.i, self.j), self.mask = np.nonzero(self.mask), None
+        return self.i, self.j
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,43 +174,37 @@ class Best:
 def search_block(q: Side, v: Side, first: int, best: Best, counts: list[int] | None = None) -> None:
     """Adds the best of a block of candidates to those of the queries ``first`` and on; ``counts`` takes the pairs left after each level."""
     n = len(q.ids)
+    safe = q.norm.max(initial=0) * v.norm.max(initial=0) < 1 << 53  # all sums are whole numbers that a double holds
 
-    def scored(i: np.ndarray, j: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs whose exact score reaches the floor."""
-        near = _dots(q.x, v.x, i, j)
-        if q.norm.max(initial=0) * v.norm.max(initial=0) < 1 << 53:  # all sums are whole numbers that a double holds
-            keep = near >= floor[i]
-            return i[keep], j[keep], near[keep].astype(np.int64)
-        keep = near + _SLACK * q.norm[i] * v.norm[j] >= floor[i] - 1e-12 * np.abs(floor[i])
-        i, j = i[keep], j[keep]
-        return i, j, exact_products(q.x[i], v.x[j])
+    def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.einsum("nd,nd->n", q.x[i], v.x[j]).astype(np.int64) if safe else exact_products(q.x[i], v.x[j])
 
     floor = best.floor[first : first + n].copy()
     if (new := np.flatnonzero(np.isinf(floor))).size:  # the vectors of best bound, scored exactly, set a first floor
         bound = q.levels[-1][new] @ v.levels[-1].T if q.levels else q.x[new] @ v.x.T
         m = min(2 * best.k + 1, len(v.ids))
-        top = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        i, j = np.repeat(new, m), top.ravel()
-        i, j, score = (lambda i, j: scored(i, j, floor))(*(x[q.ids[i] != v.ids[j]] for x in (i, j)))
+        i, j = np.repeat(new, m), np.argpartition(-bound, m - 1, axis=1)[:, :m].ravel()
+        i, j = (x[q.ids[i] != v.ids[j]] for x in (i, j))
+        score = scores(i, j)
         order = np.lexsort((-score, i))
         i, score = i[order], score[order]
         kth = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] == best.k - 1)
         floor[i[kth]] = score[kth]
     low = np.where(np.isinf(floor), floor, floor - 1e-12 * np.abs(floor))
-    i = j = None
+    left = Left(n, len(v.ids))
     for a, b in zip(q.levels, v.levels, strict=True):  # coarse to fine
-        if i is None:
-            i, j = np.nonzero(a @ b.T + _SLACK * np.outer(q.norm, v.norm) >= low[:, None])
-        else:
-            keep = _dots(a, b, i, j) + _SLACK * q.norm[i] * v.norm[j] >= low[i]
-            i, j = i[keep], j[keep]
+        left.keep(a, b, low)
         if counts is not None:
-            counts.append(len(i))
-    if i is None:
-        i, j = (x.ravel() for x in np.indices((n, len(v.ids))))
+            counts.append(len(left))
+    with_slack = [np.hstack([s.x, np.sqrt(_SLACK) * s.norm[:, None]]) for s in (q, v)] if not safe else [q.x, v.x]
+    left.keep(*with_slack, floor if safe else low)
+    i, j = left.listed()
     other = q.ids[i] != v.ids[j]
-    i, j, score = scored(i[other], j[other], floor)
-    best.add(first + i, v.ids[j], score)
+    i, j = i[other], j[other]
+    runs = [slice(k, k + (1 << 16)) for k in range(0, len(i), 1 << 16)]
+    score = np.concatenate([scores(i[r], j[r]) for r in runs] or [np.zeros(0, np.int64)])
+    keep = score >= floor[i]
+    best.add(first + i[keep], v.ids[j[keep]], score[keep])
 
 
 _BLOCK = "dim int, share long, ids binary, xs binary"
