@@ -249,15 +249,55 @@ def test_leaks_match_alignment():
         assert not got or got[0][1] == best
 
 
+def test_leaks_of_frequent_and_repeated_grams():
+    """Runs, items that differ in a few characters, equal items and small windows: as the plain alignment finds them."""
+    r = random.Random(11)
+    base = "question: which of these is the right answer to number"
+    items = [(i, f"{base} {i} of all?") for i in range(30)] + [(50, "=" * 40), (51, "-=" * 20), (52, "a rule ======== of eight"), (53, f"{base} 7 of all?"), (54, "abcabcabcabc")]
+    for cfg in (decontaminate.DecontaminationConfig(), decontaminate.DecontaminationConfig(window=200, most_places=3, most_pairs=50)):
+        ix = decontaminate.Index(items, cfg)
+        assert ix.alike
+        for _ in range(60):
+            parts = []
+            for _ in range(r.randrange(1, 5)):
+                s = list(decontaminate.normal(r.choice(items)[1]))
+                for _ in range(r.randrange(0, 9)):
+                    p, o = r.randrange(len(s)), r.random()
+                    s[p : p + 1] = ["x"] if o < 0.4 else ["y", s[p]] if o < 0.7 else []
+                    s = s or ["z"]
+                parts += ["".join(s), "=" * r.randrange(0, 60), "".join(r.choice("abc =-") for _ in range(r.randrange(0, 50)))]
+            doc = decontaminate.normal("".join(parts))
+            got = {i: e for i, e, _ in ix.matches(doc)}
+            want = {i: e for i, t in items if (e := least_edits(decontaminate.normal(t), doc)) <= decontaminate.edit_budget(len(decontaminate.normal(t)), cfg)}
+            assert got == want
+
+
+def test_leaks_in_long_runs_need_little_memory():
+    import tracemalloc
+
+    ix = decontaminate.Index([(1, "=" * 200), (2, "| a | b | ------------------------ |"), (3, "=" * 150 + "x" + "=" * 150)], decontaminate.DecontaminationConfig())
+    tracemalloc.start()
+    got = {i: e for i, e, _ in ix.matches("=" * 1_000_000 + " " + "-" * 1_000_000)}
+    assert got == {1: 0, 3: 1} and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_short_items_are_found_as_whole_words():
+    ix = decontaminate.Index([(1, "Yes"), (2, "a b"), (3, ""), (4, "+1"), (5, "yes")], decontaminate.DecontaminationConfig())
+    assert ix.matches("eyes yesterday") == [] and ix.matches("") == [] and ix.matches(None) == []
+    assert sorted(ix.matches("Oh,  YES!")) == [(1, 0, 7), (5, 0, 7)]
+    assert ix.matches("a\n b") == [(2, 0, 3)] and ix.matches("so +1") == [(4, 0, 5)]
+
+
 def test_leaks_in_tables(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r["item_id"]: r["text"] for r in bench.collect()}
     want = {(r["doc_id"], i) for r in docs.collect() for i, t in items.items() if t in (r["text"] or "")}
     more = docs.unionByName(spark.createDataFrame([(None, items[0]), (-5, None), (-6, "")], "doc_id long, text string"), allowMissingColumns=True).withColumn("edits", F.lit("clash"))
     bad = bench.unionByName(spark.createDataFrame([(None, "a text without an id"), (77, None), (78, "abc")], "item_id long, text string"))
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(more, bad, decontaminate.DecontaminationConfig(block_chars=3000)).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(more, bad, scratch_dir(spark), decontaminate.DecontaminationConfig(block_chars=3000)).collect()}
     assert got == want | {(None, 0)}
-    kept = decontaminate.drop_leaks(more, bad)
+    kept = decontaminate.drop_leaks(more, bad, scratch_dir(spark), decontaminate.DecontaminationConfig(block_chars=3000))
     assert kept.columns == more.columns and kept.count() == more.count() - len({d for d, _ in want}) - 1
 
 

@@ -49,7 +49,7 @@ def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_dir(spark))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
