@@ -181,6 +181,49 @@ def test_marks_do_not_take_prose():
     assert html_text.main_text(f"<body>{run}</body>") == f"{text}\n{text}\nIt ends with a short run here."
 
 
+def test_marks_of_an_article_and_unmarked_menus():
+    long = "A sentence of the article that goes on for quite some length, as prose does."
+    page = lambda inner, more="": f"<body><nav>m</nav>{more}<article><h1>Title</h1><p>{long}</p>{inner}<p>{long}</p></article><footer>f</footer></body>"
+    want = lambda *inner: "\n".join(["Title", long, *inner, long])
+    assert html_text.main_text(page(f"<section id='discussion'><p>{long}</p></section>")) == want(long)
+    assert html_text.main_text(page(f"<section id='related-work'><h3>Related</h3><p>{long}</p></section>")) == want("Related", long)
+    assert html_text.main_text(page("<h2 id='search'>Search</h2>")) == want("Search")
+    assert html_text.main_text(page("<div class='article-header'><h2>Part two</h2></div>")) == want("Part two")
+    assert html_text.main_text(page("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be so.</p>")) == want("Let x=1 be so.")
+    menu = "<ul><li><a href=a>Home</a><li><a href=b>All posts</a><li><a href=c>About us</a></ul>"
+    assert html_text.main_text(page("", menu)) == want()
+    assert html_text.main_text(page(menu)) == want()
+    assert html_text.main_text(page("<div><a href=x>Buy the new one now</a></div>")) == want()
+    assert html_text.main_text(page("<h2><a href='#s'>A part</a></h2>")) == want("A part")
+    assert html_text.main_text(page("<p>Read <a href=x>this other text</a> as well.</p>")) == want("Read this other text as well.")
+    assert html_text.main_text(f"<main>{menu}<div><p>{long}</p><p>{long}</p></div></main>") == f"{long}\n{long}"
+    bare = f"<body>{menu}<div><h1>Title</h1><p>{long}</p><p>Short.</p><p>{long}</p></div>{menu}<div>{menu}</div></body>"
+    assert html_text.main_text(bare) == f"Title\n{long}\nShort.\n{long}"
+
+
+def test_pages_made_of_known_parts():
+    """Pages without articles, made of parts whose kind is known; lines that are prose or headings must come out, in order, and no other."""
+    r = random.Random(2)
+    sentence = lambda: " ".join(r.choice(["word", "text", "longer", "part", "of", "and"]) for _ in range(r.randrange(12, 60)))
+    wrong = 0
+    for _ in range(150):
+        want, html = [], []
+        for _ in range(r.randrange(2, 7)):
+            p = [sentence() for _ in range(r.randrange(2, 5))]
+            want += [*p]
+            html += [f"<div>{''.join(f'<p>{x}</p>' for x in p)}</div>"]
+            html += [r.choice(["", "<ul>" + "".join(f"<li><a href=x>{r.choice('abc')} item</a>" for _ in range(r.randrange(1, 6))) + "</ul>", f"<aside><p>{sentence()}</p></aside>", f"<div class='ad'>{sentence()}</div>", "<form>Name <input></form>"])]
+        wrong += html_text.main_text(f"<html><body>{''.join(html)}</body></html>") != "\n".join(want)
+    assert wrong == 0
+
+
+def test_very_long_and_deep_pages():
+    long = "word " * 400_000
+    assert html_text.main_text(f"<article><p>{long}</p></article>") == long.strip()
+    assert html_text.main_text("<div>" * 20_000 + "<p>deep text here</p>") == "deep text here"
+    assert html_text.main_text("<p>x</p>\n" * 20_000) == "\n".join(["x"] * 20_000)
+
+
 def test_html_of_driver_pages(spark, sf):
     import html
 
@@ -328,7 +371,7 @@ def brute_components(rows):
     return sorted((str(i), len(s), str(least.get(find(k)))) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("cfg", [jaccard_join.JoinConfig(), jaccard_join.JoinConfig(block=200, leaf=2, fan=2, bitmap=1, sample=2, extra=4)])
+@pytest.mark.parametrize("cfg", [jaccard_join.JoinConfig(), jaccard_join.JoinConfig(block=200, block_rows=9, leaf=2, fan=2, bitmap=1, sample=2, extra=4, name_bits=4, light_rows=0)])
 def test_join_against_all_pairs(spark, cfg):
     r = random.Random(5)
     base = [[r.choice([f"w{i}" for i in range(40)]) for _ in range(r.randrange(0, 60))] for _ in range(25)]
@@ -369,10 +412,12 @@ def test_join_counts_every_link(spark, cfg):
 
 
 def test_join_one_of_each_and_empty(spark):
-    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "x"), (3, "x"), (4, None), (None, "z")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    long = "a b c d e f g h i j"
+    rows = [(1, long), (2, long), (3, "x"), (3, "x"), (3, "other words"), (4, None), (4, None), (None, "z"), (None, "z"), (None, long), (None, "y"), (9, "y"), (5, ""), (6, "p q"), (7, "r s"), (7, "p q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_kept", F.lit("clash"))
     out = jaccard_join.one_of_each(d, scratch_dir(spark))
-    assert out.columns == d.columns and sorted(str(x["doc_id"]) for x in out.collect()) == ["1", "3", "4", "None"]
+    want = [(1, long), (3, "x"), (3, "other words"), (4, None), (4, None), (None, "z"), (9, "y"), (5, ""), (6, "p q"), (7, "r s")]
+    assert out.columns == d.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
     assert jaccard_join.link_components(d.limit(0), scratch_dir(spark)).collect() == []
 
 
@@ -412,7 +457,24 @@ def test_words_of_any_length_have_one_hash():
         words.PIECE = old
 
 
+def test_words_have_mixed_names(spark):
+    """A Thue-Morse word and its complement, which polynomial sums modulo 2^64 cannot tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, a[:32]), (4, b[:32]), (5, a)]
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch_dir(spark)).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+
+
+def test_sets_that_share_a_class_name_are_told_apart(spark):
+    twins = jaccard_join.twin_classes(spark.createDataFrame([(1, 5), (1, 3), (1, 3), (2, 4), (None, None)], "cls long, check long"))
+    assert twins == {1: 3} and jaccard_join._renamed(1, 3, twins) == 1 and jaccard_join._renamed(2, 4, twins) == 2
+    assert len({jaccard_join._renamed(1, x, twins) for x in (3, 5, 6)}) == 3
+    for k in (0, 1):
+        assert len({jaccard_join.class_names(np.array([i, 7], np.uint64))[k] for i in range(1000)}) == 1000
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(links, scratch_dir(spark), "c").collect()}
+    got = {r["node"]: r["component"] for r in components(links, scratch_dir(spark)).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.shared import written
+from wavefold.llm.shared import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,15 +20,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, folder: str, name: str) -> DataFrame:
+def components(links: DataFrame, folder: str) -> DataFrame:
     """node, component (the least node reachable) of every node that has a link.
 
     ``links`` has a and b. Each round is written to ``folder``, so a lost executor
-    costs one round at most, and nothing but a count and a checksum comes to the
-    driver. The number of rounds grows with the logarithm of the longest chain.
+    costs one round at most and the round before is deleted; nothing but a count
+    and a checksum comes to the driver. The number of rounds grows with the logarithm of the longest chain.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, seen, n = written(edges, folder, f"{name}-0"), None, 0
+    edges, seen, n = written(edges, folder, "0"), None, 0
     while True:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).collect()[0]
         if now == seen or now[0] == 0:
@@ -36,4 +36,5 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen, n = now, n + 1
-        edges = written(_stars(_stars(edges, True), False), folder, f"{name}-{n}")
+        edges = written(_stars(_stars(edges, True), False), folder, f"{n}")
+        discard(links.sparkSession, folder, f"{n - 1}")

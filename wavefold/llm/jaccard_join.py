@@ -1,7 +1,9 @@
 """N-gram Jaccard join by signature trees (operator 4).
 
 Texts become sets of 64-bit hashes of their word shingles; equal sets are one
-class (named by a 64-bit hash of the set), so copies cost one comparison side.
+class, so copies cost one comparison side. A set has two independent 64-bit names.
+The first names its class; where sets with different second names share it, all but
+one get another, so classes are told apart by 128 bits.
 
 Distribution. Two sets that reach the threshold share at least l elements of
 their prefixes, the first n - ceil(t * n) + l in one global order, where l is
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavefold.llm.components import components
-from wavefold.llm.shared import discard, light, written
+from wavefold.llm.shared import discard, fresh, light, written
 from wavefold.llm.words import BY_SPACE, mix64, word_batches
 
 
@@ -55,8 +57,9 @@ class JoinConfig:
     bitmap: int = 16
     leaf: int = 16
     fan: int = 4
-    #: Set elements of a block, about (a single larger set is a block).
+    #: Set elements and sets of a block, about (a single larger set is a block).
     block: int = 1_000_000
+    block_rows: int = 1024
     #: One document in so many is sampled for frequent elements; at most so many of them are sent to tasks.
     sample: int = 32
     frequent: int = 20_000
@@ -64,6 +67,8 @@ class JoinConfig:
     light_rows: int = 500_000
     #: Verify and count all links; without it only as many as connect the components.
     every_link: bool = True
+    #: Bits of a set's first name; fewer make sets share names, for tests.
+    name_bits: int = 64
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -119,32 +124,56 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield close()
 
 
-def class_of(s: np.ndarray) -> int:
-    """Hash of a set."""
+def class_names(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent names of a set, the first one of ``bits`` bits."""
     with np.errstate(over="ignore"):
-        x = mix64(s + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) ^ (np.uint64(len(s)) * np.uint64(0xE7037ED1A0B428DB))
-    return int(mix64(np.array([x], np.uint64)).view(np.int64)[0])
+        mixed = mix64(s + np.uint64(0xA0761D6478BD642F))
+        other = mix64((mixed ^ np.uint64(0x8EBC6AF09C88C6E3)) * np.uint64(0x589965CC75374CC3))
+        x = np.array([mixed.sum(dtype=np.uint64), other.sum(dtype=np.uint64)], np.uint64) ^ (np.uint64(len(s)) * np.uint64(0xE7037ED1A0B428DB))
+    first, second = mix64(x).view(np.int64).tolist()
+    return first & (1 << bits) - 1 if bits < 64 else first, second
 
 
-def _digests(cfg: JoinConfig, frequent: np.ndarray):
+def _renamed(cls: int, check: int, twins: dict[int, int]) -> int:
+    """The class of a set by its names: the first one, but for sets of ``twins`` that are not the one to keep it."""
+    if not twins or twins.get(cls, check) == check:
+        return cls
+    x = np.array([cls, check], np.int64).view(np.uint64)
+    return int(mix64(mix64(x[:1]) ^ x[1:]).view(np.int64)[0])
+
+
+def _digests(cfg: JoinConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names = [], []
+            for s in shingle_sets(batch.column("text"), cfg.words):
+                sizes.append(len(s)), names.append(class_names(s, cfg.name_bits) if len(s) else (None, None))
+            columns = [batch.column("doc_id"), batch.column("text_key"), batch.column("key"), pa.array(sizes, pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "key", "n_shingles", "cls", "check"])
+
+    return run
+
+
+def _prefixes(cfg: JoinConfig, frequent: np.ndarray, twins: dict[int, int]):
+    """Rows (cls, token) of the prefix of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                n, cls, prefix = [], [], []
-                for s in shingle_sets(part.column("text"), cfg.words):
+                cls, prefix = [], []
+                for s in shingle_sets(batch.column("text").slice(i, 1024), cfg.words):
+                    if not len(s):
+                        continue
                     size = len(s)
-                    n.append(size), cls.append(class_of(s) if size else None)
-                    keep = size - -(-cfg.percent * size // 100) + 1 + size // cfg.extra if size else 0
-                    if size and len(frequent):
+                    cls.append(_renamed(*class_names(s, cfg.name_bits), twins))
+                    if len(frequent):
                         at = np.searchsorted(frequent, s)
                         late = frequent[np.minimum(at, len(frequent) - 1)] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late]])
-                    prefix.append(s[:keep].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "cls", "prefix"]
-                )
+                    prefix.append(s[: size - -(-cfg.percent * size // 100) + 1 + size // cfg.extra])
+                tokens = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(cls, np.int64), [len(x) for x in prefix])), pa.array(tokens)], names=["cls", "token"])
 
     return run
 
@@ -152,7 +181,7 @@ def _digests(cfg: JoinConfig, frequent: np.ndarray):
 def _sampled(cfg: JoinConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {class_of(s): s for s in shingle_sets(batch.column("text"), cfg.words) if len(s)}
+            sets = {class_names(s): s for s in shingle_sets(batch.column("text"), cfg.words) if len(s)}
             h, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -359,14 +388,14 @@ def _block_links(cfg: JoinConfig, pair: bool):
     return run
 
 
-def _sets(cfg: JoinConfig):
+def _sets(cfg: JoinConfig, twins: dict[int, int]):
     """Sets of rows (cls, text); a text that is not of the class (its doc_id is repeated) is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                rows = [(c, s.astype("<u8").tobytes()) for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), cfg.words), strict=True) if class_of(s) == c]
+                rows = [(c, s.astype("<u8").tobytes()) for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), cfg.words), strict=True) if _renamed(*class_names(s, cfg.name_bits), twins) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["cls", "hashes"])
 
     return run
@@ -382,6 +411,15 @@ def _in_play(shared: DataFrame, classes: DataFrame, cfg: JoinConfig, folder: str
     return written(left.join(pivots, "token").select("token", "cls", "n", "pivot"), folder, name)
 
 
+def twin_classes(docs: DataFrame) -> dict[int, int]:
+    """First names that sets with different second names share, each with the least second name.
+
+    Among 10 ** 10 sets about three such names are expected by chance, so what comes to the driver is bounded.
+    """
+    both = docs.filter("cls is not null").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b")
+    return {r["cls"]: r["a"] for r in both.select("cls", "a").collect()}
+
+
 def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links of each row of (doc_id, text); ``folder`` takes the stage tables.
 
@@ -394,16 +432,27 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     nothing (their component_id is null). Rows that repeat a doc_id are compared
     like others. An empty table gives no rows. Other columns are not read.
     """
+    out = labelled(documents, folder, cfg)
+    least_id = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id", "n_links")
+
+
+def labelled(documents: DataFrame, folder: str, cfg: JoinConfig) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component (null without words), class_id, n_links of each row."""
     spark = documents.sparkSession
     # key finds a text again; rows without a doc_id are found by their text.
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).withColumn("key", F.coalesce("doc_id", "text_key"))
     frequent = frequent_shingles(d, cfg)
-    digest = written(d.mapInArrow(_digests(cfg, frequent), "doc_id long, key long, n_shingles long, cls long, prefix array<long>"), folder, "digest")
-
-    tokens = digest.filter("cls is not null").select("cls", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "cls")
+    docs = written(d.mapInArrow(_digests(cfg), "doc_id long, text_key long, key long, n_shingles long, cls long, check long"), folder, "docs")
+    twins = twin_classes(docs)
+    if twins:
+        rename = F.udf(lambda c, x: None if c is None else _renamed(c, x, twins), "long")
+        docs = written(docs.withColumn("cls", rename("cls", "check")), folder, "docs-renamed")
+    docs = docs.drop("check")
+
+    # Texts are read a second time for their prefixes: hashing again costs less than prefixes on disk.
+    tokens = d.select("text").mapInArrow(_prefixes(cfg, frequent, twins), "cls long, token long").repartition("token").sortWithinPartitions("token", "cls")
     shared = written(tokens.mapInArrow(_shared, "token long, cls long, pivot long"), folder, "shared")
-    docs = written(digest.drop("prefix"), folder, "docs")
-    discard(spark, folder, "digest")
 
     # Blocks: each class goes to the pivot that it shares most elements with, itself if there is none of fitting size.
     classes = written(docs.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("size")), folder, "classes")
@@ -415,14 +464,14 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     fits = (100 * F.least("n", "pivot_n") >= cfg.percent * F.greatest("n", "pivot_n")) & (F.col("cls") != F.col("pivot"))
     best = met.groupBy("cls").agg(F.max("n").alias("n"), F.max("size").alias("size"), F.max(F.when(fits, F.struct("met", "pivot"))).alias("best"))
     member = best.select("cls", "n", "size", F.coalesce("best.pivot", "cls").alias("pivot"))
-    parts = member.groupBy("pivot").agg(F.ceil(F.sum("n") / cfg.block).alias("parts"))
+    parts = member.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / cfg.block), F.ceil(F.count(F.lit(1)) / cfg.block_rows)).alias("parts"))
     member = member.join(parts, "pivot").select("cls", "n", "size", "pivot", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
     member = written(member, folder, "members")
 
     # Full sets of the classes in play, each from one document of its class.
     source = member.select("cls").join(classes.select("cls", F.col("key").alias("_key")), "cls")
     texts = d.join(light(source, cfg.light_rows), F.col("key") == F.col("_key")).select("cls", "text")
-    sets = written(texts.mapInArrow(_sets(cfg), "cls long, hashes binary"), folder, "sets")
+    sets = written(texts.mapInArrow(_sets(cfg, twins), "cls long, hashes binary"), folder, "sets")
 
     # Round A: members of a block and, to connect them, its pivot.
     rows = member.select("cls", "size", "pivot", "part")
@@ -436,7 +485,7 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     if cfg.every_link:
         m = member.select("cls", "n", "size", block.alias("block"), block.alias("component"))
     else:
-        near = components(links.select("a", "b"), folder, "near")
+        near = components(links.select("a", "b"), f"{folder}/near")
         m = member.join(near, F.col("cls") == F.col("node"), "left").select("cls", "n", "size", block.alias("block"), F.coalesce("component", "cls").alias("component"))
         links = near.select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(0).cast("long").alias("n"))
     t = shared.select("token", "cls").join(m, "cls")
@@ -458,7 +507,7 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     rows = first.unionByName(second).join(sets, "cls")
     links_b = written(rows.groupBy("block", "o_block").applyInArrow(_block_links(cfg, True), "a long, b long, n long"), folder, "links-b")
     links = links.unionByName(links_b)
-    joined = components(links.select("a", "b"), folder, "joined").withColumnRenamed("node", "cls")
+    joined = components(links.select("a", "b"), f"{folder}/joined").withColumnRenamed("node", "cls")
     if cfg.every_link:
         linked = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))
         found = classes.select("cls", "size").join(joined, "cls", "left").join(linked, "cls", "left")
@@ -466,21 +515,32 @@ def link_components(documents: DataFrame, folder: str, cfg: JoinConfig = JoinCon
     else:
         found, n_links = joined, F.lit(None)
 
-    out = docs.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"), F.col("cls").alias("class_id"), n_links.cast("long").alias("n_links"))
+    out = docs.select("doc_id", "text_key", "n_shingles", "cls").join(found, "cls", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "cls").alias("component"), F.col("cls").alias("class_id"), n_links.cast("long").alias("n_links"))
     out = written(out, folder, "labelled")
-    discard(spark, folder, "sets", "shared-1", "docs", "classes", "several-0", "several-1", "open-0", "open-1")
-    least_id = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id", "n_links")
+    discard(spark, folder, "sets", "shared-1", "docs", "docs-renamed", "classes", "several-0", "several-1", "open-0", "open-1", "members", "pairs", "links-a", "links-b", "near", "joined")
+    return out
 
 
 def one_of_each(documents: DataFrame, folder: str, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """The rows of ``documents`` without those that are linked, directly or not, with one of less doc_id.
+    """The rows of ``documents`` without those that are linked, directly or not, with another that stays.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id cannot stand
-    for a group and stay as they are.
+    One row of each component stays: the one of least doc_id (null last), among
+    different texts of that doc_id the one of least hash; rows that agree in both
+    are copies, of which any stays. Different texts that are not linked all stay,
+    whatever their doc_ids, as does each row without words.
     """
-    c = link_components(documents, folder, replace(cfg, every_link=False))
-    keep = written(c.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), folder, "keep")
-    found = lambda rows: documents.join(light(keep.filter(rows).select("_kept"), cfg.light_rows), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return found("_rows = 1").unionByName(found("_rows > 1").dropDuplicates(["doc_id"])).unionByName(documents.filter("doc_id is null"))
+    c = labelled(documents, folder, replace(cfg, every_link=False))
+    rows = c.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("_rows"))
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_key", "_rows")).alias("m"))
+    wordless = rows.filter("component is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("_rows"))
+    own = fresh(documents.columns, "near_")
+    keep = first.select("m.doc_id", "m.text_key", "m._rows").unionByName(wordless)
+    keep = written(keep.select(F.col("doc_id").alias(f"{own}id"), F.col("text_key").alias(f"{own}text"), F.col("_rows").alias(f"{own}rows")), folder, "keep")
+    d = documents.withColumns({f"{own}row_id": F.col("doc_id").cast("long"), f"{own}row_text": F.xxhash64("text")})
+    here = F.col(f"{own}row_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}row_text") == F.col(f"{own}text"))
+    found = lambda rows: d.join(light(rows.drop(f"{own}rows"), cfg.light_rows), here, "left_semi")
+    out, copies = found(keep.filter(F.col(f"{own}rows") == 1)), keep.filter(F.col(f"{own}rows") > 1)
+    if not copies.isEmpty():
+        out = out.unionByName(found(copies).dropDuplicates([f"{own}row_id", f"{own}row_text"]))
+    return out.drop(f"{own}row_id", f"{own}row_text")

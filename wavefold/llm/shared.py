@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session. Only where it is unset (tests, a
-    notebook on one machine) a temporary folder is set for it.
+    The setting is read from the session. Where it is unset and all runs on one
+    machine (tests, a notebook) a temporary folder is set for it; a cluster must
+    name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wavefold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/wavefold-{uuid.uuid4().hex}"
@@ -44,3 +47,11 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
 def light(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, counted first; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(columns: list[str], prefix: str) -> str:
+    """``prefix`` with as many underscores before it as no column of ``columns`` begins with."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(prefix.lower()) for c in taken):
+        prefix = "_" + prefix
+    return prefix
