@@ -7,10 +7,12 @@ cap / weight, and the level is found from running sums over the (few) sources.
 
 A source whose target is r times its size repeats every document floor(r) times
 and gives one more repetition to a seeded share of frac(r) of its words: the
-documents are ordered by a hash of seed and doc_id and taken while the words
+documents are ordered by a hash of seed, doc_id and text and taken while the words
 before them are below the share, so the taken words miss the target by less
-than one document. The running sums have two levels (hash bucket, then inside a
-bucket), so a hot source is spread over all buckets.
+than one document. Rows that agree in doc_id and text are counted together, and
+where the share ends among them an even part of them is taken, by their place in
+their partitions. The running sums have two levels (hash bucket, then inside a
+bucket), so a hot source or doc_id is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavefold.llm.shared import light
+from wavefold.llm.shared import fresh, light
 
 
 @dataclass(frozen=True)
@@ -67,17 +69,24 @@ def source_targets(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 
 
 def _key(cfg: MixConfig) -> Column:
-    return F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def sized(documents: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+    """doc_id, source, size and key (the hash that orders documents)."""
+    return documents.select("doc_id", "source", count_words(F.col("text"), cfg).alias("size"), _key(cfg).alias("key"))
 
 
 def source_plan(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """What each source repeats: source, source_size, target, whole and cut.
+    """What each source repeats: source, source_size, target, whole, cut, cut_rows and cut_of.
 
-    ``sizes`` has doc_id, source and size of each document. All documents of a
-    source repeat ``whole`` times, those whose hash is up to ``cut`` once more.
+    ``sizes`` is ``sized(documents)``. All documents of a source repeat ``whole``
+    times, those whose key is below ``cut`` once more, and of the ``cut_of`` rows
+    whose key is the cut itself ``cut_rows``.
     """
-    d = sizes.select("source", "size", _key(cfg).alias("key")).withColumn("bucket", F.left("key", F.lit(cfg.bucket_digits)))
-    buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    d = sizes.groupBy("source", F.left("key", F.lit(cfg.bucket_digits)).alias("bucket"), "key", "size").agg(F.count(F.lit(1)).alias("rows"))
+    words = F.col("size") * F.col("rows")
+    buckets = d.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cfg)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("share", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -86,26 +95,29 @@ def source_plan(sizes: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     t = targets.select(F.col("source").alias("s"), "share")
     starts = starts.join(t, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("bucket").alias("b"), "bucket_start", "share")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = d.withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    cut = d.filter(F.col("bucket_start") + F.col("before") + 0.5 < F.col("share")).groupBy("source").agg(F.max("key").alias("cut"))
-    cut = cut.select(F.col("source").alias("s"), "cut")
-    return targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut")
+    # Rows of a key that begin below the share, by half a word so that no rounding counts.
+    left = F.col("share") - 0.5 - F.col("bucket_start") - F.col("before")
+    taken = F.when(left <= 0, 0).when(F.col("size") == 0, F.col("rows")).otherwise(F.least(F.ceil(left / F.greatest("size", F.lit(1))), F.col("rows")))
+    cut = d.filter(left > 0).groupBy("source").agg(F.max(F.struct("key", taken.alias("taken"), "rows")).alias("m"))
+    cut = cut.select(F.col("source").alias("s"), F.col("m.key").alias("cut"), F.col("m.taken").alias("cut_rows"), F.col("m.rows").alias("cut_of"))
+    return targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut", "cut_rows", "cut_of")
 
 
-def _planned(rows: DataFrame, plan: DataFrame, cfg: MixConfig) -> DataFrame:
-    """rows with the columns of their source's plan (under names of its own) and their repetitions.
+def _planned(rows: DataFrame, plan: DataFrame, key: Column, own: str, cfg: MixConfig) -> DataFrame:
+    """rows with the columns of their source's plan (named ``own`` and their name) and their repetitions.
 
     The plan has one row a source; up to ``cfg.light_sources`` it is broadcast, so texts are not moved.
     """
-    p = light(plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns]), cfg.light_sources)
-    extra = F.coalesce(_key(cfg) <= F.col("_plan_cut"), F.lit(False)).cast("long")
-    out = rows.join(p, F.col("source").eqNullSafe(F.col("_plan_source")))
-    return out.withColumn("_plan_repetitions", F.least(F.col("_plan_whole") + extra, F.lit(cfg.max_epochs).cast("long")))
-
-
-def sized(documents: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    return documents.select("doc_id", "source", count_words(F.col("text"), cfg).alias("size"))
+    p = light(plan.select(*[F.col(c).alias(own + c) for c in plan.columns]), cfg.light_sources)
+    # Multiples of the golden ratio fall evenly on the unit interval, whichever rows in a row they number.
+    at = F.monotonically_increasing_id()
+    even = (at.bitwiseAND(F.lit((1 << 33) - 1)) * 0.6180339887498949 + F.shiftright(at, 33) * 0.7548776662466927) % 1.0
+    among = (F.col(own + "cut_rows") == F.col(own + "cut_of")) | (even < F.col(own + "cut_rows") / F.col(own + "cut_of"))
+    extra = F.coalesce((key < F.col(own + "cut")) | (key == F.col(own + "cut")) & among, F.lit(False)).cast("long")
+    out = rows.join(p, F.col("source").eqNullSafe(F.col(own + "source")))
+    return out.withColumn(own + "repetitions", F.least(F.col(own + "whole") + extra, F.lit(cfg.max_epochs).cast("long")))
 
 
 def mix(sizes: DataFrame, plan: DataFrame | None = None, cfg: MixConfig = MixConfig()) -> DataFrame:
@@ -114,11 +126,11 @@ def mix(sizes: DataFrame, plan: DataFrame | None = None, cfg: MixConfig = MixCon
     ``plan`` is ``source_plan(sizes)``, where it was written before.
 
     Null text has size 0; null is a source of its own, last in order. Documents
-    of size 0 take part with 0 words. Rows that repeat a doc_id share its hash
-    and so its repetitions. An empty table gives no rows. Sums are whole
-    numbers, so a rerun gives the same rows.
+    of size 0 take part with 0 words. Rows that repeat a doc_id are told apart by
+    their texts, and by their place where these agree too. An empty table gives no
+    rows. Sums are whole numbers, so a rerun gives the same rows.
     """
-    out = _planned(sizes.select("doc_id", "source", "size"), source_plan(sizes, cfg) if plan is None else plan, cfg)
+    out = _planned(sizes.select("doc_id", "source", "size", "key"), source_plan(sizes, cfg) if plan is None else plan, F.col("key"), "_plan_", cfg)
     n = F.col("_plan_repetitions")
     return out.select(
         "doc_id", "source", "size", F.col("_plan_source_size").alias("source_size"), F.col("_plan_target").alias("target"),
@@ -131,6 +143,7 @@ def mixed_documents(documents: DataFrame, plan: DataFrame, cfg: MixConfig = MixC
 
     ``plan`` is ``source_plan(sized(documents))``, best written once.
     """
-    out = _planned(documents, plan, cfg).filter("_plan_repetitions > 0")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_plan_repetitions")))
-    return out.select(*documents.columns, each.alias("_plan_n")).drop("_plan_n")
+    own = fresh(documents.columns, "plan_")
+    out = _planned(documents, plan, _key(cfg), own, cfg).filter(F.col(own + "repetitions") > 0)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(own + "repetitions")))
+    return out.select(*documents.columns, each.alias(own + "n")).drop(own + "n")
