@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavefold.llm.shared import discard, light, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -29,7 +31,7 @@ class Rule:
 @dataclass(frozen=True)
 class UrlConfig:
     rules: tuple[Rule, ...] = ()
-    #: Suffixes of more than one label; any other host's suffix is its last label.
+    #: Suffixes of more than one label (any list, such as a published one); any other host's suffix is its last label.
     long_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
     #: Standard deviations below the posterior mean, and the bad rate that the bound must pass.
     z: float = 1.645
@@ -37,6 +39,8 @@ class UrlConfig:
     #: Limits of the intra-group correlation 1 / (strength + 1).
     least_rho: float = 0.001
     most_rho: float = 0.5
+    #: Hosts up to which their reputation is broadcast to the pages; beyond, the join is a shuffle that AQE splits at hot hosts.
+    light_hosts: int = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -50,9 +54,11 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column, long_suffixes: tuple[str, ...]) -> Column:
+    """The longest known suffix of a host, else its last label."""
     out = F.substring_index(host, ".", -1)
-    for s in long_suffixes:
-        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
+    for n in sorted({s.count(".") + 1 for s in long_suffixes}):
+        end = F.substring_index(host, ".", -n)
+        out = F.when(end.isin(*[s for s in long_suffixes if s.count(".") + 1 == n]), end).otherwise(out)
     return out
 
 
@@ -70,49 +76,51 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return text, verdict
 
 
-def _shrunk(groups: DataFrame, key: str, parent_mean: Column, cfg: UrlConfig) -> DataFrame:
-    """groups (key, n, bad, columns of the parents) with strength and posterior mean of this level.
-
-    The moments are one row of sums over the groups, joined back as a broadcast.
-    """
-    sums = groups.filter("n > 0").agg(
-        F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("g"),
-        F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("bbn"),
-    )
-    p = F.col("all_bad") / F.col("all_n")
-    between = (F.col("bbn") - F.col("all_bad") * p) / (p * (1 - p)) - (F.col("g") - 1)
-    room = F.col("all_n") - F.col("nn") / F.col("all_n") - (F.col("g") - 1)
-    rho = F.when((p > 0) & (p < 1) & (room > 0), between / room).otherwise(F.lit(cfg.least_rho))
-    sums = sums.select((1 / F.greatest(F.lit(cfg.least_rho), F.least(F.lit(cfg.most_rho), F.coalesce(rho, F.lit(cfg.least_rho)))) - 1).alias("strength"))
-    d = groups.crossJoin(F.broadcast(sums))  # one row
-    return d.withColumn("mean", (F.col("strength") * parent_mean + F.col("bad")) / (F.col("strength") + F.col("n")))
+def _strength(groups: DataFrame, cfg: UrlConfig) -> float:
+    """Strength of a level's prior from the spread between its groups (n, bad), by the method of moments."""
+    n, bad, nn, g, bbn = groups.filter("n > 0").agg(
+        F.sum(F.col("n").cast("double")), F.sum(F.col("bad").cast("double")), F.sum(F.col("n").cast("double") * F.col("n")), F.count(F.lit(1)), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")),
+    ).collect()[0]
+    rho = cfg.least_rho
+    if g and 0 < bad < n and (room := n - nn / n - (g - 1)) > 0:
+        p = bad / n
+        rho = ((bbn - bad * p) / (p * (1 - p)) - (g - 1)) / room
+    return 1 / max(cfg.least_rho, min(cfg.most_rho, rho)) - 1
 
 
-def host_reputation(outcomes: DataFrame, cfg: UrlConfig) -> DataFrame:
+def host_reputation(outcomes: DataFrame, cfg: UrlConfig, folder: str) -> DataFrame:
     """host, n, bad, mean, bound from rows (host, n, bad): counts of each host.
 
-    Hosts without outcomes take their domain's posterior as prior. Groups are
-    summed level by level, so only the counts of hosts are shuffled.
+    Hosts without outcomes take their domain's posterior as prior. Counts are
+    written once; the levels above are summed from them, and a few sums of each
+    level come to the driver.
     """
     o = outcomes.withColumn("suffix", suffix_of(F.col("host"), cfg.long_suffixes))
-    o = o.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    domains = o.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("base"))
-    s = _shrunk(suffixes.crossJoin(F.broadcast(total)), "suffix", F.col("base"), cfg).select("suffix", F.col("mean").alias("suffix_mean"))
-    d = _shrunk(domains.join(s, "suffix"), "domain", F.col("suffix_mean"), cfg).select("domain", F.col("mean").alias("domain_mean"))
-    h = _shrunk(o.join(d, "domain"), "host", F.col("domain_mean"), cfg)
-    size = F.col("strength") + F.col("n") + 1
-    return h.select("host", "n", "bad", "mean", (F.col("mean") - cfg.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / size)).alias("bound"))
-
-
-def filter_urls(pages: DataFrame, labels: DataFrame, cfg: UrlConfig) -> DataFrame:
+    hosts = written(o.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), folder, "hosts")
+    summed = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = written(summed(hosts, "domain", "suffix"), folder, "domains")
+    suffixes = written(summed(domains, "suffix"), folder, "suffixes")
+    n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).collect()[0]
+
+    def mean(strength: float, parent: Column) -> Column:
+        return (F.lit(strength) * parent + F.col("bad")) / (F.lit(strength) + F.col("n"))
+
+    s = suffixes.select("suffix", mean(_strength(suffixes, cfg), F.lit((bad + 0.5) / (n + 1))).alias("suffix_mean"))
+    d = domains.join(s, "suffix").select("domain", mean(_strength(domains, cfg), F.col("suffix_mean")).alias("domain_mean"))
+    strength = _strength(hosts, cfg)
+    h = hosts.join(d, "domain").select("host", "n", "bad", mean(strength, F.col("domain_mean")).alias("mean"))
+    size = F.lit(strength) + F.col("n") + 1
+    return h.withColumn("bound", F.col("mean") - cfg.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / size))
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, cfg: UrlConfig, folder: str) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and the host's posterior.
 
     ``labels`` are rows (id, bad): outcomes of pages by page_id; several of one
     page all count, rows with a null id or outcome count nothing. A null url or
     one without ``://`` has an empty host and path, which form a host of their
-    own. Repeated pages stay, each judged alike. Empty tables give no rows.
+    own. Repeated pages stay, each judged alike. Empty tables give no rows. The
+    counts of hosts go to ``folder``; pages are read twice.
     """
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = labels.filter("id is not null and bad is not null").groupBy("id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
@@ -120,7 +128,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, cfg: UrlConfig) -> DataFram
     outcomes = counted.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), cfg.rules)
     own = F.when(F.col("bound") > cfg.threshold, "block").otherwise("allow")
-    return p.join(host_reputation(outcomes, cfg), "host").select(
+    reputation = written(host_reputation(outcomes, cfg, folder), folder, "reputation")
+    discard(pages.sparkSession, folder, "hosts", "domains", "suffixes")
+    return p.join(light(reputation, cfg.light_hosts), "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"),
         F.round("mean", 6).alias("bad_rate"), F.round("bound", 6).alias("bad_rate_bound"),
     )
