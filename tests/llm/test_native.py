@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from wavefold.llm import chat, mixing, queries, url_filter
+from wavefold.llm.shared import scratch_dir
 
 DOC = "doc_id long, text string, source string"
 
@@ -56,6 +57,28 @@ def test_mixing_targets_and_words(spark):
     assert out.columns == d.columns and out.count() == sum(x["repetitions"] for x in got)
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Sources of one doc_id, of null ids, and of equal rows come as near to their targets as others."""
+    rows = [(None, f"t{i} " + "w " * 9, "a") for i in range(100)] + [(5, f"t{i} " + "w " * 9, "b") for i in range(100)] + [(6, "w " * 10, "c") for _ in range(300)] + [(i, "w " * 10, "d") for i in range(60)]
+    d = spark.createDataFrame(rows, DOC).repartition(3)
+    got = mixing.mix(mixing.sized(d)).collect()
+    for s in "abcd":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (60 if s == "c" else 10)
+    assert len({r["taken"] for r in got if r["source"] == "a"}) == 2 == len({r["taken"] for r in got if r["source"] == "c"})
+    key = lambda rs: sorted((str(x["doc_id"]), x["source"], x["taken"]) for x in rs)
+    assert key(got) == key(mixing.mix(mixing.sized(d)).collect())
+    more = d.withColumn("plan_whole", F.lit(1))
+    out = mixing.mixed_documents(more, mixing.source_plan(mixing.sized(d)))
+    assert out.columns == more.columns and abs(out.count() - sum(x["repetitions"] for x in got)) <= 6
+
+
+def test_suffixes_and_unlabelled_outcomes(spark):
+    h = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.z.gov.co.uk",), ("h.de",), ("",), ("xco.uk",)], "host string")
+    of = lambda known: [r[0] for r in h.select(url_filter.suffix_of(F.col("host"), known)).collect()]
+    assert of(("co.uk", "gov.co.uk")) == ["co.uk", "co.uk", "gov.co.uk", "de", "", "uk"] and of(()) == ["uk", "uk", "uk", "de", "", "uk"]
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(mixing.sized(spark.createDataFrame([], DOC))).collect() == []
 
@@ -64,21 +87,21 @@ def test_url_rules_and_parts(spark):
     urls = ["http://WWW.Example.com/en/x?a", "https://a.example.com/en/1#t", "http://x.net/es/", "http://x.net/de/", "ftp://b.com", "no scheme", None, "", "a://h.net?x/fr/", "http://c.com/x://y"]
     p = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
     lab = spark.createDataFrame([(0, 1), (None, 1), (3, None)], "id long, bad int")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(p, lab, url_filter.UrlConfig(rules=queries.RULES)).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(p, lab, url_filter.UrlConfig(rules=queries.RULES), scratch_dir(spark)).collect()}
     assert got[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
     assert got[1] == ("a.example.com", "/en/1", "example.com/en/", "block")
     assert got[2] == ("x.net", "/es/", "net/es/", "block")
     assert got[3][2] is None and got[4] == ("b.com", "", None, got[4][3])
     assert got[5][:3] == ("", "", None) == got[6][:3] == got[7][:3]
     assert got[8][:3] == ("h.net", "", None) and got[9][:3] == ("c.com", "/x://y", "com/")
-    assert url_filter.filter_urls(p.limit(0), lab.limit(0), url_filter.UrlConfig()).collect() == []
+    assert url_filter.filter_urls(p.limit(0), lab.limit(0), url_filter.UrlConfig(), scratch_dir(spark)).collect() == []
 
 
 def test_reputation_blocks_bad_hosts(spark):
     rows = [(i, f"http://bad.site.org/{i}") for i in range(60)] + [(100 + i, f"http://h{i % 9}.good.org/{i}") for i in range(200)]
     p = spark.createDataFrame(rows, "page_id long, url string")
     lab = spark.createDataFrame([(i, 1) for i in range(50)] + [(100 + i, int(i % 20 == 0)) for i in range(150)], "id long, bad int")
-    got = url_filter.filter_urls(p, lab, url_filter.UrlConfig()).groupBy("host").agg(F.first("verdict").alias("v")).collect()
+    got = url_filter.filter_urls(p, lab, url_filter.UrlConfig(), scratch_dir(spark)).groupBy("host").agg(F.first("verdict").alias("v")).collect()
     assert {r["host"] for r in got if r["v"] == "block"} == {"bad.site.org"}
 
 

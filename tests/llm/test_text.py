@@ -92,6 +92,14 @@ def test_token_counts(spark):
     assert got == want
 
 
+def test_other_tokenizers_get_whole_texts():
+    tok = token_count.load(WORD)
+    assert token_count.cuts_before_spaces(token_count.load(BYTE)) and not token_count.cuts_before_spaces(tok)
+    texts = odd_texts(50, 40) + ["x " * 60]
+    got = token_count.count_texts(tok, token_count.Memory(9, token_count.cuts_before_spaces(tok)), texts, token_count.CountConfig(chunk=32))
+    assert got == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_splicing_widens_and_grows():
     tok, stats = token_count.load(BYTE), {}
     for text in [*odd_texts(400, 200, 5), "a" * 900 + " " * 700 + "b c" * 300, "<|endoftext|>" * 60]:
@@ -251,16 +259,49 @@ def test_toxicity_held_out(spark):
     rows += [(None, "x"), (2000, None), (2001, ""), (2002, "w1 badwordling evilstems " + "w2 " * 300_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     lab = spark.createDataFrame([*labels, (None, 1, 1), (1, None, None)], "doc_id long, low_quality int, toxic int")
-    chain = toxicity.fit_chain(d, lab.filter("doc_id % 4 <> 1"), toxicity.ToxicityConfig(features=200))
+    chain = toxicity.fit_chain(d, lab.filter("doc_id % 4 <> 1"), scratch_dir(spark), toxicity.ToxicityConfig(features=200))
     got = {x["doc_id"]: x["toxic"] for x in toxicity.score_documents(d, chain).collect()}
     held = [i for i in range(1200) if i % 4 == 1]
     assert sum(got[i] == (i % 5 == 0) for i in held) / len(held) > 0.97
     assert got[2002] and not got[2000] and not got[2001] and not got[None]
-    empty = toxicity.fit_chain(d, lab.limit(0))
+    empty = toxicity.fit_chain(d, lab.limit(0), scratch_dir(spark))
     assert not any(x["toxic"] for x in toxicity.score_documents(d, empty).collect())
     assert toxicity.score_documents(d.limit(0), chain).collect() == []
 
 
+def test_training_sample_is_bounded(spark):
+    """Repeated ids and texts, labels without a document and ties: at most cfg.sample rows, each text of an id once."""
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, f"t{i}") for i in range(50)] + [(2, "b"), (3, None), (None, "c")], "doc_id long, text string").withColumn("_y0", F.lit(9))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 3)] + [(3, None, 1), (3, 0, None), (None, 1, 1)] + [(i, 1, 1) for i in range(100, 400)], "doc_id long, low_quality int, toxic int")
+    rows = toxicity.labelled(docs, labels, scratch_dir(spark), toxicity.ToxicityConfig()).collect()
+    assert len(rows) == 53 and sorted((r["_y0"], r["_y1"]) for r in rows if r["_id"] == 3) == [(0, 1)]
+    assert len(toxicity.labelled(docs, labels, scratch_dir(spark), toxicity.ToxicityConfig(sample=7)).collect()) == 7
+
+
+def test_chain_agrees_with_a_plain_version(spark):
+    """Probabilities of the chain, feature by feature and category by category, from its weights."""
+    rows = [(i, " ".join(["good", "word", f"w{i % 7}"] + (["vile"] if i % 3 == 0 else [])), i % 2, int(i % 3 == 0)) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int")
+    chain = toxicity.fit_chain(d.select("doc_id", "text"), d.select("doc_id", "low_quality", "toxic"), scratch_dir(spark), toxicity.ToxicityConfig(features=30))
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"], r["toxic"]) for r in toxicity.score_documents(d, chain).collect()}
+    import pyarrow as pa
+
+    from wavefold.llm.words import BY_LETTER, word_batches
+
+    names: dict = {}
+    for w in ["good", "word", "vile", *[f"w{k}" for k in range(7)]]:
+        *_, words = next(word_batches(pa.array([w]), BY_LETTER))
+        names[w] = [int(words.hashes[0]), *(int(x) for n in (4, 5, 6, 7) for x in words.prefixes(n)[1])]
+    place = {int(h): k for k, h in enumerate(chain.kept)}
+    for i, text, *_ in rows:
+        x = {place[h] for w in text.split() for h in names[w] if h in place}
+        p: list = []
+        for weights, dense, intercept in chain.models:
+            z = sum(weights[k] for k in x) + sum(a * b for a, b in zip(dense, p, strict=True)) + intercept
+            p.append(1 / (1 + np.exp(-z)))
+        assert got[i] == (pytest.approx(p[0], abs=1e-6), pytest.approx(p[1], abs=1e-6), p[1] >= 0.5) and got[i][2] == (i % 3 == 0)
+
+
 # decontamination
 
 

@@ -62,7 +62,7 @@ def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return toxicity.score_documents(documents, toxicity.fit_chain(documents, toxicity_labels(spark, sf_dir)))
+    return toxicity.score_documents(documents, toxicity.fit_chain(documents, toxicity_labels(spark, sf_dir), scratch_dir(spark)))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, url_filter.UrlConfig(rules=RULES))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.coalesce("quality", "toxic").isNotNull(), 0).alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, url_filter.UrlConfig(rules=RULES), scratch_dir(spark))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 _OP2 = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * 3 AS cap,
@@ -172,7 +172,7 @@ WITH p AS (
                  ELSE regexp_extract(left(host, greatest(length(host) - length(suffix) - 1, 0)), '[^.]*$') || '.' || suffix END AS domain
   FROM x
 ), lab AS (
-  SELECT doc_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND coalesce(quality, toxic) IS NOT NULL GROUP BY doc_id
 ), h AS (
   SELECT host, domain, suffix, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
   FROM y LEFT JOIN lab ON lab.doc_id = y.page_id GROUP BY host, domain, suffix

@@ -18,6 +18,7 @@ boundary, and the left chunk grows, in the end to the whole rest.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -52,6 +53,14 @@ def load(path: str):
     return t
 
 
+def cuts_before_spaces(tokenizer) -> bool:
+    """Whether the tokenizer is a byte-level one of the pattern that pieces and splices rely on; others get whole texts."""
+    j = json.loads(tokenizer.to_str())
+    pre = j["pre_tokenizer"] or {}
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in j["added_tokens"])
+    return j["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and plain
+
+
 def _margin(tokenizer) -> int:
     return 2 + max([len(t.content) for t in tokenizer.get_added_tokens_decoder().values()], default=0)
 
@@ -119,9 +128,9 @@ class Memory(dict):
     At most ``most`` pieces are remembered; then all are forgotten.
     """
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, cuts: bool = True):
         super().__init__()
-        self.most = most
+        self.most, self.cuts = most, cuts
 
     def learn(self, tokenizer, wanted: set[str], prefix: str, value, direct=None) -> None:
         """``direct`` gives the value of a plain word from the library's model, None for other pieces."""
@@ -174,10 +183,12 @@ def _direct_count(tokenizer):
 
 @lru_cache(maxsize=4)
 def _memory(path: str, most: int) -> Memory:
-    return Memory(most)
+    return Memory(most, cuts_before_spaces(load(path)))
 
 
 def count_texts(tokenizer, memory: Memory, texts: list[str], cfg: CountConfig) -> list[int]:
+    if not memory.cuts:
+        return [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
     out = [0] * len(texts)
     cut: dict[int, list[str]] = {}
     for i, t in enumerate(texts):

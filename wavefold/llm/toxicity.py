@@ -7,7 +7,7 @@ probabilities are out of fold: they come from models that did not see the row.
 Features are hashes of words and of their first bytes, so inflected and compound
 forms of a word count too. The features kept are those of the highest chi-square
 with any category. Training uses a bounded sample of labelled rows (those of
-least hash of the id); every document is scored.
+least hash of the id that have a document); every document is scored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavefold.llm.shared import written
 from wavefold.llm.words import BY_LETTER, word_batches
 
 
@@ -77,16 +78,21 @@ def _features(texts: pa.Array, prefixes: tuple[int, ...], kept: np.ndarray | Non
         yield open_row, parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig) -> DataFrame:
-    """The training sample: _id, text and one 0/1 column for each category.
+def labelled(documents: DataFrame, labels: DataFrame, folder: str, cfg: ToxicityConfig) -> DataFrame:
+    """The training sample, written to ``folder``: _id, text and one 0/1 column for each category, at most ``cfg.sample`` rows.
 
     ``labels`` has doc_id and the categories; of several rows of a doc_id the
-    highest value counts, null counts as 0. The join side has at most
-    ``cfg.sample`` rows of a few numbers, so it is broadcast.
+    highest value counts, null counts as 0. Only documents with a label are
+    counted; those of least hash of doc_id are taken, among texts of one doc_id
+    those of least hash; rows that agree in both count once. Texts are named by
+    a hash until the sample is known, so they are not moved before.
     """
     y = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(f"_y{i}") for i, c in enumerate(cfg.categories)])
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample).withColumnRenamed("doc_id", "_id")
-    return documents.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("_id")).drop("doc_id")
+    d = documents.select(F.col("doc_id").cast("long").alias("_id"), "text").withColumn("_text", F.xxhash64("text"))
+    known = d.select("_id", "_text").join(y, F.col("_id") == F.col("doc_id")).drop("doc_id").distinct()
+    sample = written(known.orderBy(F.xxhash64("_id"), "_id", "_text").limit(cfg.sample), folder, "sample-ids")
+    rows = d.join(F.broadcast(sample), ["_id", "_text"]).dropDuplicates(["_id", "_text"])  # at most cfg.sample rows of a few numbers
+    return written(rows.select("_id", "text", *[f"_y{i}" for i in range(len(cfg.categories))]), folder, "sample")
 
 
 def _counted(n: int, prefixes: tuple[int, ...]):
@@ -161,9 +167,9 @@ class Chain:
         return out
 
 
-def fit_chain(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> Chain:
-    """Trains the chain; without labelled rows all probabilities are near 0."""
-    n, sample = len(cfg.categories), labelled(documents, labels, cfg)
+def fit_chain(documents: DataFrame, labels: DataFrame, folder: str, cfg: ToxicityConfig = ToxicityConfig()) -> Chain:
+    """Trains the chain; without labelled rows all probabilities are near 0. Features of equal chi-square are taken by their hash."""
+    n, sample = len(cfg.categories), labelled(documents, labels, folder, cfg)
     counts = sample.mapInArrow(_counted(n, cfg.prefixes), "f long, n long, " + ", ".join(f"y{i} long" for i in range(n)))
     counts = counts.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", *(f"y{i}" for i in range(n)))]).filter(F.col("n") >= cfg.least_documents)
     total = sample.agg(F.count("*"), *[F.coalesce(F.sum(f"_y{i}"), F.lit(0)) for i in range(n)]).collect()[0]
