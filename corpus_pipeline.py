@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chain = toxicity.fit_chain(docs, queries.toxicity_labels(spark, sf_dir))
+    chain = toxicity.fit_chain(docs, queries.toxicity_labels(spark, sf_dir), scratch_dir(spark))
     last = chain.cfg.categories[-1]
     return docs.filter(toxicity.probability(F.col("text"), chain)[last] < chain.cfg.threshold)
 
