@@ -1,15 +1,59 @@
-"""Cutting the lineage of iterative jobs."""
+"""Iterative jobs: cutting lineage, following chains, positions in an order."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set and all runs on one machine, a temporary folder is; a cluster must name one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="wavefold-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder in ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavefold-"))
+    """``df`` checkpointed to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def follow(nodes: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
+    """(key, at) of all that is reached from ``roots`` (key, at) by the steps of ``nodes`` (key, at, to; one a node).
+
+    The steps double each round, so there are as many rounds as the logarithm of
+    the longest chain, each a join that is spread over all nodes.
+    """
+    reached, jump, count = roots.select(*key, "at"), cut(nodes.filter("to is not null").select(*key, "at", "to")), -1
+    while True:
+        reached = cut(reached.unionByName(reached.join(jump, [*key, "at"]).select(*key, F.col("to").alias("at"))).distinct())
+        if (now := reached.count()) == count:
+            return reached
+        further = jump.select(*key, F.col("at").alias("to"), F.col("to").alias("_to"))
+        count, jump = now, cut(jump.join(further, [*key, "to"]).select(*key, "at", F.col("_to").alias("to")))
+
+
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """``df`` with the position of each row (from 0) in an order, found without a task that sees all rows.
+
+    Rows are dealt out by ranges of the order and ranked inside of each range; the
+    rows of the ranges before it (one number a range) are added.
+    """
+    d = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return d.withColumn("_rank", inside).join(counts.select("_range", before.alias("_before")), "_range").withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_range", "_rank", "_before")

@@ -260,7 +260,12 @@ def focus(df: DataFrame, key: str, half: int, length: int, hop: int, threshold_d
 
 
 def ema_baseline(df: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
-    """Exponential moving average e = (1 - alpha) * e + alpha * v from the first sample on, for clips of any length.
+    """(key, n, v, ema): the exponential moving average of v, see ``ema_columns``."""
+    return ema_columns(df.select(key, "n", "v"), key, ("v",), alpha).withColumnRenamed("v_ema", "ema")
+
+
+def ema_columns(df: DataFrame, key: str, columns: tuple[str, ...], alpha: float = 0.05) -> DataFrame:
+    """Rows with <column>_ema: e = (1 - alpha) * e + alpha * v from the first sample (n = 0) on, for clips of any length.
 
     Inside a block, whose length keeps (1 - alpha)^-n below e^20, it is a running
     sum in closed form. A block starts from the decayed values at the ends of the
@@ -270,17 +275,18 @@ def ema_baseline(df: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
     size = 1 if q <= 0 else 1 << 40 if q >= 1 else max(1, int(20 / -math.log(q)))
     power = lambda n: F.pow(F.lit(float(q)), n)
     d = df.withColumn("_b", F.floor(F.col("n") / size)).withColumn("_k", F.col("n") % size)
-    x = F.col("v") * F.when(F.col("n") == 0, 1.0).otherwise(alpha)
-    if size == 1:
-        local = x
-    else:
-        local = power(F.col("_k")) * F.sum(x * power(-F.col("_k"))).over(Window.partitionBy(key, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_e", local)
-    last = d.groupBy(key, "_b").agg(F.max_by("_e", "_k").alias("_l"), F.max("_k").alias("_k")).select(key, "_b", (F.col("_l") * power(size - 1 - F.col("_k"))).alias("_l"))
-    before = F.collect_list(F.struct("_b", "_l")).over(Window.partitionBy(key).orderBy("_b").rangeBetween(-75, -1))
-    carry = F.aggregate(before, F.lit(0.0), lambda s, x: s + x["_l"] * power((F.col("_b") - x["_b"] - 1) * size))
-    last = last.select(key, "_b", carry.alias("_c"))
-    return d.join(last, [key, "_b"]).select(key, "n", "v", (F.col("_e") + power(F.col("_k") + 1) * F.col("_c")).alias("ema"))
+    inside = Window.partitionBy(key, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i, c in enumerate(columns):
+        x = F.col(c) * F.when(F.col("n") == 0, 1.0).otherwise(alpha)
+        d = d.withColumn(f"_e{i}", x if size == 1 else power(F.col("_k")) * F.sum(x * power(-F.col("_k"))).over(inside))
+    many = range(len(columns))
+    last = d.groupBy(key, "_b").agg(F.max("_k").alias("_k"), *[F.max_by(f"_e{i}", "_k").alias(f"_l{i}") for i in many])
+    last = last.select(key, "_b", *[(F.col(f"_l{i}") * power(size - 1 - F.col("_k"))).alias(f"_l{i}") for i in many])
+    last = last.withColumn("_before", F.collect_list(F.struct("_b", *[f"_l{i}" for i in many])).over(Window.partitionBy(key).orderBy("_b").rangeBetween(-75, -1)))
+    carry = lambda i: F.aggregate("_before", F.lit(0.0), lambda s, x: s + x[f"_l{i}"] * power((F.col("_b") - x["_b"] - 1) * size))
+    last = last.select(key, "_b", *[carry(i).alias(f"_c{i}") for i in many])
+    ema = [(F.col(f"_e{i}") + power(F.col("_k") + 1) * F.col(f"_c{i}")).alias(f"{c}_ema") for i, c in enumerate(columns)]
+    return d.join(last, [key, "_b"]).select(*df.columns, *ema)
 
 
 def roll(df: DataFrame, frame: str, shift: int, total: int) -> DataFrame:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavefold.operators import evaluate, features, mfcc, sampling, score
-from wavefold.plans.features import resampled
+from wavefold.operators import evaluate, features, mfcc, motion, sampling, score
 from wavefold.plans.registry import query, rounded
 from wavefold.schemas import AXES
 from wavefold.sources import driver_tables as T
-from wavefold.streaming import jobs
 
 CFG = mfcc.MfccConfig(sample_rate=200, win=20, hop=8, n_fft=32, n_mels=8, n_mfcc=8, frames=8)
 
@@ -20,6 +18,12 @@ def m05(spark, d):
     return mfcc.mfcc(c, CFG)
 
 
+@query("m05_voice_features")
+def m05_voice(spark, d):
+    """The whole job on clips: trim, loudness, focus, features."""
+    return mfcc.voice_features(T.clips(spark, d), CFG, trim_db=-3.0, frame_s=0.08, hop_s=0.04, pad_s=0.015, half_s=0.1)
+
+
 @query("m05_mfcc_long")
 def m05_long(spark, d):
     return mfcc.mfcc_long(T.clips(spark, d), CFG)
@@ -70,12 +74,32 @@ def m15(spark, d):
     return score.sweep(_labelled(spark, d), {"reg": [0.01, 0.1], "max_iter": [10]}, 10)
 
 
-@query("w18_motion_segments")
+@query(
+    "w18_motion_segments",
+    "WITH RECURSIVE " + T.SAMPLES_SQL + """, a(d, n, x, y, z) AS (
+      SELECT measurement_id, sequence_id, acc_x, acc_y, acc_z FROM samples WHERE sequence_id = 0
+      UNION ALL SELECT d, n + 1, 0.95 * x + 0.05 * acc_x, 0.95 * y + 0.05 * acc_y, 0.95 * z + 0.05 * acc_z FROM a JOIN samples ON measurement_id = d AND sequence_id = n + 1
+    ), e AS (
+      SELECT d, n, sqrt(gyro_x ** 2 + gyro_y ** 2 + gyro_z ** 2) + 0.5 * sqrt((acc_x - x) ** 2 + (acc_y - y) ** 2 + (acc_z - z) ** 2) AS e FROM a JOIN samples ON measurement_id = d AND sequence_id = n
+    ), l AS (SELECT d, avg(e) + (stddev_pop(e) + 1e-6) AS high, avg(e) + 0.5 * (stddev_pop(e) + 1e-6) AS low FROM e WHERE n < 10 GROUP BY d HAVING count(*) = 10
+    ), m(d, n, above, below, first, len, done) AS (
+      SELECT d, 9, 0, 0, -1, 0, 0 FROM l
+      UNION ALL
+      SELECT d, n, CASE WHEN first < 0 AND NOT opens THEN up ELSE 0 END, CASE WHEN first >= 0 AND NOT ends THEN down ELSE 0 END,
+             CASE WHEN first < 0 THEN CASE WHEN opens THEN n ELSE -1 END WHEN ends THEN -2 - first ELSE first END,
+             CASE WHEN first < 0 THEN 1 ELSE len + 1 END, CASE WHEN first >= 0 AND ends AND len + 1 >= 2 THEN 1 ELSE 0 END
+      FROM (SELECT m.d, e.n, greatest(m.first, -1) AS first, m.len, CASE WHEN e > high THEN above + 1 ELSE 0 END AS up, CASE WHEN e < low THEN below + 1 ELSE 0 END AS down,
+                   CASE WHEN e > high THEN above + 1 ELSE 0 END >= 2 AS opens, m.len + 1 >= 20 OR CASE WHEN e < low THEN below + 1 ELSE 0 END >= 3 AS ends
+            FROM m JOIN e ON e.d = m.d AND e.n = m.n + 1 JOIN l ON l.d = m.d)
+    )
+    SELECT CAST(d AS VARCHAR) AS device, CAST(-2 - first AS BIGINT) AS first, CAST(len AS BIGINT) AS samples FROM m WHERE done = 1""",
+)
 def w18(spark, d):
-    s = T.samples(spark, d)
-    names = dict(zip(AXES, ("gx", "gy", "gz", "ax", "ay", "az"), strict=True))
-    s = s.select(F.col("measurement_id").cast("string").alias("device"), F.col("sequence_id").alias("seq"), *[F.col(a).alias(b) for a, b in names.items()])
-    return jobs.segment_motion(s, jobs.MotionConfig(rate=10, start_z=1.0, end_z=0.5, start_count=2, end_count=3))
+    return motion.segment_motion(motion_samples(spark, d), motion.MotionConfig(rate=10, start_z=1.0, end_z=0.5, start_count=2, end_count=3))
 
 
-assert resampled
+def motion_samples(spark, d):
+    """Samples of devices: device, seq, gx .. az."""
+    s = T.samples(spark, d)
+    names = dict(zip(AXES, ("gx", "gy", "gz", "ax", "ay", "az"), strict=True))
+    return s.select(F.col("measurement_id").cast("string").alias("device"), F.col("sequence_id").alias("seq"), *[F.col(a).alias(b) for a, b in names.items()])
