@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from wavefold.operators import packets
+from wavefold.operators import motion, packets
+from wavefold.sources.ingest import message_stream
 from wavefold.streaming import jobs
 
 
-def stream(spark, df, folder, **cast):
-    df.write.mode("overwrite").parquet(folder)
+def stream(spark, *parts, folder):
+    """A stream that reads one of the parts a batch."""
+    df = parts[0]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -23,55 +30,106 @@ def run(sdf, name, tmp_path):
 def test_reassembly(spark, tmp_path):
     rows = [("a", 1, 2, b"B", 1), ("a", 0, 2, b"A", 2), ("b", 0, 3, b"x", 1), ("b", 2, 3, b"z", 2), ("c", 0, 1, b"q", 3)]
     d = spark.createDataFrame(rows, "id string, index int, total int, data binary, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
-    got = run(jobs.reassemble_stream(stream(spark, d, str(tmp_path / "in"))), "chunks", tmp_path)
+    got = run(jobs.reassemble_stream(stream(spark, d, folder=str(tmp_path / "in"))), "chunks", tmp_path)
     key = lambda df: {(r["id"], r["total"], bytes(r["data"])) for r in df.select("id", "total", "data").collect()}
     assert key(got) == key(packets.reassemble(d)) == {("a", 2, b"AB"), ("c", 1, b"q")}
 
 
+def plain_segments(x, cfg):
+    """Segments of one device, sample by sample from the rules."""
+    ema, found, energy, opened, run_up, run_down = x[0, 3:], [], [], None, 0, 0
+    for row in x:
+        ema = 0.95 * ema + 0.05 * row[3:] if energy else row[3:]
+        energy.append(np.linalg.norm(row[:3]) + cfg.beta * np.linalg.norm(row[3:] - ema))
+    calm = np.array(energy[: cfg.calibration])
+    if len(calm) < cfg.calibration:
+        return []
+    high, low = (calm.mean() + z * (calm.std() + 1e-6) for z in (cfg.start_z, cfg.end_z))
+    for n in range(cfg.calibration, len(x)):
+        if opened is None:
+            run_up = run_up + 1 if energy[n] > high else 0
+            if run_up == cfg.start_count:
+                opened, run_up, run_down = n - min(n + 1, cfg.pre_roll) + 1, 0, 0
+            continue
+        run_down = run_down + 1 if energy[n] < low else 0
+        length = n - opened + 1
+        if length >= cfg.most or run_down == cfg.end_count:
+            if length >= min(cfg.most, cfg.least):
+                found.append((opened, length))
+            opened = None
+    return found
+
+
 def test_motion_segments(spark, tmp_path):
     rng = np.random.default_rng(0)
-    rows = []
-    for dev in ("m", "n"):
-        for i in range(300):
-            move = 100 if 120 <= i < 170 or 220 <= i < 260 else 0
-            rows.append((dev, i, float(move + rng.normal(0, 0.1)), 0.0, 0.0, 0.0, 0.0, 9.8))
+    cfg, rows, want = motion.MotionConfig(), [], set()
+    for dev in "mnopq":
+        x = rng.normal(0, 0.1, (700, 6)) + np.array([0, 0, 0, 0, 0, 9.8])
+        if dev in "mn":
+            x[120:170, 0] += 100
+            x[220:260, 0] += 100
+        elif dev == "o":  # never rests: cut again and again, with gaps in which nothing opens
+            x[60:, 0] += np.where(rng.random(640) < 0.9, 50, 0)
+        elif dev == "p":
+            x[60:, 0] += np.repeat(np.where(rng.random(64) < 0.5, 50, 0), 10)
+        else:
+            x = x[:30]
+        rows += [(dev, i, *map(float, v)) for i, v in enumerate(x)]
+        want |= {(dev, *s) for s in plain_segments(x, cfg)}
     d = spark.createDataFrame(rows, "device string, seq long, gx double, gy double, gz double, ax double, ay double, az double")
-    d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") / 50)).coalesce(1).sortWithinPartitions("seq")
-    batch = {tuple(r) for r in jobs.segment_motion(d).collect()}
-    assert len(batch) == 4
-    got = {tuple(r) for r in run(jobs.segment_motion_stream(stream(spark, d, str(tmp_path / "in"))), "motion", tmp_path).collect()}
+    d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") / 50))
+    batch = {tuple(r) for r in motion.segment_motion(d).collect()}
+    assert batch == want and len([s for s in want if s[0] == "o"]) > 4
+    parts = [d.filter(F.col("seq").between(a, b)) for a, b in ((0, 29), (30, 126), (127, 500), (501, 700))]
+    got = {tuple(r) for r in run(jobs.segment_motion_stream(stream(spark, *parts, folder=str(tmp_path / "in"))), "motion", tmp_path).collect()}
     assert got == batch
 
 
 def test_arbitration(spark, tmp_path):
     d = spark.range(60).select((F.col("id") % 3).cast("string").alias("device"), (F.col("id") * 20.0).alias("ts_ms"), (F.col("id") % 5).cast("double").alias("motion"), ((F.col("id") % 4) / 50).alias("voice"))
     d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ts_ms") / 1000)).coalesce(1)
-    got = run(jobs.arbitrate_stream(stream(spark, d, str(tmp_path / "in"))), "arb", tmp_path)
+    got = run(jobs.arbitrate_stream(stream(spark, d, folder=str(tmp_path / "in"))), "arb", tmp_path)
     key = lambda df: {(r["device"], r["ts_ms"], r["route"]) for r in df.collect()}
     assert key(got) == key(packets.arbitrate(d))
 
 
-def test_serve_splits_results_and_errors(spark, tmp_path):
-    import base64
-    import json
-
-    good = json.dumps({"type": "imu", "data": {"samples": [dict.fromkeys(("gx", "gy", "gz", "ax", "ay", "az"), 1.0)], "count": 1}})
+def test_serve_routes_results_and_errors(spark, tmp_path):
+    """60 samples in, one reply out; what cannot be read is a dead letter with its reason."""
+    sample = dict.fromkeys(("gx", "gy", "gz", "ax", "ay", "az"), 1.0)
+    window = json.dumps({"type": "imu", "data": {"samples": [sample] * 60, "count": 60}})
     (tmp_path / "in").mkdir()
-    lines = [{"topic": "esp32/d1/sensor/imu", "value": base64.b64encode(v.encode()).decode(), "ts": "2024-01-01T00:00:00"} for v in (good, "{}")]
+    sent = [("esp32/d1/sensor/imu", window), ("esp32/d1/sensor/imu", "{}"), ("esp32/d2/sensor/imu", json.dumps([sample])), ("phone/p/viz/mic", json.dumps({"base64": "!!"})), ("phone/p/viz/mic", "RIFFx"), ("esp32/d1/other", "x")]
+    lines = [{"topic": t, "value": base64.b64encode(v.encode()).decode(), "ts": "2024-01-01T00:00:00"} for t, v in sent]
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))
-    from wavefold.sources.ingest import message_stream
-
-    m = message_stream(spark, "json", str(tmp_path / "in"), "^esp32/")
-    score = lambda d: d.select("device", F.lit("action").alias("kind"), F.lit("Raise").alias("label"), F.lit(1.0).alias("confidence"), F.col("topic").alias("source_topic"))
-    q = jobs.serve(m, score, str(tmp_path / "r"), str(tmp_path / "e"), str(tmp_path / "c"))
+    m = message_stream(spark, "json", str(tmp_path / "in"), "^(esp32/[^/]+/sensor/imu|phone/[^/]+/viz/mic)$")
+    n = F.size(F.from_json(F.get_json_object("packet", "$.data.samples"), "array<string>")).cast("string")
+    handle = lambda d: d.select("device", F.lit("action").alias("kind"), n.alias("label"), F.lit(1.0).alias("confidence"), F.col("topic").alias("source_topic"))
+    q = jobs.serve(m, {"imu": handle}, str(tmp_path / "r"), str(tmp_path / "e"), str(tmp_path / "c"), availableNow=True)
     assert q.awaitTermination(120)
-    assert spark.read.json(str(tmp_path / "r")).count() == 1
-    assert [r["reason"] for r in spark.read.json(str(tmp_path / "e")).collect()] == ["type"]
+    got = [json.loads(r["value"])["data"] for r in spark.read.json(str(tmp_path / "r")).collect()]
+    assert sorted((g["device_id"], g["label"]) for g in got) == [("d1", "60"), ("d2", "1")]
+    assert sorted(r["reason"] for r in spark.read.json(str(tmp_path / "e")).collect()) == ["base64", "route", "unhandled"]
 
 
-def test_capture_writes_by_device(spark, tmp_path):
+def test_capture_writes_by_session_kind_and_device(spark, tmp_path):
     d = spark.createDataFrame([("esp32/d1/sensor/imu", b"x", 0), ("a/b", b"y", 0)], "topic string, value binary, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    sink = jobs.capture_sink(str(tmp_path / "cap"))
+    sink = jobs.capture_sink(str(tmp_path / "cap"), "s7", lambda rows: rows.select("stem", F.length("value").alias("n")))
     sink(d, 0)
     sink(d, 0)  # a repeated batch replaces itself
-    assert sorted(r["device"] for r in spark.read.parquet(str(tmp_path / "cap")).collect()) == ["d1", "unknown"]
+    raw = spark.read.parquet(str(tmp_path / "cap/raw/session=s7/batch=0")).collect()
+    assert sorted((r["kind"], r["device"], r["stem"]) for r in raw) == [("b", "unknown", "000000000-unknown-a_b"), ("imu", "d1", "000000000-d1-esp32_d1_sensor_imu")]
+    assert {r["n"] for r in spark.read.parquet(str(tmp_path / "cap/processed/session=s7/batch=0")).collect()} == {1}
+
+
+def test_arbitration_of_long_chains(spark):
+    rng = np.random.default_rng(1)
+    rows = [(dev, float(t), float(m), float(v)) for dev in "ab" for t, m, v in zip(np.cumsum(rng.integers(0, 90, 400)), rng.random(400) * 2, rng.random(400) / 30, strict=True)]
+    d = spark.createDataFrame(rows, "device string, ts_ms double, motion double, voice double")
+    want, last = [], {}
+    for dev, t, m, v in sorted(rows, key=lambda r: (r[0], r[1], "gesture" if r[2] > 1.2 else "voice")):
+        route = "gesture" if m > 1.2 else "voice" if v > 0.015 else "none"
+        if route != "none" and t - last.get(dev, -1e9) < 150:
+            route = "none"
+        last[dev] = t if route != "none" else last.get(dev, -1e9)
+        want.append((dev, t, route))
+    assert sorted(map(tuple, packets.arbitrate(d).collect())) == sorted(want)

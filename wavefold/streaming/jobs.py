@@ -7,15 +7,15 @@ end, and idle keys are dropped once the watermark passes their time to live.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavefold.operators import packets
+from wavefold.operators.motion import MotionConfig
 
 
 def reassemble_stream(chunks: DataFrame, ttl_s: int = 30) -> DataFrame:
@@ -60,92 +60,84 @@ def reassemble_stream(chunks: DataFrame, ttl_s: int = 30) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class MotionConfig:
-    rate: int = 50
-    alpha: float = 0.05
-    beta: float = 0.5
-    start_count: int = 3
-    end_count: int = 8
-    calibrate_s: float = 1.0
-    start_z: float = 3.0
-    end_z: float = 1.5
-    most_s: float = 2.0
-    least_s: float = 0.25
-    pre_roll_s: float = 0.15
-
-
-class Motion:
-    """Hysteresis segmentation of one device's samples; the state is a plain tuple of numbers and lists."""
-
-    def __init__(self, cfg: MotionConfig, state: tuple | None = None):
-        self.cfg = cfg
-        self.n, self.ema, self.idle, self.levels, self.above, self.below, self.start, self.length = state or (0, [], [], [], 0, 0, -1, 0)
-        self.ema, self.idle, self.levels = list(self.ema), list(self.idle), list(self.levels)
-
-    def state(self) -> tuple:
-        return self.n, self.ema, self.idle, self.levels, self.above, self.below, self.start, self.length
-
-    def push(self, x: np.ndarray) -> tuple[int, int] | None:
-        """(first sample, samples) of a segment that ends with this sample."""
-        c, acc = self.cfg, x[3:6]
-        ema = acc if not self.ema else (1 - c.alpha) * np.array(self.ema) + c.alpha * acc
-        self.ema = ema.tolist()
-        e = float(np.linalg.norm(x[:3]) + c.beta * np.linalg.norm(acc - ema))
-        at, self.n = self.n, self.n + 1
-        if not self.levels:
-            self.idle.append(e)
-            if len(self.idle) >= round(c.calibrate_s * c.rate):
-                mean, sd = float(np.mean(self.idle)), float(np.std(self.idle)) + 1e-6
-                self.levels, self.idle = [mean + c.start_z * sd, mean + c.end_z * sd], []
-            return None
-        if self.start < 0:
-            self.above = self.above + 1 if e > self.levels[0] else 0
-            if self.above >= c.start_count:
-                pre = min(self.n, int(c.pre_roll_s * c.rate))
-                self.start, self.length, self.above, self.below = at - pre + 1, pre, 0, 0
-            return None
-        self.length += 1
-        self.below = self.below + 1 if e < self.levels[1] else 0
-        full, still = self.length >= round(c.most_s * c.rate), self.below >= c.end_count
-        if not (full or still):
-            return None
-        out, self.start, self.below = (self.start, self.length), -1, 0
-        return out if full or out[1] >= max(2, round(c.least_s * c.rate)) else None
+_AXES = ["gx", "gy", "gz", "ax", "ay", "az"]
+_MOTION_STATE = "n long, ema array<double>, calm array<double>, levels array<double>, tail array<double>, opened long, free long"
 
 
-_AXES = ["gx", "gy", "gz", "ax", "ay", "az"]
-_SEGMENT = "device string, first long, samples long"
+def _energies(x: np.ndarray, ema: np.ndarray, first: bool, cfg: MotionConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Energies of samples and the moving average behind them; averages of 256 samples at once are one matrix product."""
+    acc, out = x[:, 3:], np.empty((len(x), 3))
+    lag = np.subtract.outer(np.arange(256), np.arange(256))
+    weights = np.where(lag >= 0, cfg.alpha * (1 - cfg.alpha) ** np.maximum(lag, 0), 0.0)
+    if first and len(acc):
+        ema = acc[0]  # as if it had always been so
+    for at in range(0, len(acc), 256):
+        part = acc[at : at + 256]
+        out[at : at + 256] = weights[: len(part), : len(part)] @ part + (1 - cfg.alpha) ** np.arange(1, len(part) + 1)[:, None] * ema
+        ema = out[at + len(part) - 1]
+    return np.linalg.norm(x[:, :3], axis=1) + cfg.beta * np.linalg.norm(acc - out, axis=1), ema
+
 
+def _ends_of_runs(marks: np.ndarray, count: int) -> np.ndarray:
+    """Positions whose last ``count`` marks are all set."""
+    total = np.r_[0, np.cumsum(marks)]
+    return count - 1 + np.flatnonzero(total[count:] - total[:-count] == count) if len(marks) >= count else np.zeros(0, np.int64)
 
-def segment_motion(df: DataFrame, cfg: MotionConfig = MotionConfig()) -> DataFrame:
-    """Batch form: (device, first, samples) of the segments of each device's samples in order of seq."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Motion(cfg)
-        found = [s for x in pdf.sort_values("seq")[_AXES].to_numpy(float) if (s := m.push(x))]
-        return pd.DataFrame([(pdf["device"].iloc[0], *s) for s in found], columns=["device", "first", "samples"])
+def motion_step(state: tuple | None, x: np.ndarray, cfg: MotionConfig) -> tuple[list[tuple[int, int]], tuple]:
+    """Segments (first, samples) that end in the samples x of a device, and the state behind them.
 
-    return df.select("device", "seq", *_AXES).groupBy("device").applyInPandas(run, _SEGMENT)
+    The state holds the moving average, the calibration or the two levels, the few
+    energies that a run of samples can still reach back to, the sample that opened
+    a segment (-1: none) and the one from which a run can open the next.
+    """
+    n, ema, calm, levels, tail, opened, free = state or (0, [0.0] * 3, [], [], [], -1, 0)
+    energy, ema = _energies(x, np.array(ema), n == 0, cfg)
+    wanted = cfg.calibration - len(calm) if not levels else 0
+    calm, energy, end = [*calm, *energy[:wanted].tolist()], energy[wanted:], n + len(x)
+    if not levels:
+        if len(calm) < cfg.calibration:
+            return [], (end, ema.tolist(), calm, [], [], -1, 0)
+        mean, sd = float(np.mean(calm)), float(np.std(calm)) + 1e-6
+        levels, calm, free = [mean + cfg.start_z * sd, mean + cfg.end_z * sd], [], cfg.calibration
+    e = np.r_[tail, energy]
+    base = end - len(e)
+    opens, closes = base + _ends_of_runs(e > levels[0], cfg.start_count), base + _ends_of_runs(e < levels[1], cfg.end_count)
+    found = []
+    while True:  # once a segment
+        if opened < 0:
+            at = np.searchsorted(opens, free + cfg.start_count - 1)
+            if at == len(opens):
+                break
+            opened = int(opens[at])
+        pre = min(opened + 1, cfg.pre_roll)
+        at = np.searchsorted(closes, opened + 1)
+        last = min(opened + cfg.most - pre, int(closes[at]) if at < len(closes) else 1 << 60)
+        if last >= end:
+            break
+        length = pre + last - opened
+        if length >= min(cfg.most, cfg.least):
+            found.append((opened - pre + 1, length))
+        opened, free = -1, last + 1
+    keep = max(cfg.start_count, cfg.end_count) - 1
+    return found, (end, ema.tolist(), calm, levels, e[max(0, len(e) - keep) :].tolist(), opened, free)
 
 
 def segment_motion_stream(df: DataFrame, cfg: MotionConfig = MotionConfig(), ttl: str = "30 seconds") -> DataFrame:
-    """Streaming form of segment_motion on rows with ts and seq in order by device."""
+    """Streaming form of motion.segment_motion on rows with ts and seq in order by device."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        m = Motion(cfg, state.get if state.exists else None)
         rows = pd.concat(list(frames)).sort_values("seq")
-        found = [s for x in rows[_AXES].to_numpy(float) if (s := m.push(x))]
-        state.update(m.state())
+        found, after = motion_step(state.get if state.exists else None, rows[_AXES].to_numpy(float), cfg)
+        state.update(after)
         state.setTimeoutTimestamp(int(max(rows["ts"].max().timestamp() * 1000, state.getCurrentWatermarkMs())) + 3_600_000)
         if found:
             yield pd.DataFrame([(key[0], *s) for s in found], columns=["device", "first", "samples"])
 
-    kinds = "n long, ema array<double>, idle array<double>, levels array<double>, above int, below int, start long, length long"
-    return df.withWatermark("ts", ttl).groupBy("device").applyInPandasWithState(step, _SEGMENT, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+    return df.withWatermark("ts", ttl).groupBy("device").applyInPandasWithState(step, "device string, first long, samples long", _MOTION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def arbitrate_stream(df: DataFrame, motion_threshold: float = 1.2, voice_threshold: float = 0.015, priority: str = "gesture", cooldown_ms: float = 150.0) -> DataFrame:
@@ -169,28 +161,109 @@ def arbitrate_stream(df: DataFrame, motion_threshold: float = 1.2, voice_thresho
     return df.withWatermark("ts", "30 seconds").groupBy("device").applyInPandasWithState(step, "device string, ts_ms double, route string", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def capture_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that writes raw messages by kind and day, one folder a batch, so a repeated batch replaces itself."""
+def progress_stream(chunks: DataFrame) -> DataFrame:
+    """Update-mode stream of id, received (different chunks so far) and total of each message.
+
+    The state of an id is the numbers of its chunks, so it is bounded by their total.
+    """
+    return chunks.groupBy("id").agg(F.size(F.collect_set("index")).alias("received"), F.max("total").alias("total"))
+
+
+def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function for update-mode streams: the rows of each batch in a folder of its own; ``read_latest`` takes the last of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    d = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in d.columns if c not in (key, "batch")]
+    return d.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
+
+
+def capture_sink(path: str, session: str, processed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps messages of a session: raw ones, and what ``processed`` makes of them.
+
+    Records lie in ``raw`` and ``processed`` by session, batch and, raw ones, kind of sensor (last part of the topic) and day;
+    ``stem`` names one by its time, device and topic. A batch has folders of its own,
+    so a repeated one replaces itself. ``processed`` maps rows (stem, kind, device,
+    ts, topic, value) to its own columns, stem among them.
+    """
     from wavefold.functions.scalar import device_of_topic, path_safe
 
     def write(batch: DataFrame, number: int) -> None:
         d = batch.withColumn("device", path_safe(F.coalesce(device_of_topic(F.col("topic")), F.lit("unknown")))).withColumn("day", F.date_format("ts", "yyyyMMdd"))
-        d.write.mode("overwrite").partitionBy("day", "device").parquet(f"{path}/batch={number}")
+        d = d.withColumn("kind", path_safe(F.element_at(F.split("topic", "/"), -1)))
+        d = d.withColumn("stem", F.concat_ws("-", F.date_format("ts", "HHmmssSSS"), "device", path_safe(F.col("topic"))))
+        folder = f"session={session}/batch={number}"
+        d.write.mode("overwrite").partitionBy("kind", "day").parquet(f"{path}/raw/{folder}")
+        if processed is not None:
+            processed(d).write.mode("overwrite").parquet(f"{path}/processed/{folder}")
 
     return write
 
 
-def serve(messages: DataFrame, score: Callable[[DataFrame], DataFrame], results: str, errors: str, checkpoint: str):
-    """Validates motion messages, scores the good ones and writes results and errors (dead letters) as JSON.
+def typed_messages(messages: DataFrame) -> DataFrame:
+    """Rows of messages with device, kind (imu or voice, by topic), payload, route and packet.
 
-    ``score`` maps rows (device, payload) to (device, kind, label, confidence, source_topic).
+    packet is the payload as a typed packet: a bare list or untyped object of
+    samples and an untyped object of features are put into one.
     """
     from wavefold.functions.scalar import device_of_topic
 
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select("topic", F.col("value").cast("string").alias("payload"), F.coalesce(device_of_topic(F.col("topic")), F.lit("unknown")).alias("device"))
-        good, bad = packets.split_valid(packets.validate_packets(rows))
-        packets.result_packets(score(good)).write.mode("overwrite").json(f"{results}/batch={number}")
-        bad.select("topic", "payload", "reason").write.mode("overwrite").json(f"{errors}/batch={number}")
+    d = messages.withColumn("payload", F.col("value").cast("string")).withColumn("device", F.coalesce(device_of_topic(F.col("topic")), F.lit("unknown")))
+    d = packets.route_payload(d.withColumn("kind", F.when(F.col("topic").rlike("/imu$"), "imu").otherwise("voice")))
+    data = F.coalesce(F.get_json_object("payload", "$.data"), F.col("payload"))
+    samples = F.when(F.col("route") == "imu_list", F.col("payload")).otherwise(F.get_json_object(data, "$.samples"))
+    count = F.coalesce(F.get_json_object(data, "$.count"), F.size(F.from_json(samples, "array<string>")).cast("string"))
+    imu = F.concat(F.lit('{"type":"imu","data":{"samples":'), samples, F.lit(',"count":'), count, F.lit("}}"))
+    mfcc = F.concat(F.lit('{"type":"voice_mfcc","data":'), data, F.lit("}"))
+    r = F.col("route")
+    return d.withColumn("packet", F.when(r.isin("imu_list", "imu_nested"), imu).when(r == "mfcc_nested", mfcc).when(r.isin("imu_packet", "mfcc_packet"), F.col("payload")))
+
+
+def chunk_messages(messages: DataFrame) -> DataFrame:
+    """(id, index, total, data, ts) of the chunk messages of a stream; ``reassemble_stream`` makes clips of them."""
+    d = typed_messages(messages).filter("route = 'chunk'").select("ts", F.coalesce(F.get_json_object("payload", "$.data"), F.lit("")).alias("inner"), "payload")
+    one = F.from_json(F.when(F.col("inner").startswith("{"), F.col("inner")).otherwise(F.col("payload")), "id string, index int, total int, data string")
+    return d.select(one.alias("c"), "ts").select("c.id", "c.index", "c.total", F.unhex("c.data").alias("data"), "ts")
+
+
+def serve(messages: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], results: str, errors: str, checkpoint: str, **trigger):
+    """Routes messages, checks packets, classifies them and writes results and errors (dead letters) as JSON.
+
+    ``handlers`` has a function for "imu" and "mfcc" (rows with packet) and for
+    "clip" (rows with data, the bytes of a file); each maps rows (device, topic, ...) to
+    (device, kind, label, confidence, source_topic). A message whose handler is
+    missing is an error, as is one that no route or rule takes. Chunks are left to
+    ``chunk_messages``. ``trigger`` is that of the stream, such as
+    processingTime="1 second" or availableNow=True; by default batches follow each other.
+    """
 
-    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        rows = typed_messages(batch).filter("route <> 'chunk'").persist()
+        typed = packets.validate_packets(rows.filter("packet is not null"), "packet")
+        encoded = F.coalesce(*[F.get_json_object("payload", f"$.{p}{k}") for p in ("", "data.") for k in ("audio_base64", "base64", "audio")])
+        files = rows.filter(F.col("route").isin("base64_file", "raw_bytes"))
+        files = files.withColumn("data", F.when(F.col("route") == "base64_file", F.try_to_binary(encoded, F.lit("base64"))).otherwise(F.col("value")))
+        taken = {"imu": typed.filter("reason is null and route like 'imu%'"), "mfcc": typed.filter("reason is null and route like 'mfcc%'"), "clip": files.filter("data is not null")}
+        bad = typed.filter("reason is not null").select("topic", "payload", "reason")
+        bad = bad.unionByName(rows.filter("route = 'error'").select("topic", "payload", F.lit("route").alias("reason")))
+        bad = bad.unionByName(files.filter("data is null").select("topic", "payload", F.lit("base64").alias("reason")))
+        done = None
+        for name, part in taken.items():
+            if name in handlers:
+                out = packets.result_packets(handlers[name](part))
+                done = out if done is None else done.unionByName(out)
+            else:
+                bad = bad.unionByName(part.select("topic", "payload", F.lit("unhandled").alias("reason")))
+        if done is not None:
+            done.write.mode("overwrite").json(f"{results}/batch={number}")
+        bad.write.mode("overwrite").json(f"{errors}/batch={number}")
+        rows.unpersist()
+
+    w = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
