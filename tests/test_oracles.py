@@ -1,19 +1,19 @@
-"""Every query with SQL gives DuckDB's rows; every query runs."""
+"""Every query with SQL gives DuckDB's rows; the others are compared with plain versions elsewhere."""
 
 from __future__ import annotations
 
 import pytest
 
+from test_models import COVERED
 from wavefold import plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(name, spark, sf, duck, same):
-    df = plans.QUERIES[name](spark, sf)
-    if name in plans.ORACLES:
-        same(df, duck.sql(plans.ORACLES[name]))
-    else:
-        assert df.count() >= 0
+    if name not in plans.ORACLES:
+        assert name in COVERED, "neither SQL nor a plain version"
+        return
+    same(plans.QUERIES[name](spark, sf), duck.sql(plans.ORACLES[name]))
 
 
 def test_entry_and_registry(spark):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavefold.operators.lineage import numbered
 from wavefold.schemas import AXES
 
 #: Reasons of the audit in order of precedence.
@@ -106,7 +107,7 @@ def number_measurements(blocks: DataFrame, start: int = 0) -> DataFrame:
 def append_measurements(base: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` behind ``base`` with ids that continue at the largest one plus 1 (one broadcast row)."""
     top = base.agg((F.coalesce(F.max("measurement_id"), F.lit(-1)) + 1).alias("_next"))
-    ids = new.select("measurement_id").distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy("measurement_id")) - 1)
+    ids = numbered(new.select("measurement_id").distinct(), F.col("measurement_id"), name="_rank")
     moved = new.join(ids, "measurement_id").crossJoin(F.broadcast(top)).withColumn("measurement_id", F.col("_next") + F.col("_rank")).drop("_next", "_rank")
     return base.unionByName(moved)
 
@@ -160,6 +161,18 @@ def next_index(names: DataFrame, pattern: str = r"_(\d+)\.[a-z]+$") -> DataFrame
     return names.groupBy("label").agg((F.coalesce(F.max(n), F.lit(0)) + 1).alias("next_index"))
 
 
+def valid_labels(df: DataFrame, label: str, order: str, n_classes: int, most: int | None = None) -> DataFrame:
+    """Rows whose label is one of 0 .. n_classes - 1; with ``most`` the first ones in order."""
+    d = df.filter(F.col(label).between(0, n_classes - 1))
+    return d if most is None else d.orderBy(order).limit(most)
+
+
+def newest_artefact(files: DataFrame, kind: str, path: str = "path", modified: str = "modified") -> DataFrame:
+    """(kind, newest) path of the latest modification of each kind, ties to the greater path; repeated listings count once."""
+    latest = files.filter(F.col(modified).isNotNull()).groupBy(kind, path).agg(F.max(modified).alias("_m"))
+    return latest.groupBy(kind).agg(F.max_by(path, F.struct("_m", path)).alias("newest"))
+
+
 def manifest_counts(df: DataFrame, source: str = "source", key: str = "measurement_id") -> DataFrame:
     """Measurements and rows by source and for all together (source 'combined')."""
     by = df.groupBy(source).agg(F.countDistinct(key).alias("measurements"), F.count(F.lit(1)).alias("rows"))

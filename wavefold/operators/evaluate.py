@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavefold.operators.lineage import numbered
+
 
 def class_list(df: DataFrame, n: int) -> DataFrame:
     return df.sparkSession.range(n).select(F.col("id").cast("int").alias("cls"))
@@ -38,11 +40,28 @@ def per_class_accuracy(cm: DataFrame) -> DataFrame:
     return g.withColumn("pct", F.when(F.col("total") > 0, 100.0 * F.col("ok") / F.col("total")).otherwise(0.0))
 
 
+def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
+    """(group, p): exact percentiles with linear interpolation, one array a group; null values count nothing.
+
+    Values are sorted by (group, value) over ranges and only those at the positions
+    asked for are picked, so no task or aggregate holds the values of a group.
+    """
+    r = numbered(df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")), F.col("_g"), F.col("_v"), name="_at")
+    groups = r.groupBy("_g").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    asked = groups.select("_g", "_first", "_n", F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("_k", "_q")).withColumn("_x", F.col("_q") * (F.col("_n") - 1))
+    low, share = F.floor("_x"), F.col("_x") - F.floor("_x")
+    ends = F.array(F.struct(low.alias("i"), (1 - share).alias("w")), F.struct(F.ceil("_x").alias("i"), share.alias("w")))
+    asked = asked.select("_g", "_k", "_first", F.explode(ends).alias("e")).select(F.col("_g").alias("_group"), "_k", (F.col("_first") + F.col("e.i")).alias("_at"), F.col("e.w").alias("_w"))
+    picked = r.select("_at", "_v").join(asked, "_at").groupBy("_group", "_k").agg(F.sum(F.col("_v") * F.col("_w")).alias("p"))
+    return picked.groupBy("_group").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "p"))), lambda x: x["p"]).alias("p")).select(F.col("_group").alias(group), "p")
+
+
 def latency_summary(df: DataFrame, phase: str, value: str) -> DataFrame:
     """Mean, p50, p90, p99 (linear interpolation) and maximum of each phase."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    g = df.groupBy(phase).agg(F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("most"))
-    return g.select(phase, "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "most")
+    g = df.groupBy(phase).agg(F.avg(value).alias("mean"), F.max(value).alias("most"))
+    p = percentiles(df, phase, value, (0.5, 0.9, 0.99)).withColumnRenamed(phase, "_phase")
+    j = g.join(p, F.col(phase).eqNullSafe(F.col("_phase")), "left")
+    return j.select(phase, "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "most")
 
 
 def energy(summary: DataFrame, watts: float) -> DataFrame:

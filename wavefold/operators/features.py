@@ -36,7 +36,10 @@ def resample_spectral(df: DataFrame, key: str = "measurement_id", seq: str = "se
     beyond its partial sums.
     """
     w = Window.partitionBy(key)
-    d = df.withColumn("_n", F.row_number().over(w.orderBy(seq)) - 1).withColumn("_c", F.count(F.lit(1)).over(w))
+    # The number of parts is given, since those that AQE would join by their size now are large once multiplied.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(key, seq, *channels).repartition(parts, key)
+    d = d.withColumn("_n", F.row_number().over(w.orderBy(seq)) - 1).withColumn("_c", F.count(F.lit(1)).over(w))
     d = d.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
     d = d.withColumn("_k", resample_kernel(F.col("_n"), F.col("m"), F.col("_c"), target))
     return d.groupBy(key, "m").agg(*[F.sum(F.col(c) * F.col("_k")).alias(c) for c in channels])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavefold.functions.scalar import dct_matrix, hann, mel_filterbank
+from wavefold.operators import signal
 
 
 @dataclass(frozen=True)
@@ -60,12 +61,30 @@ def mfcc(clips: DataFrame, cfg: MfccConfig = MfccConfig()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [clip_mfcc(np.asarray(s.as_py() or [], float), fb, dct, cfg).ravel() for s in b.column("samples")]
-            yield pa.RecordBatch.from_arrays([b.column("clip_id"), pa.array(out, pa.list_(pa.float64()))], names=["clip_id", "mfcc"])
+            column = b.column("samples")
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            out = np.array([clip_mfcc(flat[a:z], fb, dct, cfg).ravel() for a, z in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else [])
+            lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * cfg.n_mfcc * cfg.frames, out.ravel())
+            yield pa.RecordBatch.from_arrays([b.column("clip_id"), lists], names=["clip_id", "mfcc"])
 
     return clips.select("clip_id", "samples").mapInArrow(run, "clip_id long, mfcc array<double>")
 
 
+def voice_front_end(df: DataFrame, cfg: MfccConfig, trim_db: float = -28.0, floor_db: float = -45.0, pad_s: float = 0.08, frame_s: float = 0.02, hop_s: float = 0.01, target_db: float = -18.0, peak_db: float = -1.0, half_s: float | None = 0.5) -> DataFrame:
+    """Long rows (clip_id, n, v) as the features take them: silence trimmed, loudness set, a window around the loudest part."""
+    length, hop, pad = (max(1, round(x * cfg.sample_rate)) for x in (frame_s, hop_s, pad_s))
+    d = signal.trim_silence(df, "clip_id", length, hop, pad, trim_db, floor_db)
+    d = d.withColumn("n", (F.row_number().over(Window.partitionBy("clip_id").orderBy("n")) - 1).cast("long"))
+    d = signal.normalize_loudness(d, "clip_id", target_db, peak_db).select("clip_id", "n", "v")
+    return d if half_s is None else signal.focus(d, "clip_id", round(half_s * cfg.sample_rate), length, hop, trim_db, floor_db)
+
+
+def voice_features(df: DataFrame, cfg: MfccConfig = MfccConfig(), **front_end) -> DataFrame:
+    """(clip_id, mfcc) of long rows (clip_id, n, v): the front end, then the cepstral features of each clip."""
+    d = voice_front_end(df, cfg, **front_end)
+    return mfcc(d.groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias("samples")), cfg)
+
+
 def mfcc_long(df: DataFrame, cfg: MfccConfig) -> DataFrame:
     """(clip_id, coef, frame, v) from long rows (clip_id, n, v), in native operations.
 

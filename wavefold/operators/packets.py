@@ -1,4 +1,4 @@
-"""Messages: validation with reasons, routing by payload kind, chunk reassembly, arbitration, motion segments.
+"""Messages: validation with reasons, routing by payload kind, chunk reassembly, arbitration.
 
 The batch forms here and the stateful ones in wavefold.streaming give the same rows.
 """
@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = "struct<gx: string, gy: string, gz: string, ax: string, ay: string, az: string>"
+from wavefold.operators.lineage import cut, follow
+
+#: What any packet holds, read by one parse; numbers stay texts until they are checked.
+PACKET = "type string, data struct<samples: array<map<string, string>>, count: string, shape: array<string>, features: array<array<string>>, label: string, confidence: string>"
 _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
 
@@ -21,10 +24,9 @@ def validate_packets(df: DataFrame, payload: str = "payload", results: tuple[str
 
     ``results`` are the types of classification packets.
     """
-    j = lambda p: F.get_json_object(payload, p)
-    kind, data = j("$.type"), j("$.data")
-    samples = F.from_json(j("$.data.samples"), f"array<map<string,string>>")
-    count, shape, rows = j("$.data.count"), F.from_json(j("$.data.shape"), "array<string>"), F.from_json(j("$.data.features"), "array<array<string>>")
+    packet = F.from_json(payload, PACKET)
+    kind, data = packet["type"], packet["data"]
+    samples, count, shape, rows, conf = data["samples"], data["count"], data["shape"], data["features"], data["confidence"]
     axes = ("gx", "gy", "gz", "ax", "ay", "az")
     bad_axis = F.exists(samples, lambda s: F.array_contains(F.array(*[F.coalesce(F.element_at(s, a), F.lit("")).rlike(_NUMBER) for a in axes]), False))
     n = F.size(samples)
@@ -35,13 +37,12 @@ def validate_packets(df: DataFrame, payload: str = "payload", results: tuple[str
         F.when(F.coalesce(F.size(shape), F.lit(-1)) != 2, "shape").when(F.array_join(shape, ",") != "40,50", "shape").when(rows.isNull(), "features_type")
         .when(F.size(rows) != 40, "row_count").when(F.exists(rows, lambda r: F.size(r) != 50), "row_length").when(F.exists(F.flatten(rows), lambda v: ~F.coalesce(v, F.lit("")).rlike(_NUMBER)), "value_type")
     )
-    conf = j("$.data.confidence")
     cls = (
-        F.when(F.trim(F.coalesce(j("$.data.label"), F.lit(""))) == "", "label").when(~F.coalesce(conf.rlike(_NUMBER), F.lit(False)), "confidence_type")
+        F.when(F.trim(F.coalesce(data["label"], F.lit(""))) == "", "label").when(~F.coalesce(conf.rlike(_NUMBER), F.lit(False)), "confidence_type")
         .when(~conf.try_cast("double").between(0.0, 1.0), "confidence_range")
     )
     reason = (
-        F.when(kind.isNull(), "type").when(data.isNull() | ~data.startswith("{"), "data").when(kind == "imu", imu).when(kind == "voice_mfcc", mfcc).when(kind.isin(*results), cls).otherwise("unknown_type")
+        F.when(kind.isNull(), "type").when(data.isNull(), "data").when(kind == "imu", imu).when(kind == "voice_mfcc", mfcc).when(kind.isin(*results), cls).otherwise("unknown_type")
     )
     return df.withColumn("reason", reason)
 
@@ -101,22 +102,26 @@ def progress(chunks: DataFrame) -> DataFrame:
 def arbitrate(df: DataFrame, key: str = "device", motion_threshold: float = 1.2, voice_threshold: float = 0.015, priority: str = "gesture", cooldown_ms: float = 150.0) -> DataFrame:
     """(key, ts_ms, route): none within the cooldown of the last dispatch, else gesture, voice, priority if both, or none.
 
-    Rows without a route never dispatch, so only candidates enter the fold over a
-    device's ordered array.
+    Rows that ask for a route are candidates. One whose candidate before it is at
+    least the cooldown away dispatches in any case; from there each dispatch leads to the first
+    candidate at least the cooldown behind it, which lies within two cooldowns.
+    These chains are followed by doubling steps, so a device of any length has no
+    task of its own. Of candidates at one time the first by name can dispatch.
     """
     m, v = F.col("motion") > motion_threshold, F.col("voice") > voice_threshold
     wanted = F.when(m & ~v, "gesture").when(v & ~m, "voice").when(m & v, priority).otherwise("none")
-    d = df.select(key, "ts_ms", wanted.alias("wanted"))
-    rows = d.filter("wanted <> 'none'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts_ms", "wanted"))).alias("x"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<struct<ts_ms:double,route:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = x["ts_ms"].cast("double") - acc["last"] >= cooldown_ms
-        row = F.struct(x["ts_ms"].cast("double").alias("ts_ms"), F.when(free, x["wanted"]).otherwise("none").alias("route"))
-        return F.struct(F.when(free, x["ts_ms"].cast("double")).otherwise(acc["last"]).alias("last"), F.array_append(acc["out"], row).alias("out"))
-
-    routed = rows.select(key, F.explode(F.aggregate("x", start, step)["out"]).alias("r")).select(key, "r.ts_ms", "r.route")
-    return routed.unionByName(d.filter("wanted = 'none'").select(key, F.col("ts_ms").cast("double").alias("ts_ms"), F.col("wanted").alias("route")))
+    d = df.select(key, F.col("ts_ms").cast("double").alias("ts_ms"), wanted.alias("wanted"))
+    asks, idle = d.filter("wanted <> 'none'"), d.filter("wanted = 'none'").select(key, "ts_ms", F.col("wanted").alias("route"))
+    if cooldown_ms <= 0:
+        return asks.select(key, "ts_ms", F.col("wanted").alias("route")).unionByName(idle)
+    times = asks.select(F.col(key).alias("_key"), F.col("ts_ms").alias("at")).distinct()
+    reach = f"min(at) over (partition by _key order by at range between {float(cooldown_ms)!r}D following and {2 * float(cooldown_ms)!r}D following)"
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("_key").orderBy("at"))
+    nodes = cut(times.select("_key", "at", F.expr(reach).alias("to"), (F.coalesce(gap, F.lit(cooldown_ms)) >= cooldown_ms).alias("root")))
+    sent = follow(nodes, nodes.filter("root"), ["_key"])
+    rank = F.row_number().over(Window.partitionBy(key, "ts_ms").orderBy("wanted"))
+    j = asks.withColumn("_rank", rank).join(sent, F.col(key).eqNullSafe(F.col("_key")) & (F.col("ts_ms") == F.col("at")), "left")
+    return j.select(key, "ts_ms", F.when(F.col("at").isNotNull() & (F.col("_rank") == 1), F.col("wanted")).otherwise("none").alias("route")).unionByName(idle)
 
 
 def session_stats(events: DataFrame, key: str, ts: str, value: str, gap: str = "30 minutes") -> DataFrame:

@@ -21,7 +21,7 @@ def apply_reviews(predictions: DataFrame, reviews: DataFrame, labels: DataFrame)
     correct_label that is a known label. ``labels`` is the label dimension.
     """
     known = labels.select(F.col("label").alias("_known")).distinct()
-    r = reviews.join(F.broadcast(known), F.col("correct_label") == F.col("_known"), "left")
+    r = reviews.join(known, F.col("correct_label") == F.col("_known"), "left")
     valid = F.col("is_correct") | F.col("_known").isNotNull()
     first = r.filter(valid).withColumn("_r", F.row_number().over(Window.partitionBy("sample_id").orderBy("reviewed_at"))).filter("_r = 1")
     first = first.select("sample_id", F.col("is_correct").alias("review_correct"), "correct_label")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavefold.functions.scalar import order_key, uniform
+from wavefold.operators.clean import valid_labels
+from wavefold.operators.features import pack_q88
 
 
 def normal(seed: int, *parts: Column) -> Column:
@@ -108,7 +110,7 @@ def weighted_resample(df: DataFrame, key: str, weight: str, factor: int = 6, see
     key an interval of the total, and each draw (a hashed uniform) is looked up by
     the stratum that holds it, then inside of it.
     """
-    d = df.select(key, F.col(weight).alias("_w")).filter("_w > 0").withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int"))
+    d = df.select(key, F.col(weight).alias("_w")).filter("_w > 0").withColumn("_b", F.shiftright(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
     strata = d.groupBy("_b").agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_c"))
     past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^bits rows
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -146,6 +148,10 @@ def mixup(df: DataFrame, key: str, alpha: float = 0.2, seed: int = 42, cells: tu
     return df.join(ids, key).join(other, ["_other", *cells]).select(key, F.col("_other").alias("other"), "lam", *cells, (F.col("lam") * F.col("v") + (1 - F.col("lam")) * F.col("_v")).alias("v"))
 
 
-def export_cases(df: DataFrame, key: str, n: int = 300, seed: int = 42) -> DataFrame:
-    """``n`` items in hashed order, without replacement."""
-    return df.orderBy(order_key(seed, F.col(key)), key).limit(n)
+def export_cases(df: DataFrame, key: str, label: str, n_classes: int, n: int = 300, seed: int = 42) -> DataFrame:
+    """(key, label, words): ``n`` items of valid label in hashed order, without replacement, as 8.8 fixed-point words.
+
+    ``df`` has ``flat``, the time-major values of each item (``features.flatten_time_major`` makes it of long rows).
+    """
+    chosen = valid_labels(df, label, key, n_classes).orderBy(order_key(seed, F.col(key)), key).limit(n)
+    return chosen.select(key, label, F.transform("flat", lambda x: pack_q88(x.cast("double"))).alias("words"))

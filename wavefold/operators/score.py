@@ -41,7 +41,7 @@ def score(windows: DataFrame, params: DataFrame, channels: int, quantise: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.array(b.column("flat").to_pylist(), float).reshape(b.num_rows, -1, channels)
+            flat = b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1, channels)
             if quantise:
                 flat = np.rint(np.clip(flat, -128, 127.99609375) * 256) / 256
             z = forward(flat.transpose(0, 2, 1), net) if b.num_rows else np.zeros((0, 1))

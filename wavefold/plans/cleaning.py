@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavefold.operators import clean, evaluate
+from wavefold.operators.lineage import numbered
 from wavefold.plans.registry import query, rounded
-from wavefold.schemas import LABELS
 from wavefold.sources import driver_tables as T
 
 _S = "WITH " + T.SAMPLES_SQL
@@ -78,7 +78,7 @@ def p07(spark, d):
 
 @query("p08_valid_labels", "SELECT vec_id, label FROM embeddings WHERE label BETWEEN 0 AND 5 ORDER BY vec_id LIMIT 40")
 def p08(spark, d):
-    return T.table(spark, d, "embeddings").filter(F.col("label").between(0, 5)).orderBy("vec_id").limit(40).select("vec_id", "label")
+    return clean.valid_labels(T.table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 6, 40)
 
 
 @query("p09_misclassified", "WITH " + T.PREDICTIONS_SQL + ", p AS (SELECT clip_id, CASE WHEN true_id = pred_id THEN ' True' ELSE 'false' END AS is_correct, CASE WHEN clip_id % 3 = 0 THEN '' ELSE '/data/' || clip_id || '.wav' END AS path FROM preds) SELECT clip_id, path FROM p WHERE lower(trim(is_correct)) NOT IN ('1', 'true', 'yes') AND trim(path) <> '' AND starts_with(path, '/data/')")
@@ -115,11 +115,9 @@ def w04(spark, d):
 
 @query("w05_natural_order", "SELECT doc_id, row_number() OVER (ORDER BY source[1:3], CAST(source[4:] AS INTEGER), doc_id) AS position FROM documents")
 def w05(spark, d):
-    from pyspark.sql import Window
-
     p = T.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     keyed = p.select("doc_id", clean.natural_key(F.col("path")).alias("k"))
-    return keyed.select("doc_id", F.row_number().over(Window.orderBy("k")).alias("position"))
+    return numbered(keyed, F.col("k"), name="at").select("doc_id", (F.col("at") + 1).alias("position"))
 
 
 @query(
@@ -157,7 +155,8 @@ def a03(spark, d):
 @query("a05_length_profile", "SELECT min(n) AS least, max(n) AS most, CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT) AS median, round(avg(n), 4) AS mean FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
 def a05(spark, d):
     n = T.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.percentile("n", 0.5).cast("long").alias("median"), F.round(F.avg("n"), 4).alias("mean"))
+    median = evaluate.percentiles(n.withColumn("all", F.lit(0)), "all", "n", (0.5,)).select(F.col("p")[0].cast("long").alias("median"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean")).crossJoin(F.broadcast(median))  # one row each
 
 
 @query(
@@ -196,9 +195,8 @@ def u04(spark, d):
 
 @query("o01_stable_sort", "WITH " + T.MANIFEST_SQL + " SELECT clip_id, row_number() OVER (ORDER BY label_id, source, speaker_id, clip_id) AS position FROM manifest")
 def o01(spark, d):
-    from pyspark.sql import Window
-
-    return T.manifest(spark, d).select("clip_id", F.row_number().over(Window.orderBy("label_id", "source", "speaker_id", "clip_id")).alias("position"))
+    m = T.manifest(spark, d).select("clip_id", "label_id", "source", "speaker_id")
+    return numbered(m, *[F.col(c) for c in ("label_id", "source", "speaker_id", "clip_id")], name="at").select("clip_id", (F.col("at") + 1).alias("position"))
 
 
 @query("o02_page", "SELECT doc_id, source, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
@@ -214,10 +212,10 @@ def o03(spark, d):
     return g.orderBy(F.desc("test_acc"), F.desc("val_acc"), "run").limit(20)
 
 
-@query("o04_newest_artefact", "SELECT source, max(doc_id) AS newest FROM (SELECT DISTINCT source, doc_id, n_chars FROM documents) GROUP BY source")
+@query("o04_newest_artefact", "SELECT event_type AS kind, arg_max('run_' || user_id || '/model.h', {'m': ts, 'p': 'run_' || user_id || '/model.h'}) AS newest FROM events GROUP BY event_type")
 def o04(spark, d):
-    files = T.table(spark, d, "documents").select("source", "doc_id", "n_chars").dropDuplicates()
-    return files.groupBy("source").agg(F.max_by("doc_id", "doc_id").alias("newest"))
+    files = T.table(spark, d, "events").select(F.col("event_type").alias("kind"), F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit("/model.h")).alias("path"), F.col("ts").alias("modified"))
+    return clean.newest_artefact(files, "kind")
 
 
 @query("j05_label_conflicts", _S + " SELECT label_id, min(label) AS label, count(DISTINCT label) > 1 AS conflict FROM samples GROUP BY label_id")
@@ -235,5 +233,3 @@ def p13(spark, d):
     missing = sorted(set(SAMPLE_COLUMNS) - set(less.columns))
     return less.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.lit(m) for m in missing])).alias("missing"), "rows")
 
-
-assert LABELS

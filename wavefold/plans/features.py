@@ -168,36 +168,80 @@ def m09(spark, d):
     return rounded(sampling.augment_windows(T.samples(spark, d), "measurement_id", "sequence_id", ("gyro_x", "acc_x"), jitter=0.0), "gyro_x", "acc_x")
 
 
-@query("m09_augment_jitter")
+def _N(text):
+    """Standard normal number of a text in SQL, from two hashed uniforms."""
+    return f"(sqrt(-2 * ln(greatest({_U(text + " || ':a'")}, 1e-12))) * cos(2 * pi() * {_U(text + " || ':b'")}))"
+
+
+_COPY = "'42:' || id || ':' || copy || ':"
+
+
+@query(
+    "m09_augment_jitter",
+    _S + f""", c AS (SELECT measurement_id AS id, copy, sequence_id, {", ".join(_AX)}, count(*) OVER (PARTITION BY measurement_id, copy) AS n FROM samples, range(3) g(copy))
+    SELECT id AS measurement_id, CAST(copy AS INTEGER) AS copy, sequence_id, """
+    + ", ".join(f"round(CASE WHEN copy = 0 THEN {x} ELSE {x} * (0.8 + 0.4 * {_U(_COPY + 'scale' + chr(39))}) + ({_U(_COPY + x + chr(39))} - 0.5) * 0.04 + 0.05 * {_N(_COPY + x + ':' + chr(39) + ' || sequence_id')} END, 4) + 0.0 AS {x}" for x in _AX)
+    + f""" FROM c WHERE copy = 0 OR {_U(_COPY + "crop'")} >= 0.4 OR (sequence_id >= floor({_U(_COPY + "head'")} * 0.1 * n) AND sequence_id < n - floor({_U(_COPY + "tail'")} * 0.1 * n))""",
+)
 def m09_jitter(spark, d):
-    return sampling.augment_windows(T.samples(spark, d), "measurement_id", "sequence_id", _AX)
+    return rounded(sampling.augment_windows(T.samples(spark, d), "measurement_id", "sequence_id", _AX), *_AX)
+
+
+def _masked(name, at, width):
+    size = f"floor({_U(_COPY + name + 'w' + chr(39))} * {width + 1})"
+    start = f"floor({_U(_COPY + name + 's' + chr(39))} * (8 - {size} + 1))"
+    return f"({at} >= {start} AND {at} < {start} + {size})"
 
 
-@query("m10_augment_features")
+@query(
+    "m10_augment_features",
+    _F + f""", c AS (SELECT clip_id AS id, copy, channel, frame, v, CAST((frame + CAST(floor({_U("'42:' || clip_id || ':' || copy || ':roll'")} * 9) AS INTEGER) - 4 + 8) % 8 AS INTEGER) AS f2 FROM features, range(2) g(copy))
+    SELECT id AS clip_id, CAST(copy AS INTEGER) AS copy, channel, CASE WHEN copy = 0 THEN frame ELSE f2 END AS frame,
+      round(CASE WHEN copy = 0 THEN v WHEN {_masked("t1", "f2", 8)} OR {_masked("t2", "f2", 8)} OR {_masked("f1", "channel", 5)} OR {_masked("f2", "channel", 5)} THEN 0
+        ELSE v * (0.85 + 0.3 * {_U(_COPY + "gain'")}) * (1 + ({_U(_COPY + "tilt'")} - 0.5) * 0.1 * (channel / 7 - 0.5)) + 0.03 * {_N(_COPY + "' || channel || ':' || frame")} END, 4) + 0.0 AS v FROM c""",
+)
 def m10(spark, d):
-    return sampling.augment_features(T.features(spark, d), "clip_id", 8, 8)
+    return rounded(sampling.augment_features(T.features(spark, d), "clip_id", 8, 8), "v")
 
 
-@query("m11_augment_clips")
+@query(
+    "m11_augment_clips",
+    "WITH " + T.CLIPS_SQL + f""", c AS (SELECT clip_id AS id, copy, n, v, count(*) OVER (PARTITION BY clip_id, copy) AS t FROM clips, range(2) g(copy)),
+    m AS (SELECT *, n + CASE WHEN copy = 0 THEN 0 ELSE CAST(floor({_U(_COPY + "shift'")} * 21) AS INTEGER) - 10 END AS place FROM c)
+    SELECT id AS clip_id, CAST(copy AS INTEGER) AS copy, place AS n, round(CASE WHEN copy = 0 THEN v ELSE greatest(-1.0, least(1.0, v * (0.8 + 0.4 * {_U(_COPY + "gain'")}) + 0.005 * {_N(_COPY + "' || n")})) END, 4) + 0.0 AS v FROM m WHERE place >= 0 AND place < t""",
+)
 def m11(spark, d):
-    return sampling.augment_clips(T.clips(spark, d), "clip_id")
+    return rounded(sampling.augment_clips(T.clips(spark, d), "clip_id"), "v")
 
 
-@query("m12_weighted_resample")
+@query(
+    "m12_weighted_resample",
+    f"""WITH w AS (SELECT vec_id, CAST(label + 1 AS DOUBLE) AS w, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 3) AS BIGINT) AS b FROM embeddings),
+    k AS (SELECT vec_id, sum(w) OVER (ORDER BY b, vec_id) - w AS lo FROM w), d AS (SELECT vec_id || ':' || f AS draw FROM w, range(6) g(f)),
+    x AS (SELECT draw, {_U("'42:' || draw")} * (SELECT sum(w) FROM w) AS x FROM d)
+    SELECT draw, vec_id FROM x ASOF JOIN k ON x.x >= k.lo""",
+)
 def m12(spark, d):
     w = T.table(spark, d, "embeddings").select("vec_id", (F.col("label") + 1).cast("double").alias("weight"))
     return sampling.weighted_resample(w, "vec_id", "weight")
 
 
-@query("m13_mixup")
+@query(
+    "m13_mixup",
+    _F + f""", i AS (SELECT DISTINCT clip_id, md5('42:' || clip_id) AS k FROM features), o AS (SELECT clip_id, coalesce(lead(clip_id) OVER w, first_value(clip_id) OVER w) AS other,
+      ({_U("'42:' || clip_id || ':x'")}) ** 5 AS a, ({_U("'42:' || clip_id || ':y'")}) ** 5 AS b FROM i WINDOW w AS (PARTITION BY substr(k, 1, 2) ORDER BY k, clip_id)),
+    l AS (SELECT clip_id, other, CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0.5 END AS lam FROM o)
+    SELECT f.clip_id, other, round(lam, 6) AS lam, f.channel, f.frame, round(lam * f.v + (1 - lam) * g.v, 4) + 0.0 AS v FROM features f JOIN l USING (clip_id) JOIN features g ON g.clip_id = other AND g.channel = f.channel AND g.frame = f.frame""",
+)
 def m13(spark, d):
-    return sampling.mixup(T.features(spark, d).select("clip_id", "channel", "frame", "v"), "clip_id")
+    m = sampling.mixup(T.features(spark, d).select("clip_id", "channel", "frame", "v"), "clip_id")
+    return rounded(m.withColumn("lam", F.round("lam", 6)), "v")
 
 
 @query("s22_export_cases", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE label BETWEEN 0 AND 5 ORDER BY md5('42:' || vec_id), vec_id LIMIT 100) SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CAST(round_even(greatest(-128.0, least(127.99609375, CAST(x AS DOUBLE))) * 256, 0) AS INTEGER) & 65535), ' ') AS words FROM e")
 def s22(spark, d):
-    e = sampling.export_cases(T.table(spark, d, "embeddings").filter(F.col("label").between(0, 5)), "vec_id", 100)
-    return e.select("vec_id", "label", F.array_join(F.transform("embedding", lambda x: features.pack_q88(x.cast("double")).cast("string")), " ").alias("words"))
+    e = sampling.export_cases(T.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("flat")), "vec_id", "label", 6, 100)
+    return e.select("vec_id", "label", F.array_join(F.transform("words", lambda x: x.cast("string")), " ").alias("words"))
 
 
 @query("a11_class_weights", "WITH n AS (SELECT CAST(c AS INTEGER) AS cls, (SELECT count(*) FROM embeddings WHERE label = c) AS n FROM range(12) g(c)), w AS (SELECT *, (sum(n) OVER () / greatest(n, 1)) ** 0.5 AS w FROM n) SELECT cls, n, round(w / avg(w) OVER (), 6) + 0.0 AS weight FROM w")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wavefold.operators import clean, packets
+from wavefold.operators.lineage import shared_folder
 from wavefold.plans.cleaning import _AX, _S
 from wavefold.plans.registry import query, rounded
 from wavefold.sources import driver_tables as T
@@ -60,11 +63,10 @@ def s05(spark, d):
 
 @query("s01_read_samples", _S + f" SELECT measurement_id, sequence_id, label_id, label, {_R6} FROM samples")
 def s01(spark, d):
-    # The CSV form of the table: rendered fields, checked columns, typed again.
-    s = T.samples(spark, d)
-    csv = s.select(F.to_csv(F.struct(*s.columns)).alias("line"))
-    kinds = ", ".join(f"{c} {t}" for c, t in s.dtypes)
-    return rounded(csv.select(F.from_csv("line", kinds).alias("r")).select("r.*"), *_AX, digits=6)
+    """The table as CSV files with a further column: checked, cut to its columns, typed."""
+    folder = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    T.samples(spark, d).withColumn("more", F.lit("x")).write.option("header", True).csv(folder)
+    return rounded(ingest.read_samples(spark, folder), *_AX, digits=6)
 
 
 @query("s06_label_from_folder", "WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) SELECT page_id, host AS label, CAST(dense_rank() OVER (ORDER BY host) - 1 AS INTEGER) AS label_id FROM p")
@@ -98,14 +100,14 @@ def s08(spark, d):
 def s09(spark, d):
     ext = F.when(F.col("doc_id") % 4 == 3, ".txt").otherwise(".wav")
     files = T.table(spark, d, "documents").select(F.concat(F.lit("data/"), "source", F.lit("/"), "lang", F.lit("/clip_"), F.col("doc_id").cast("string"), ext).alias("path"))
-    return ingest.build_manifest(files)
+    return ingest.build_manifest(files, "data")
 
 
 @query("s10_reviewed_roots", "SELECT source AS session, count(*) FILTER (doc_id % 3 = 0) AS samples FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 3 = 0 AND lang = 'de') > 0")
 def s10(spark, d):
     kind = F.when(F.col("doc_id") % 3 == 0, "voice").otherwise("gesture")
     files = T.table(spark, d, "documents").select(F.concat_ws("/", "source", kind, "lang", F.col("doc_id").cast("string")).alias("path"))
-    return ingest.reviewed_roots(files, "voice", ("DE",))
+    return ingest.reviewed_roots(files, "", "voice", ("DE",))
 
 
 @query("s11_latest_dated", "SELECT strftime(max(o_orderdate), '%Y%m%d') AS latest FROM orders")

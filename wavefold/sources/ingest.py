@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavefold.operators.clean import natural_key
 from wavefold.schemas import AXES, SAMPLE_COLUMNS, SAMPLE_SCHEMA, require_columns
 
 #: Fixed texts of the formats.
@@ -63,10 +62,10 @@ def _numbered(rows: DataFrame, on_bad: str = "skip") -> DataFrame:
 def parse_packets(texts: DataFrame, on_bad: str = "skip") -> DataFrame:
     """Packet logs: blocks at the packet mark, lines ``index | six values``."""
     b = texts.select("file", F.posexplode(F.split(_clean(F.col("text")), "\\Q" + PACKET_MARK + "\\E")).alias("block", "body"))
-    line = b.select("file", "block", F.posexplode(F.split("body", "\n")).alias("line", "raw"))
-    line = line.withColumn("raw", F.trim("raw")).filter(F.col("raw").rlike(r"^\d+\s*\|\s*.+$"))
-    parts = F.split(F.regexp_extract("raw", r"^\d+\s*\|\s*(.+)$", 1), r"\|")
-    return _numbered(line.withColumn("parts", parts).filter(F.size("parts") == 6), on_bad)
+    # All lines of a block at once, already in order; those of other shapes are not there.
+    lines = F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]*\d+[ \t]*\|([^|\n]*(?:\|[^|\n]*){5})$"), 1)
+    line = b.select("file", "block", F.posexplode(lines).alias("line", "raw"))
+    return _numbered(line.select("file", "block", "line", F.split("raw", r"\|").alias("parts")), on_bad)
 
 
 def parse_marked(texts: DataFrame, marker: str = SERIES_MARK) -> DataFrame:
@@ -144,22 +143,30 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return d.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def build_manifest(files: DataFrame, clips_per_speaker: int = 5) -> DataFrame:
-    """Clip manifest from paths ``.../source/label/[folder/]name``; ordinals in natural order inside a folder."""
+def below(path: str | Column, root: str) -> Column:
+    """The parts of a path below ``root``, whatever scheme (``file:/``, ``hdfs://host/``) either has; null for other paths."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "^/+|/+$", "")
+    p, r = plain(F.col(path) if isinstance(path, str) else path), plain(F.lit(root))
+    inside = (r == "") | p.startswith(F.concat(r, F.lit("/")))
+    return F.when(inside, F.split(F.when(r == "", p).otherwise(F.substr(p, F.length(r) + 2)), "/"))
+
+
+def build_manifest(files: DataFrame, root: str, clips_per_speaker: int = 5) -> DataFrame:
+    """Clip manifest from paths ``root/source/label/[folder/]name`` as ``list_files`` gives them; ordinals in natural order inside a folder."""
     from wavefold.operators.clean import speaker_ids
 
-    parts = F.split("path", "/")
-    d = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*AUDIO_SUFFIXES))
-    d = d.select("path", F.get(parts, F.lit(1)).alias("source"), F.get(parts, F.lit(2)).alias("label"), F.when(F.size(parts) > 4, F.get(parts, F.lit(3))).alias("folder"))
+    d = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*AUDIO_SUFFIXES)).withColumn("_parts", below("path", root))
+    parts = F.col("_parts")
+    d = d.filter(F.size(parts) >= 3).select("path", F.get(parts, F.lit(0)).alias("source"), F.get(parts, F.lit(1)).alias("label"), F.when(F.size(parts) > 3, F.get(parts, F.lit(2))).alias("folder"))
     ids = d.select("label").distinct().withColumn("label_id", F.dense_rank().over(Window.orderBy("label")) - 1)  # one row a class
     out = speaker_ids(d.join(ids, "label"), clips_per_speaker)
     return out.select("path", "label", "label_id", "source", "speaker_local_id", "speaker_id", "utterance_id")
 
 
-def reviewed_roots(files: DataFrame, kind: str, required: tuple[str, ...]) -> DataFrame:
-    """Sessions of paths ``session/kind/label/name`` with a sample of one of the required labels."""
-    parts = F.split("path", "/")
-    d = files.select(F.get(parts, F.lit(0)).alias("session"), F.get(parts, F.lit(1)).alias("kind"), F.get(parts, F.lit(2)).alias("label"), F.size(parts).alias("depth")).filter((F.col("kind") == kind) & (F.col("depth") >= 4))
+def reviewed_roots(files: DataFrame, root: str, kind: str, required: tuple[str, ...]) -> DataFrame:
+    """Sessions of paths ``root/session/kind/label/name`` with a sample of one of the required labels."""
+    parts = F.col("_parts")
+    d = files.withColumn("_parts", below("path", root)).select(F.get(parts, F.lit(0)).alias("session"), F.get(parts, F.lit(1)).alias("kind"), F.get(parts, F.lit(2)).alias("label"), F.size(parts).alias("depth")).filter((F.col("kind") == kind) & (F.col("depth") >= 4))
     g = d.groupBy("session").agg(F.collect_set(F.lower("label")).alias("labels"), F.count(F.lit(1)).alias("samples"))
     return g.filter(F.arrays_overlap("labels", F.array(*[F.lit(r.lower()) for r in required]))).select("session", "samples")
 
@@ -209,5 +216,3 @@ def message_stream(spark: SparkSession, fmt: str, path: str | None = None, topic
     d = raw.select("topic", F.unbase64("value").alias("value"), "ts")
     return d.filter(F.col("topic").rlike(topics)) if topics else d
 
-
-assert natural_key
