@@ -46,7 +46,7 @@ class TokenConfig:
     block_bytes: int = 1 << 20
     block_docs: int = 2048
     #: Words whose ids a worker remembers at most.
-    remembered: int = 1_200_000
+    remembered: int = 800_000
 
 
 def id_width(tokenizer) -> int:
@@ -92,10 +92,10 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted names, and which entry each is
-        self.known = np.zeros((0, 3), np.uint64)  # two numbers and the length of each name's word
+        self.names, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted names, and which entry each is
+        self.first, self.second, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)  # the word of each name
         self.others: dict[bytes, int] = {}
-        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, f"<u{self.width}")
 
     def _encoded(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word. Letters, with one mark behind them or not, are encoded together: a word's last id has the word end."""
@@ -119,9 +119,9 @@ class WordIds:
     def _add(self, words: list[bytes]) -> np.ndarray:
         """Entries of words that have none."""
         ids = self._encoded([w.decode() for w in words])
-        count = np.array([len(x) for x in ids], np.int64)
+        count = np.array([len(x) for x in ids], np.int32)
         first = len(self.count)
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count, dtype=np.int64) - count])
         self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, *ids])
         return np.arange(first, first + len(words))
 
@@ -132,23 +132,19 @@ class WordIds:
         size = w.ends - w.starts
         out, word = np.full(len(size), -1, np.int64), lambda i: w.data[w.starts[i] : w.ends[i]].tobytes()
         at = np.flatnonzero(size <= 16)
-        name, first, back = np.unique(w.hashes[at], return_index=True, return_inverse=True)
-        key = np.column_stack([w.chunk(0, at), w.chunk(1, at), size[at].astype(np.uint64)])
-        head = key[first]
+        name, head, back = np.unique(w.hashes[at], return_index=True, return_inverse=True)
         place = np.searchsorted(self.names, name)
-        found = np.minimum(place, len(self.names) - 1)
-        hit = self.names[found] == name if len(self.names) else np.zeros(len(name), bool)
-        new = np.flatnonzero(~hit)
-        entry = np.zeros(len(name), np.int64)
-        if len(new):
-            entry[new] = self._add([word(i) for i in at[first[new]].tolist()])
-            order = np.insert(np.arange(len(self.names)), place[new], len(self.names) + np.arange(len(new)))
-            self.names, self.entry = np.concatenate([self.names, name[new]])[order], np.concatenate([self.entry, entry[new]])[order]
-            self.known = np.concatenate([self.known, head[new]])[order]
-            found = np.searchsorted(self.names, name)
-        entry = self.entry[found]
-        same = (key == self.known[found][back]).all(axis=1)
-        out[at[same]] = entry[back[same]]
+        new = np.flatnonzero(self.names[np.minimum(place, len(self.names) - 1)] != name) if len(self.names) else np.arange(len(name))
+        for k in range(0, len(new), 1 << 16):  # in parts, since words and their ids are objects on the way
+            part = new[k : k + (1 << 16)]
+            i = at[head[part]]
+            entry = self._add([word(j) for j in i.tolist()])
+            place = np.searchsorted(self.names, name[part])
+            for column, more in (("names", name[part]), ("entry", entry), ("first", w.chunk(0, i)), ("second", w.chunk(1, i)), ("size", size[i])):
+                setattr(self, column, np.insert(getattr(self, column), place, more))
+        found = np.searchsorted(self.names, name)
+        same = (w.chunk(0, at) == self.first[found][back]) & (w.chunk(1, at) == self.second[found][back]) & (size[at] == self.size[found][back])
+        out[at[same]] = self.entry[found][back[same]]
         # Long words, and those whose name another word has.
         other = {word(i): i for i in np.flatnonzero(out < 0).tolist()}
         missing = [x for x in other if x not in self.others]
@@ -160,7 +156,7 @@ class WordIds:
     def of(self, entries: np.ndarray) -> np.ndarray:
         """Ids of words one after the other."""
         count = self.count[entries]
-        return self.ids[np.repeat(self.begin[entries] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        return self.ids[np.repeat(self.begin[entries] - (np.cumsum(count, dtype=np.int64) - count), count) + np.arange(count.sum(dtype=np.int64))]
 
 
 def encode_texts(memory: WordIds, texts: pa.Array, end_id: int) -> Iterator[bytes]:
@@ -171,9 +167,9 @@ def encode_texts(memory: WordIds, texts: pa.Array, end_id: int) -> Iterator[byte
             yield np.array(memory.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, f"<u{memory.width}").tobytes() + end
         return
     open_row, parts = -1, []  # a text of several pieces
-    for first, rows, edges, w in word_batches(texts, BY_SPACE, fold=False, piece=4 << 20):
+    for first, rows, edges, w in word_batches(texts, BY_SPACE, fold=False, piece=2 << 20):
         entries = memory.entries(w)
-        ids, cut = memory.of(entries), np.r_[0, np.cumsum(memory.count[entries])][edges]
+        ids, cut = memory.of(entries), np.r_[0, np.cumsum(memory.count[entries], dtype=np.int64)][edges]
         if first != open_row and open_row >= 0:
             yield b"".join(parts) + end
             open_row, parts = -1, []
