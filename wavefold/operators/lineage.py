@@ -56,4 +56,5 @@ def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
     counts = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return d.withColumn("_rank", inside).join(counts.select("_range", before.alias("_before")), "_range").withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_range", "_rank", "_before")
+    d = d.withColumn("_in_range", inside).join(counts.select("_range", before.alias("_before_range")), "_range")
+    return d.select(*df.columns, (F.col("_before_range") + F.col("_in_range")).cast("long").alias(name))

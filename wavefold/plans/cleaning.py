@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavefold.operators import clean, evaluate
-from wavefold.operators.lineage import numbered
+from wavefold.operators import clean, evaluate, tables
 from wavefold.plans.registry import query, rounded
 from wavefold.sources import driver_tables as T
 
@@ -117,7 +116,7 @@ def w04(spark, d):
 def w05(spark, d):
     p = T.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     keyed = p.select("doc_id", clean.natural_key(F.col("path")).alias("k"))
-    return numbered(keyed, F.col("k"), name="at").select("doc_id", (F.col("at") + 1).alias("position"))
+    return tables.positions(keyed, F.col("k")).select("doc_id", "position")
 
 
 @query(
@@ -144,19 +143,17 @@ def a01(spark, d):
 
 @query("a02_value_counts", _S + " SELECT label, count(*) AS n FROM samples GROUP BY label ORDER BY label")
 def a02(spark, d):
-    return T.samples(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label")
+    return tables.value_counts(T.samples(spark, d), "label")
 
 
 @query("a03_crosstab", "WITH " + T.MANIFEST_SQL + " SELECT source, count(*) FILTER (label = 'q0') AS q0, count(*) FILTER (label = 'q1') AS q1 FROM manifest GROUP BY source")
 def a03(spark, d):
-    return T.manifest(spark, d).groupBy("source").pivot("label", ["q0", "q1"]).count().na.fill(0)
+    return tables.crosstab(T.manifest(spark, d), "source", "label", ["q0", "q1"])
 
 
 @query("a05_length_profile", "SELECT min(n) AS least, max(n) AS most, CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT) AS median, round(avg(n), 4) AS mean FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
 def a05(spark, d):
-    n = T.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    median = evaluate.percentiles(n.withColumn("all", F.lit(0)), "all", "n", (0.5,)).select(F.col("p")[0].cast("long").alias("median"))
-    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean")).crossJoin(F.broadcast(median))  # one row each
+    return tables.length_profile(T.table(spark, d, "events"), "user_id").withColumn("mean", F.round("mean", 4))
 
 
 @query(
@@ -171,32 +168,30 @@ def a06(spark, d):
 @query("u01_union", _S + " SELECT measurement_id, sequence_id, label, NULL AS source FROM samples WHERE label_id < 3 UNION ALL SELECT measurement_id, sequence_id, label, 'reviewed' FROM samples WHERE label_id >= 3")
 def u01(spark, d):
     s = T.samples(spark, d).select("measurement_id", "sequence_id", "label", "label_id")
-    return s.filter("label_id < 3").unionByName(s.filter("label_id >= 3").withColumn("source", F.lit("reviewed")), allowMissingColumns=True).select("measurement_id", "sequence_id", "label", "source")
+    return tables.align_union(s.filter("label_id < 3"), s.filter("label_id >= 3").withColumn("source", F.lit("reviewed"))).select("measurement_id", "sequence_id", "label", "source")
 
 
 @query("u02_class_coverage", "WITH " + T.MANIFEST_SQL + " SELECT source, count(DISTINCT label) = (SELECT count(DISTINCT label) FROM manifest) AS covers FROM manifest GROUP BY source")
 def u02(spark, d):
-    m = T.manifest(spark, d)
-    total = m.agg(F.countDistinct("label").alias("all"))
-    return m.groupBy("source").agg(F.countDistinct("label").alias("n")).crossJoin(F.broadcast(total)).select("source", (F.col("n") == F.col("all")).alias("covers"))
+    return tables.class_coverage(T.manifest(spark, d), "source", "label")
 
 
 @query("u03_set_operations", "SELECT user_id, 'both' AS side FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150) UNION ALL SELECT user_id, 'left' FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150)")
 def u03(spark, d):
     e = T.table(spark, d, "events").filter("value > 150")
     a, b = e.filter("event_type = 'error'").select("user_id"), e.filter("event_type = 'purchase'").select("user_id")
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("left")))
+    return tables.name_sides(a, b)
 
 
 @query("u04_label_map", _S + " SELECT DISTINCT label_id, label FROM samples WHERE label IS NOT NULL")
 def u04(spark, d):
-    return T.samples(spark, d).select("label_id", "label").dropna().dropDuplicates()
+    return tables.label_map(T.samples(spark, d))
 
 
 @query("o01_stable_sort", "WITH " + T.MANIFEST_SQL + " SELECT clip_id, row_number() OVER (ORDER BY label_id, source, speaker_id, clip_id) AS position FROM manifest")
 def o01(spark, d):
     m = T.manifest(spark, d).select("clip_id", "label_id", "source", "speaker_id")
-    return numbered(m, *[F.col(c) for c in ("label_id", "source", "speaker_id", "clip_id")], name="at").select("clip_id", (F.col("at") + 1).alias("position"))
+    return tables.positions(m, *[F.col(c) for c in ("label_id", "source", "speaker_id", "clip_id")]).select("clip_id", "position")
 
 
 @query("o02_page", "SELECT doc_id, source, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
@@ -209,7 +204,7 @@ def o02(spark, d):
 @query("o03_best_runs", "SELECT l_orderkey AS run, round(avg(l_discount), 4) AS test_acc, round(avg(l_tax), 4) AS val_acc FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20")
 def o03(spark, d):
     g = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(F.round(F.avg("l_discount"), 4).alias("test_acc"), F.round(F.avg("l_tax"), 4).alias("val_acc"))
-    return g.orderBy(F.desc("test_acc"), F.desc("val_acc"), "run").limit(20)
+    return tables.best_runs(g, 20)
 
 
 @query("o04_newest_artefact", "SELECT event_type AS kind, arg_max('run_' || user_id || '/model.h', {'m': ts, 'p': 'run_' || user_id || '/model.h'}) AS newest FROM events GROUP BY event_type")
@@ -220,7 +215,7 @@ def o04(spark, d):
 
 @query("j05_label_conflicts", _S + " SELECT label_id, min(label) AS label, count(DISTINCT label) > 1 AS conflict FROM samples GROUP BY label_id")
 def j05(spark, d):
-    return T.samples(spark, d).groupBy("label_id").agg(F.min("label").alias("label"), (F.countDistinct("label") > 1).alias("conflict"))
+    return tables.label_conflicts(T.samples(spark, d))
 
 
 @query("p13_column_contract", "SELECT unnest(['acc_x', 'acc_y']) AS missing, rows FROM (SELECT count(*) AS rows FROM events)")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavefold.functions import scalar
-from wavefold.operators import clean, evaluate, features, review, sampling
+from wavefold.operators import clean, evaluate, features, review, sampling, tables
 from wavefold.plans.cleaning import _AX, _S, _TRIM
 from wavefold.plans.registry import query, rounded
 from wavefold.sources import driver_tables as T
@@ -125,7 +124,7 @@ def m06(spark, d):
 @query("a04_split_summary", """WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
     SELECT CASE WHEN r <= round(n * 0.2) THEN 'test' WHEN r <= round(n * 0.2) + round((n - round(n * 0.2)) * 0.1) THEN 'val' ELSE 'train' END AS split, label, count(*) AS n FROM r GROUP BY ALL""")
 def a04(spark, d):
-    return m06(spark, d).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return tables.split_summary(m06(spark, d))
 
 
 _HELD = "WITH " + T.MANIFEST_SQL + """, m AS (SELECT clip_id, label_id, source, source || '_' || (clip_id % 4) AS speaker FROM manifest), sp AS (SELECT speaker, max(CASE WHEN source = 'src1' THEN 1 ELSE 0 END) AS own FROM m GROUP BY speaker),
@@ -384,25 +383,26 @@ def h09(spark, d):
 @query("j01_header_detail", "SELECT o_orderkey, o_orderstatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def j01(spark, d):
     o, li = T.table(spark, d, "orders"), T.table(spark, d, "lineitem")
-    j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
+    j = tables.header_detail(o, li, "o_orderkey", "l_orderkey")
     return rounded(j.groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total")), "total", digits=2)
 
 
 @query("j02_split_members", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS member FROM documents")
 def j02(spark, d):
     doc, lab = T.table(spark, d, "documents").select("doc_id"), T.table(spark, d, "labels").select("doc_id")
-    return doc.join(lab, "doc_id", "left_semi").withColumn("member", F.lit(True)).unionByName(doc.join(lab, "doc_id", "left_anti").withColumn("member", F.lit(False)))
+    inside, outside = tables.members(doc, lab, "doc_id")
+    return inside.withColumn("member", F.lit(True)).unionByName(outside.withColumn("member", F.lit(False)))
 
 
 @query("j03_manifest_features", "WITH " + T.MANIFEST_SQL + " SELECT clip_id, path, n_chars FROM manifest JOIN documents ON doc_id = clip_id")
 def j03(spark, d):
-    return T.manifest(spark, d).join(T.table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), "n_chars"), "clip_id").select("clip_id", "path", "n_chars")
+    return tables.with_features(T.manifest(spark, d), T.table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), "n_chars"), "clip_id").select("clip_id", "path", "n_chars")
 
 
 @query("j04_keyed_predictions", _P + " SELECT clip_id, true_id, pred_id, q88_pred_id, label, true_id = pred_id AS is_correct FROM preds JOIN embeddings ON vec_id = clip_id")
 def j04(spark, d):
     e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), "label")
-    return T.predictions(spark, d).join(e, "clip_id").withColumn("is_correct", F.col("true_id") == F.col("pred_id"))
+    return tables.keyed_predictions(T.predictions(spark, d), e, "clip_id")
 
 
 @query("j06_apply_stats", _F + ", s AS (SELECT channel, avg(v) AS mean, stddev_pop(v) + 1e-6 AS std FROM features GROUP BY channel) SELECT clip_id, round(sum((v - mean) / std), 4) + 0.0 AS total FROM features JOIN s USING (channel) GROUP BY clip_id")
@@ -435,14 +435,11 @@ def j09(spark, d):
 @query("j10_parameter_grid", "SELECT p_brand AS voice, rate, pitch FROM (SELECT DISTINCT p_brand FROM part), (VALUES (-10), (0), (10)) r(rate), (VALUES (0), (5)) p(pitch) WHERE NOT (p_brand = 'Brand#1' AND rate = 0)")
 def j10(spark, d):
     v = T.table(spark, d, "part").select(F.col("p_brand").alias("voice")).distinct()
-    grid = v.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (-10, 0, 10)]))).withColumn("pitch", F.explode(F.array(F.lit(0), F.lit(5))))
-    done = grid.filter("voice = 'Brand#1' and rate = 0")
-    return grid.join(done, ["voice", "rate", "pitch"], "left_anti")
+    grid = tables.parameter_grid(v, rate=[-10, 0, 10], pitch=[0, 5])
+    return tables.pending(grid, grid.filter("voice = 'Brand#1' and rate = 0"))
 
 
 @query("s21_latest_state", "SELECT event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY event_type")
 def s21(spark, d):
     return review.latest_state(T.table(spark, d, "events").select("event_type", "event_id", "value", "ts"), "event_type", "ts").select("event_type", "event_id", "value")
 
-
-assert Window

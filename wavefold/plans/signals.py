@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavefold.functions import scalar
-from wavefold.operators import signal
+from wavefold.operators import signal, tables
 from wavefold.plans.registry import query, rounded
 from wavefold.sources import driver_tables as T
 
@@ -150,8 +150,7 @@ def w14_bisect(spark, d):
     _C + _FR + _GRID + _SEG + " SELECT clip_id, count(*) AS n, min(dur) * 1000 AS least_ms, max(dur) * 1000 AS most_ms, round(avg(dur) * 1000, 4) AS mean_ms FROM ok WHERE threshold_db = -2 AND gap_s = 0.12 AND pad_s = 0.1 GROUP BY clip_id",
 )
 def a20(spark, d):
-    ms = (F.col("end") - F.col("start")) / 50.0 * 1000
-    return rounded(_one_plan(spark, d).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.min(ms).alias("least_ms"), F.max(ms).alias("most_ms"), F.avg(ms).alias("mean_ms")), "mean_ms")
+    return rounded(tables.clip_report(_one_plan(spark, d), "clip_id", 50), "mean_ms")
 
 
 @query(
