@@ -58,7 +58,7 @@ class JoinConfig:
     leaf: int = 16
     fan: int = 4
     #: Set elements and sets of a block, about (a single larger set is a block).
-    block: int = 1_000_000
+    block: int = 500_000
     block_rows: int = 1024
     #: One document in so many is sampled for frequent elements; at most so many of them are sent to tasks.
     sample: int = 32

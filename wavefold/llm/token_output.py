@@ -46,7 +46,7 @@ class TokenConfig:
     block_bytes: int = 1 << 20
     block_docs: int = 2048
     #: Words whose ids a worker remembers at most.
-    remembered: int = 800_000
+    remembered: int = 500_000
 
 
 def id_width(tokenizer) -> int:
@@ -167,7 +167,7 @@ def encode_texts(memory: WordIds, texts: pa.Array, end_id: int) -> Iterator[byte
             yield np.array(memory.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, f"<u{memory.width}").tobytes() + end
         return
     open_row, parts = -1, []  # a text of several pieces
-    for first, rows, edges, w in word_batches(texts, BY_SPACE, fold=False, piece=2 << 20):
+    for first, rows, edges, w in word_batches(texts, BY_SPACE, fold=False, piece=1 << 20):
         entries = memory.entries(w)
         ids, cut = memory.of(entries), np.r_[0, np.cumsum(memory.count[entries], dtype=np.int64)][edges]
         if first != open_row and open_row >= 0:
