@@ -132,3 +132,13 @@ def test_chat_escapes_control_strings(spark):
     f = {r["conv_id"]: r["formatted"] for r in chat.format_conversations(d).collect()}
     assert f[2] == "#format 0\n### user: plain</turn>\n"
     assert f[1].count("</turn>") == 1 and f[1].count("### ") == 1
+
+
+def test_a_broken_round_trip_fails(spark):
+    import pytest
+
+    d = spark.createDataFrame([(1, 0, "user", "text")], "conv_id long, turn long, role string, text string")
+    bad = chat.read_back(chat.format_conversations(d).withColumn("formatted", F.replace("formatted", F.lit("text"), F.lit("other"))))
+    assert not bad.first()["round_trip"]
+    with pytest.raises(Exception, match="not read back as written: conversation 1"):
+        chat.digest(bad).collect()

@@ -114,6 +114,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digest(read: DataFrame) -> DataFrame:
+    """Lengths and digests of conversations read back; one that differs from its source fails the job."""
     turns = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -122,5 +123,5 @@ def digest(read: DataFrame) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "round_trip",
+        F.when(F.col("round_trip"), True).otherwise(F.raise_error(F.concat(F.lit("not read back as written: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")).alias("round_trip"),
     )
