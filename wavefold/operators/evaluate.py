@@ -43,16 +43,19 @@ def per_class_accuracy(cm: DataFrame) -> DataFrame:
 def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
     """(group, p): exact percentiles with linear interpolation, one array a group; null values count nothing.
 
-    Values are sorted by (group, value) over ranges and only those at the positions
-    asked for are picked, so no task or aggregate holds the values of a group.
+    Equal values are counted first; the different ones are sorted by (group, value)
+    over ranges and only those at the positions asked for are picked, so no task or
+    aggregate holds the values of a group, however often one occurs.
     """
-    r = numbered(df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")), F.col("_g"), F.col("_v"), name="_at")
-    groups = r.groupBy("_g").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    asked = groups.select("_g", "_first", "_n", F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("_k", "_q")).withColumn("_x", F.col("_q") * (F.col("_n") - 1))
+    c = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    r = numbered(c, F.col("_g"), F.col("_v"), name="_at", weight=F.col("_c"))
+    asked = r.groupBy("_g").agg(F.min("_at").alias("_first"), F.sum("_c").alias("_n"))
+    asked = asked.select("_g", "_first", "_n", F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("_k", "_q")).withColumn("_x", F.col("_q") * (F.col("_n") - 1))
     low, share = F.floor("_x"), F.col("_x") - F.floor("_x")
     ends = F.array(F.struct(low.alias("i"), (1 - share).alias("w")), F.struct(F.ceil("_x").alias("i"), share.alias("w")))
-    asked = asked.select("_g", "_k", "_first", F.explode(ends).alias("e")).select(F.col("_g").alias("_group"), "_k", (F.col("_first") + F.col("e.i")).alias("_at"), F.col("e.w").alias("_w"))
-    picked = r.select("_at", "_v").join(asked, "_at").groupBy("_group", "_k").agg(F.sum(F.col("_v") * F.col("_w")).alias("p"))
+    asked = asked.select("_g", "_k", "_first", F.explode(ends).alias("e")).select(F.col("_g").alias("_group"), "_k", (F.col("_first") + F.col("e.i")).alias("_place"), F.col("e.w").alias("_w"))
+    here = F.col("_g").eqNullSafe(F.col("_group")) & (F.col("_place") >= F.col("_at")) & (F.col("_place") < F.col("_at") + F.col("_c"))
+    picked = r.join(asked, here).groupBy("_group", "_k").agg(F.sum(F.col("_v") * F.col("_w")).alias("p"))
     return picked.groupBy("_group").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "p"))), lambda x: x["p"]).alias("p")).select(F.col("_group").alias(group), "p")
 
 

@@ -46,15 +46,17 @@ def follow(nodes: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
         count, jump = now, cut(jump.join(further, [*key, "to"]).select(*key, "at", F.col("_to").alias("to")))
 
 
-def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
-    """``df`` with the position of each row (from 0) in an order, found without a task that sees all rows.
+def numbered(df: DataFrame, *order: Column, name: str, weight: Column | None = None) -> DataFrame:
+    """``df`` with the position of each row (from 0) in a total order, found without a task that sees all rows.
 
-    Rows are dealt out by ranges of the order and ranked inside of each range; the
-    rows of the ranges before it (one number a range) are added.
+    Rows are dealt out by ranges of the order and counted inside of each range; the
+    rows of the ranges before it (one number a range) are added. With ``weight``
+    the position is the sum of the weights before.
     """
+    one = F.lit(1) if weight is None else weight
     d = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    counts = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    d = d.withColumn("_in_range", inside).join(counts.select("_range", before.alias("_before_range")), "_range")
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy("_range").agg(F.sum(one).alias("_n"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(past(Window.orderBy("_range"))), F.lit(0)).alias("_before_range"))  # one row a range
+    d = d.withColumn("_in_range", F.coalesce(F.sum(one).over(past(Window.partitionBy("_range").orderBy(*order))), F.lit(0))).join(ranges, "_range")
     return d.select(*df.columns, (F.col("_before_range") + F.col("_in_range")).cast("long").alias(name))
