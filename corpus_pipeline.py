@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavefold.llm import decontaminate, jaccard_join, mixing, queries, token_output, toxicity
-from wavefold.llm.shared import scratch_dir, table, written
+from wavefold.llm.shared import discard, scratch_dir, table, written
 
 #: SQL cannot express trained models, tokenizers and edit distances in bands.
 ORACLE_SQL = None
@@ -52,8 +52,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage; each stage's rows are written as Parquet and read again."""
+    """Rows of the last stage; each stage's rows are written as Parquet and read again, then deleted."""
     docs, folder = table(spark, sf_dir, "documents"), scratch_dir(spark)
     for n, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), folder, f"stage-{n}")
+        discard(spark, folder, f"stage-{n - 1}")
     return docs
