@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of texts that go to a Python worker at once; Spark's default of 64 MB costs several times that in buffers of either side.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the bytes of an Arrow batch for the session where they are Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -16,6 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
     machine (tests, a notebook) a temporary folder is set for it; a cluster must
     name one.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -33,6 +45,7 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
