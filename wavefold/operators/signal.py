@@ -148,9 +148,18 @@ def plan_segments(df: DataFrame, key: str, grid: DataFrame | None, length: int,
     """
     grid = segment_grid(df.sparkSession) if grid is None else grid
     total = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    rms = frame_rms(df, key, length, hop).join(total, key).crossJoin(F.broadcast(grid))
-    keys = [key, "threshold_db", "gap_s", "pad_s"]
-    seg = detect_segments(rms, keys, length, hop, F.col("threshold_db"), F.round(F.col("gap_s") * sample_rate), F.round(F.col("pad_s") * sample_rate), round(0.35 * sample_rate))
+    peak = F.max("rms").over(Window.partitionBy(key))
+    rms = frame_rms(df, key, length, hop).withColumn("_p", peak).filter("_p > 1e-8").crossJoin(F.broadcast(grid.select("threshold_db").distinct()))
+    # Active frames by threshold, islands by threshold and gap, padding on the islands alone: rows are multiplied as late as can be.
+    active = rms.filter(F.col("rms") >= F.col("_p") * db_to_amplitude(F.col("threshold_db")))
+    apart = F.col("frame") * hop - F.lag(F.col("frame") * hop + length).over(Window.partitionBy(key, "threshold_db").orderBy("frame"))
+    active = active.select(key, "threshold_db", "frame", apart.alias("_apart")).join(F.broadcast(grid.select("threshold_db", "gap_s").distinct()), "threshold_db")
+    new = F.when(F.col("_apart").isNull() | (F.col("_apart") > F.round(F.col("gap_s") * sample_rate)), 1).otherwise(0)
+    active = active.withColumn("_island", F.sum(new).over(Window.partitionBy(key, "threshold_db", "gap_s").orderBy("frame")))
+    island = active.groupBy(key, "threshold_db", "gap_s", "_island").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1")).join(total, key).join(F.broadcast(grid), ["threshold_db", "gap_s"])
+    keys, pad = [key, "threshold_db", "gap_s", "pad_s"], F.round(F.col("pad_s") * sample_rate)
+    seg = island.select(*keys, F.greatest(F.col("f0") * hop - pad, F.lit(0)).alias("start"), F.least(F.col("f1") * hop + length + pad, F.col("total")).alias("end"))
+    seg = seg.filter(F.col("end") - F.col("start") >= round(0.35 * sample_rate))
     dur = (F.col("end") - F.col("start")) / sample_rate
     g = seg.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((dur > 2.5).cast("int")).alias("long"), F.sum((dur < 0.6).cast("int")).alias("short"), F.max(dur).alias("longest"))
     rank = F.struct("long", "short", F.when(F.col("n") >= target, 0).otherwise(1), F.abs(F.col("n") - target), "longest", F.abs(F.col("threshold_db") - prefer[0]), F.abs(F.col("gap_s") - prefer[1]), "pad_s", "threshold_db", "gap_s")
