@@ -16,7 +16,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Sets the bytes of an Arrow batch for the session where they are Spark's default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == f"{64 << 20}b":
+    if spark.conf.get(key) == f"{64 << 20}b":
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
