@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import chat, decontaminate, html_text, jaccard_join, mixing, search, token_count, token_output, toxicity, url_filter
+from wavefold.llm import chat, decontaminate, html_text, jaccard_join, merkle, mixing, search, token_count, token_output, toxicity, url_filter
 from wavefold.llm.shared import scratch_dir, table, written
 
 RULES = (
@@ -83,11 +83,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_conversations(rows)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.digest("doc_id", "source", "lang", "n_chars", lowered)).alias("tampered")
+    d = merkle.manifest(documents, scratch_dir(spark), also=(tampered,))
+    siblings = F.array_join(F.transform("proof", lambda step: F.concat(step["left"], step["right"])), "")
+    d = d.select("doc_id", "leaf", F.col("roots")[0].alias("subroot"), F.col("roots")[1].alias("root"), F.sha2(siblings, 256).alias("proof_sha256"),
+                 merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return d.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     ops = (
         op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op4_jaccard_links, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
@@ -227,5 +239,58 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP11 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                     lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) for _ in range(8)]), lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))) AS crc
+  FROM documents
+), e AS (
+  SELECT doc_id, source, xor(crc, 4294967295) % 5 = 0 AS changed, text, low,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head
+  FROM d
+), l AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN changed AND text IS NOT NULL THEN sha256(head || strlen(low) || ':' || low) END AS tampered FROM e
+), placed AS (
+  SELECT *, 'leaf' AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l
+), nodes AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 16, CAST(ceil(n / 16) AS BIGINT), sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, level, pos // 16, n
+), subs AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 16, CAST(ceil(n / 16) AS BIGINT), sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 16, n
+), steps AS (
+  SELECT 0 AS tree, source, level, pos,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT 1, NULL, level, pos,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')
+  FROM tops WHERE n > 1
+), fold AS (
+  SELECT p.doc_id, p.leaf, p.source, s.pos AS sub_pos, s.subroot, 0 AS tree, 0 AS level, p.pos, coalesce(p.tampered, p.leaf) AS digest, '' AS proof, false AS over
+  FROM placed AS p JOIN subs AS s ON s.source IS NOT DISTINCT FROM p.source
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.source, f.sub_pos, f.subroot,
+         CASE WHEN x.pos IS NULL THEN f.tree + 1 ELSE f.tree END, CASE WHEN x.pos IS NULL THEN 0 ELSE f.level + 1 END,
+         CASE WHEN x.pos IS NULL THEN f.sub_pos ELSE f.pos // 16 END,
+         CASE WHEN x.pos IS NULL THEN f.digest ELSE sha256(x.lft || f.digest || x.rgt) END, f.proof || coalesce(x.lft || x.rgt, ''), x.pos IS NULL AND f.tree = 1
+  FROM fold AS f LEFT JOIN steps AS x ON x.tree = f.tree AND x.level = f.level AND x.pos = f.pos AND (f.tree = 1 OR x.source IS NOT DISTINCT FROM f.source)
+  WHERE NOT f.over
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, digest AS folded_root,
+       digest = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM fold WHERE over
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": _OP1, "op2_mixing": _OP2, "op4_jaccard_join": _OP4, "op9_url_filter": _OP9, "op10_chat_format": _OP10}
+    return {"op11_merkle_manifest": _OP11, "op1_topk_search": _OP1, "op2_mixing": _OP2, "op4_jaccard_join": _OP4, "op9_url_filter": _OP9, "op10_chat_format": _OP10}
