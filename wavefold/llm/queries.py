@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import chat, decontaminate, html_text, jaccard_join, merkle, mixing, search, token_count, token_output, toxicity, url_filter
+from wavefold.llm import align, chat, decontaminate, html_text, jaccard_join, merkle, mixing, search, token_count, token_output, toxicity, url_filter
 from wavefold.llm.shared import scratch_dir, table, written
 
 RULES = (
@@ -94,12 +94,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = align.AlignConfig(first=public_tokenizers.path("byte_bpe_50k.json"), second=public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align_corpus(table(spark, sf_dir, "documents"), scratch_dir(spark), cfg)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     ops = (
         op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op4_jaccard_links, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_token_alignment,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
