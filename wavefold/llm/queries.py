@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import align, chat, decontaminate, html_text, jaccard_join, merkle, mixing, search, token_count, token_output, toxicity, url_filter
+from wavefold.llm import align, chat, decontaminate, html_text, jaccard_join, merkle, mixing, repeats, search, token_count, token_output, toxicity, url_filter
 from wavefold.llm.shared import scratch_dir, table, written
 
 RULES = (
@@ -99,12 +99,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_corpus(table(spark, sf_dir, "documents"), scratch_dir(spark), cfg)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(table(spark, sf_dir, "documents"), scratch_dir(spark))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     ops = (
         op1_topk_search, op2_mixing, op3_token_output, op4_jaccard_join, op4_jaccard_links, op5_decontamination, op6_token_counts, op7_toxicity, op8_html_text, op9_url_filter, op10_chat_format,
-        op11_merkle_manifest, op12_token_alignment,
+        op11_merkle_manifest, op12_token_alignment, op13_suffix_array_dedup,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
