@@ -37,11 +37,11 @@ class AlignConfig:
     first: str = ""
     second: str = ""
     #: Pieces and windows that a worker remembers at most, and ids of either kind in all.
-    pieces: int = 1_000_000
-    windows: int = 400_000
-    ids: int = 5_000_000
+    pieces: int = 400_000
+    windows: int = 150_000
+    ids: int = 3_000_000
     #: UTF-8 bytes of texts that are aligned at once; a longer text comes alone.
-    block: int = 2 << 20
+    block: int = 1 << 20
     #: Pairs of ids whose counts are broadcast.
     light_pairs: int = 1_000_000
 
@@ -59,16 +59,16 @@ def _gather(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Ragged:
     """Rows of whole numbers of any length, appended in blocks."""
 
-    def __init__(self):
-        self.flat, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    def __init__(self, kind: type = np.int32):
+        self.flat, self.offsets = np.zeros(0, kind), np.zeros(1, np.int64)
 
     def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = _gather(self.offsets, rows)
-        return self.flat[at], n
+        return self.flat[at].astype(np.int64), n
 
 
 class Codec:
@@ -121,7 +121,22 @@ class Codec:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.known = (Ragged(), Ragged())
-        self.same = np.zeros(0, bool)
+        self.same, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keeps the pieces that were looked up most often, half of the limit at most."""
+        least = 2
+        while (self.used >= least).sum() > self.cfg.pieces // 2 or self.known[0].flat.nbytes and self.known[0].take(np.flatnonzero(self.used >= least))[1].sum() > self.cfg.ids // 2:
+            least *= 2
+        keep = np.flatnonzero(self.used >= least)
+        known = (Ragged(), Ragged())
+        for new, old in zip(known, self.known, strict=True):
+            new.append(*old.take(keep))
+        place = np.full(len(self.used), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        self.rows = {p: place[r] for p, r in self.rows.items() if place[r] >= 0}
+        self.known, self.same, self.used = known, self.same[keep], np.ones(len(keep), np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a space and the text, each without its first space."""
@@ -133,8 +148,8 @@ class Codec:
     def learn(self, wanted: set[str]) -> None:
         new = list(wanted.difference(self.rows))
         if len(self.rows) + len(new) > self.cfg.pieces or max(len(k.flat) for k in self.known) > self.cfg.ids:
-            self.forget()
-            new = list(wanted)
+            self.trim()
+            new = list(wanted.difference(self.rows))
         if not new:
             return
         a = [self.latin(" " + x) if self.latin and (x.isascii() or max(x) < "\u0250") else None for x in new]
@@ -151,6 +166,7 @@ class Codec:
             flat.append((np.array(list(chain.from_iterable(ids)), np.int64), np.array(list(map(len, ids)), np.int64)))
             known.append(*flat[-1])
         self.same = np.concatenate([self.same, self._same(new, flat)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
 
     def _same(self, new: list[str], flat: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -175,6 +191,7 @@ class Codec:
         rows = {i: np.fromiter(map(self.rows.__getitem__, p), np.int64, len(p)) for i, p in cut.items()}
         good = [i for i, r in rows.items() if self.same[r].all() or self._joined(texts[i], r)]
         flat = np.concatenate([rows[i] for i in good]) if good else np.zeros(0, np.int64)
+        self.used += np.bincount(flat, minlength=len(self.used))
         starts = np.r_[0, np.cumsum([len(rows[i]) for i in good])[:-1]].astype(np.int64)
         ids, counts = [], []
         for known in self.known:
@@ -211,7 +228,7 @@ class Aligner:
         self.texts: list[str] = []
         self.groups, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = (Ragged(), Ragged())
-        self.pairs, self.times = Ragged(), Ragged()
+        self.pairs, self.times = Ragged(np.int64), Ragged(np.int64)
 
     def learn(self, names: list[int], windows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Rows of windows, which are given by their hashes and, for either kind, all ids in a row and the number of each."""
