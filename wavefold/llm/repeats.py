@@ -25,6 +25,7 @@ strings that Spark splits; all others are ordered inside their range.
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +46,11 @@ class RepeatConfig:
     length: int = 50
     window: int = 20
     #: UTF-8 bytes that are parsed at once; a longer text is parsed in parts that overlap by a string.
-    piece: int = 1 << 19
+    piece: int = 1 << 15
     #: Phrases of one trigger that a task orders; beyond, they are met by joins.
     group: int = 200_000
+    #: Parts by trigger in which phrases are sorted one after the other, so that a part of them is in a shuffle at a time.
+    parts: int = 4
 
     @property
     def reach(self) -> int:
@@ -77,14 +80,18 @@ def _sums(data: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _least(key: np.ndarray, n: int) -> np.ndarray:
-    """The least of every ``n`` consecutive values, by running minima from both ends of blocks of ``n``."""
-    blocks = np.full(-(-len(key) // n) * n, np.iinfo(np.uint64).max, np.uint64)
-    blocks[: len(key)] = key
-    blocks = blocks.reshape(-1, n)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(key) - n + 1
-    return np.minimum(after[:count], before[n - 1 : n - 1 + count])
+    """The least of every ``n`` consecutive values: of 2, 4, 8 ..., then of two overlapping runs."""
+    run = 1
+    while 2 * run <= n:
+        key, run = np.minimum(key[:-run], key[run:]), 2 * run
+    return np.minimum(key[: len(key) - (n - run)], key[n - run :]) if run < n else key
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Brings the low bits of sums of powers, which depend on few bytes, under the high ones."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return x
 
 
 class Parse:
@@ -99,15 +106,19 @@ class Parse:
             return
         with np.errstate(over="ignore"):
             sums, down = _sums(data, _FACTORS[0])
-            h = mix64((sums[window:] - sums[:-window]) * down[: n - window + 1])
+            h = _mixed((sums[window:] - sums[:-window]) * down[: n - window + 1])
             trigger = (_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), cfg.reach + 1) & _PLACE).astype(np.int64)
         inside = np.zeros(len(trigger) + 1, np.int64)  # strings that do not end in another text
         whole = np.flatnonzero(np.diff(edges) >= length)
         np.add.at(inside, edges[whole], 1)
         np.add.at(inside, edges[whole + 1] - length + 1, -1)
         good = np.cumsum(inside[:-1]) > 0
-        same = good[1:] & good[:-1] & (trigger[1:] == trigger[:-1])
-        self.first, self.last = np.flatnonzero(good & ~np.r_[False, same]), np.flatnonzero(good & ~np.r_[same, False])
+        ends = trigger[1:] != trigger[:-1]
+        ends |= good[1:] != good[:-1]
+        ends = np.r_[-1, np.flatnonzero(ends), len(good) - 1]
+        first, last = ends[:-1] + 1, ends[1:]
+        has = good[first]
+        self.first, self.last = first[has], last[has]
         self.trigger = trigger[self.first]
         self.hashes = h[self.trigger]
 
@@ -119,11 +130,15 @@ class Parse:
             return mix64((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
-        """The bytes left of the triggers and those right of them; bytes that no string of the phrase reaches can be any."""
+        """The bytes left of the triggers and those right of them; bytes that no string of the phrase reaches are 0."""
         reach, window = self.cfg.reach, self.cfg.window
         near = np.r_[np.arange(-reach, 0), np.arange(window, window + reach)]
         padded = np.concatenate([np.zeros(reach, np.uint8), self.data, np.zeros(reach, np.uint8)])
-        return padded[self.trigger[at][:, None] + (near + reach)[None, :]]
+        out = padded[self.trigger[at][:, None] + (near + reach)[None, :]]
+        left, right = self.trigger[at] - self.first[at], reach - self.trigger[at] + self.last[at]
+        out[np.r_[np.arange(reach, 0, -1), np.full(reach, -1)] > left[:, None]] = 0
+        out[np.r_[np.full(reach, -1), np.arange(reach)] >= right[:, None]] = 0
+        return out
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +236,7 @@ def _phrases(cfg: RepeatConfig):
             ids, key = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             for row, shift, p in parsed(batch.column("text"), cfg):
                 t = p.hashes.view(np.int64)
-                at = np.flatnonzero(np.isin(t, wanted))
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)] == t)
                 low, high = p.trigger[at] - p.last[at], p.trigger[at] - p.first[at]
                 columns = [t[at], p.names(at).view(np.int64), ids[row[at]], key[row[at]], p.trigger[at] + shift[at], low.astype(np.int32), high.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _fixed(p.contexts(at))], names=names)
@@ -405,15 +420,20 @@ def remove_repeats(documents: DataFrame, folder: str, cfg: RepeatConfig = Repeat
     wanted = written(found.groupBy("key").agg(F.collect_list("trigger").alias("triggers")), folder, "wanted")
     _settled(spark)
     once = long.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text")).join(wanted, "key")
-    phrases = written(once.mapInArrow(_phrases(cfg), _PHRASE), folder, "phrases")
+    part = F.pmod("trigger", F.lit(cfg.parts)).alias("part")
+    once.mapInArrow(_phrases(cfg), _PHRASE).select("*", part).write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/phrases")
+    phrases = spark.read.schema(f"{_PHRASE}, part int").parquet(f"{folder}/phrases")
     discard(spark, folder, "wanted")
+    by, marked = ["trigger", "phrase", "id", "key", "place"], []
+    for n in range(cfg.parts):
+        _settled(spark)
+        some = phrases.filter(F.col("part") == n).drop("part").repartitionByRange(*by).sortWithinPartitions(*by)
+        marked.append(written(some.mapInArrow(_ordered(cfg), _PHRASE + ", bits long"), folder, f"marked-{n}"))
+        discard(spark, folder, f"phrases/part={n}")
     _settled(spark)
-    by = ["trigger", "phrase", "id", "key", "place"]
-    marked = written(phrases.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_ordered(cfg), _PHRASE + ", bits long"), folder, "marked")
-    discard(spark, folder, "phrases")
-    _settled(spark)
+    marked = functools.reduce(DataFrame.unionByName, marked)
     removed = marked.filter("bits is not null").select("key", "place", "bits").unionByName(met(marked.filter("bits is null").drop("bits"), cfg))
     strings = written(removed.groupBy("key").agg(F.collect_list(F.struct("place", "bits")).alias("strings")), folder, "strings")
-    discard(spark, folder, "marked")
+    discard(spark, folder, "phrases", *[f"marked-{n}" for n in range(cfg.parts)])
     _settled(spark)
     return d.select("doc_id", "text", "key").join(strings, "key", "left").select("doc_id", "text", "strings").mapInArrow(_remove(cfg), _KEPT)
