@@ -41,20 +41,35 @@ def duck():
 
 @pytest.fixture(scope="session")
 def same():
-    """Compares a Spark frame with a DuckDB relation as multisets of rows, floats at nine digits."""
+    """Compares a Spark frame with a DuckDB relation as multisets of rows: whole numbers exactly, fractions at nine digits."""
+    from decimal import Decimal
 
-    def text(v):
+    from pyspark.sql.types import IntegralType
+
+    def text(v, whole=False):
         if v is None or v != v:
             return "null"
-        if isinstance(v, float):
-            return f"{v + 0.0:.9g}"
-        return str(v)
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(text(x) for x in v) + "]"
+        if isinstance(v, dict):
+            return text(list(v.values()))
+        if isinstance(v, (bytes, bytearray)):
+            return bytes(v).hex()
+        if isinstance(v, bool) or not isinstance(v, (int, float, Decimal)):
+            return str(v)
+        if whole:
+            assert v == int(v)
+            return str(int(v))
+        return f"{float(v) + 0.0:.9g}"
 
     def compare(df, rel):
-        a, b = df.toPandas(), rel.df()
-        assert sorted(a.columns) == sorted(b.columns)
-        cols = sorted(a.columns)
-        rows = lambda f: sorted(tuple(text(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else text(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
-        assert rows(a) == rows(b)
+        assert sorted(df.columns) == sorted(rel.columns)
+        cols, whole = sorted(df.columns), {f.name for f in df.schema if isinstance(f.dataType, IntegralType)}
+
+        def rows(names, values):
+            at = [names.index(c) for c in cols]
+            return sorted(tuple(text(r[i], c in whole) for i, c in zip(at, cols, strict=True)) for r in values)
+
+        assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
 
     return compare

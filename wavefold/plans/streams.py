@@ -90,13 +90,13 @@ def _messages(spark, d):
         .when(k == 6, F.concat(F.lit('{"audio_base64":"'), F.base64(F.encode(v, "UTF-8")), F.lit('"}'))).when(k == 7, F.concat(F.lit("RIFF"), v)).when(k == 8, "{}").otherwise("x")
     )
     topic = F.concat(F.lit("esp32/dev"), F.col("user_id").cast("string"), F.when(k.isin(4, 5, 6, 7), "/viz/mic").when(k == 9, "/state/battery").otherwise("/sensor/imu"))
-    return e.select(topic.alias("topic"), F.base64(F.encode(payload, "UTF-8")).alias("value"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return e.select(topic.alias("topic"), F.encode(payload, "UTF-8").alias("value"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def _message_stream(spark, d, folder):
     m = _messages(spark, d)
     for part in (m.filter("event_id % 3 = 0"), m.filter("event_id % 3 <> 0")):
-        part.select("topic", "value", "ts").coalesce(1).write.mode("append").json(f"{folder}/in")
+        ingest.write_messages(part.coalesce(1), f"{folder}/in")
     return ingest.message_stream(spark, "json", f"{folder}/in", "^esp32/[^/]+/(sensor/imu|viz/mic)$", maxFilesPerTrigger="1")
 
 

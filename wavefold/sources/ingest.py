@@ -208,6 +208,15 @@ def run_summaries(runs: DataFrame, after: Column | None = None) -> DataFrame:
     return d.select("tag", *[j(f"$.{k}.summary.{m}").alias(f"{k}_{m}") for k in ("gesture", "voice") for m in ("accuracy", "total_mean_ms")])
 
 
+#: Message times in JSON: written by default, Spark cuts them to milliseconds.
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def write_messages(df: DataFrame, path: str) -> None:
+    """Appends (topic, value binary, ts) as JSON that ``message_stream`` reads back with all of its digits."""
+    df.select("topic", F.base64("value").alias("value"), "ts").write.mode("append").option("timestampFormat", MICROSECONDS).json(path)
+
+
 def message_stream(spark: SparkSession, fmt: str, path: str | None = None, topics: str | None = None, **options: str) -> DataFrame:
     """Streaming rows (topic, value binary, ts) from Kafka or from JSON files of (topic, value base64, ts)."""
     if fmt == "kafka":
