@@ -95,6 +95,12 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
 
 
+def fine_uniform(seed: int, *parts: Column) -> Column:
+    """As ``uniform``, of 52 bits: for lookups in more intervals than 32 bits tell apart."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
 def order_key(seed: int, *parts: Column) -> Column:
     """md5 of seed and parts, for a seeded order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

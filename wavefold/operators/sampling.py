@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavefold.functions.scalar import order_key, uniform
+from wavefold.functions.scalar import fine_uniform, order_key, uniform
 from wavefold.operators.clean import valid_labels
 from wavefold.operators.features import pack_q88
+from wavefold.operators.lineage import carried, numbered
 
 
 def normal(seed: int, *parts: Column) -> Column:
@@ -106,44 +107,52 @@ def augment_clips(df: DataFrame, key: str, factor: int = 2, seed: int = 42, nois
 def weighted_resample(df: DataFrame, key: str, weight: str, factor: int = 6, seed: int = 42, bits: int = 12) -> DataFrame:
     """(draw, key): n * factor draws with replacement, proportional to weight.
 
-    Keys are spread over 2^bits strata by hash; a two-level running sum gives each
-    key an interval of the total, and each draw (a hashed uniform) is looked up by
-    the stratum that holds it, then inside of it.
+    In a hashed order (2^bits buckets, then key) each key owns an interval of the total
+    weight. The beginnings of the intervals and the draws (hashed uniforms of 52 bits) are merged in one
+    sort by ranges, and each draw gets the last interval begun. Work is linear but for the sorts, whatever the weights.
     """
-    d = df.select(key, F.col(weight).alias("_w")).filter("_w > 0").withColumn("_b", F.shiftright(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
-    strata = d.groupBy("_b").agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_c"))
-    past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^bits rows
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    strata = strata.withColumn("_lo", F.coalesce(F.sum("_bw").over(past), F.lit(0.0))).withColumn("_total", F.sum("_bw").over(every))
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    keys = d.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0.0)))
+    bucket = F.shiftright(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), 32 - bits).cast("int")
+    d = df.select(key, F.col(weight).cast("double").alias("_w")).filter("_w > 0").withColumn("_b", bucket)
+    keys = numbered(d, F.col("_b"), F.col(key), name="_at", weight=F.col("_w"), kind="double")
+    total = d.agg(F.sum("_w").alias("_total"))
     # Draws are made by the keys themselves, so they are as many as n * factor and made in parallel.
     draws = d.select(key, F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("_f")).select(F.concat_ws(":", F.col(key).cast("string"), F.col("_f").cast("string")).alias("draw"))
-    draws = draws.withColumn("_u", uniform(seed, F.col("draw")))
-    # One row: groups of 2^(bits/2) strata, so a draw looks at 2 * 2^(bits/2) bounds, not at all of them.
-    group = F.floor(F.row_number().over(Window.orderBy("_b")) / (1 << bits // 2))
-    groups = strata.withColumn("_g", group).groupBy("_g").agg(F.min("_lo").alias("_lo"), F.sort_array(F.collect_list(F.struct("_lo", "_b"))).alias("_t"), F.max("_total").alias("_total"))
-    table = groups.agg(F.sort_array(F.collect_list(F.struct("_lo", "_t"))).alias("_t"), F.max("_total").alias("_total"))
-    draws = draws.crossJoin(F.broadcast(table)).withColumn("_x", F.col("_u") * F.col("_total"))
-    at = F.element_at(F.filter("_t", lambda s: s["_lo"] <= F.col("_x")), -1)
-    draws = draws.withColumn("_t", at["_t"]).withColumn("_s", at)
-    draws = draws.select("draw", (F.col("_x") - F.col("_s._lo")).alias("_x"), F.col("_s._b").alias("_b"))
-    hit = draws.join(keys, "_b").filter((F.col("_x") >= F.col("_in")) & (F.col("_x") < F.col("_in") + F.col("_w")))
-    return hit.select("draw", key)
+    draws = draws.crossJoin(F.broadcast(total)).select("draw", (fine_uniform(seed, F.col("draw")) * F.col("_total")).alias("_at"))  # one row
+    both = keys.select("_at", F.lit(0).alias("_kind"), F.col(key), F.lit(None).cast("string").alias("draw"))
+    both = both.unionByName(draws.select("_at", F.lit(1).alias("_kind"), F.lit(None).cast(df.schema[key].dataType).alias(key), "draw"))
+    hit = carried(both, F.col("_at"), F.col("_kind"), F.col(key), F.col("draw"), value=key, name="_key")
+    return hit.filter(F.col("_kind") == 1).select("draw", F.col("_key").alias(key))
+
+
+def gamma(shape: float, seed: int, *parts: Column, tries: int = 8) -> Column:
+    """Gamma distributed number of unit scale from hashed uniforms, by Marsaglia and Tsang.
+
+    A try is accepted with a probability of 0.95 or more; should all ``tries`` fail (below 10^-10), the mode is taken.
+    """
+    d = max(shape, shape + 1 if shape < 1 else shape) - 1 / 3
+    z = lambda t: normal(seed, *parts, t)
+    each = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.struct(z(t).alias("z"), F.log(F.greatest(uniform(seed, *parts, t, F.lit("u")), F.lit(1e-12))).alias("u")))
+    each = F.transform(each, lambda x: F.struct(x["z"].alias("z"), x["u"].alias("u"), F.pow(1 + x["z"] / math.sqrt(9 * d), F.lit(3.0)).alias("v")))
+    good = F.filter(each, lambda x: (x["v"] > 0) & (x["u"] < 0.5 * x["z"] * x["z"] + d - d * x["v"] + d * F.log(F.greatest(x["v"], F.lit(1e-300)))))
+    g = d * F.coalesce(F.get(good, F.lit(0))["v"], F.lit(1.0))
+    return g * F.pow(F.greatest(uniform(seed, *parts, F.lit("w")), F.lit(1e-12)), 1 / shape) if shape < 1 else g
+
+
+def beta(alpha: float, seed: int, *parts: Column) -> Column:
+    """Number of the symmetric Beta law: the share of one of two gamma numbers."""
+    a, b = (gamma(alpha, seed, *parts, F.lit(name)) for name in "xy")
+    return a / (a + b)
 
 
 def mixup(df: DataFrame, key: str, alpha: float = 0.2, seed: int = 42, cells: tuple[str, ...] = ("channel", "frame")) -> DataFrame:
-    """Each item mixed with its successor in a hashed order: lam * x + (1 - lam) * x'.
+    """Each item mixed with its successor in a hashed order: lam * x + (1 - lam) * x', lam of Beta(alpha, alpha).
 
-    The order runs inside 256 hash buckets, so no window holds all items. lam is
-    the ratio of two gamma draws approximated by powers of uniforms (Johnk).
+    The order runs inside 256 hash buckets, so no window holds all items.
     """
     ids = df.select(key).distinct().withColumn("_b", F.left(order_key(seed, F.col(key)), F.lit(2)))
     w = Window.partitionBy("_b").orderBy(order_key(seed, F.col(key)), key)
     first = F.first(key).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ids = ids.withColumn("_other", F.coalesce(F.lead(key).over(w), first))
-    a, b = F.pow(uniform(seed, F.col(key), F.lit("x")), 1 / alpha), F.pow(uniform(seed, F.col(key), F.lit("y")), 1 / alpha)
-    ids = ids.withColumn("lam", F.when(a + b > 0, a / (a + b)).otherwise(0.5)).select(key, "_other", "lam")
+    ids = ids.withColumn("_other", F.coalesce(F.lead(key).over(w), first)).select(key, "_other", beta(alpha, seed, F.col(key)).alias("lam"))
     other = df.select(F.col(key).alias("_other"), *cells, F.col("v").alias("_v"))
     return df.join(ids, key).join(other, ["_other", *cells]).select(key, F.col("_other").alias("other"), "lam", *cells, (F.col("lam") * F.col("v") + (1 - F.col("lam")) * F.col("_v")).alias("v"))
 

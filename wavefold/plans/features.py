@@ -217,7 +217,7 @@ def m11(spark, d):
     "m12_weighted_resample",
     f"""WITH w AS (SELECT vec_id, CAST(label + 1 AS DOUBLE) AS w, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 3) AS BIGINT) AS b FROM embeddings),
     k AS (SELECT vec_id, sum(w) OVER (ORDER BY b, vec_id) - w AS lo FROM w), d AS (SELECT vec_id || ':' || f AS draw FROM w, range(6) g(f)),
-    x AS (SELECT draw, {_U("'42:' || draw")} * (SELECT sum(w) FROM w) AS x FROM d)
+    x AS (SELECT draw, CAST('0x' || substr(md5('42:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0 * (SELECT sum(w) FROM w) AS x FROM d)
     SELECT draw, vec_id FROM x ASOF JOIN k ON x.x >= k.lo""",
 )
 def m12(spark, d):
@@ -227,9 +227,13 @@ def m12(spark, d):
 
 @query(
     "m13_mixup",
-    _F + f""", i AS (SELECT DISTINCT clip_id, md5('42:' || clip_id) AS k FROM features), o AS (SELECT clip_id, coalesce(lead(clip_id) OVER w, first_value(clip_id) OVER w) AS other,
-      ({_U("'42:' || clip_id || ':x'")}) ** 5 AS a, ({_U("'42:' || clip_id || ':y'")}) ** 5 AS b FROM i WINDOW w AS (PARTITION BY substr(k, 1, 2) ORDER BY k, clip_id)),
-    l AS (SELECT clip_id, other, CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0.5 END AS lam FROM o)
+    _F + f""", i AS (SELECT DISTINCT clip_id, md5('42:' || clip_id) AS k FROM features), o AS (SELECT clip_id, coalesce(lead(clip_id) OVER w, first_value(clip_id) OVER w) AS other
+      FROM i WINDOW w AS (PARTITION BY substr(k, 1, 2) ORDER BY k, clip_id)),
+    r AS (SELECT clip_id, s, t, {_N("'42:' || clip_id || ':' || s || ':' || t")} AS z, ln(greatest({_U("'42:' || clip_id || ':' || s || ':' || t || ':u'")}, 1e-12)) AS u, {_U("'42:' || clip_id || ':' || s || ':w'")} AS e
+      FROM i, (VALUES ('x'), ('y')) q(s), range(1, 9) h(t)),
+    c AS (SELECT *, (1 + z / sqrt(9 * (1.2 - 1 / 3.0))) ** 3 AS v FROM r),
+    g AS (SELECT clip_id, s, (1.2 - 1 / 3.0) * arg_min(v, t) FILTER (v > 0 AND u < 0.5 * z * z + (1.2 - 1 / 3.0) * (1 - v + ln(greatest(v, 1e-300)))) * greatest(any_value(e), 1e-12) ** 5 AS g FROM c GROUP BY clip_id, s),
+    l AS (SELECT o.clip_id, other, a.g / (a.g + b.g) AS lam FROM o JOIN g AS a ON a.clip_id = o.clip_id AND a.s = 'x' JOIN g AS b ON b.clip_id = o.clip_id AND b.s = 'y')
     SELECT f.clip_id, other, round(lam, 6) AS lam, f.channel, f.frame, round(lam * f.v + (1 - lam) * g.v, 4) + 0.0 AS v FROM features f JOIN l USING (clip_id) JOIN features g ON g.clip_id = other AND g.channel = f.channel AND g.frame = f.frame""",
 )
 def m13(spark, d):
