@@ -27,12 +27,14 @@ from __future__ import annotations
 
 import functools
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,20 +293,26 @@ class _Held:
         out.columns = [c[at] for c in self.columns]
         return out
 
+    def copies(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have the phrase of a smaller document before them, and the bits of all offsets of each row."""
+        trigger, phrase, ids, _, _, low, high, _ = self.columns
+        entry = np.r_[True, (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])]
+        first = ids[np.flatnonzero(entry)][np.cumsum(entry) - 1]  # rows of an entry ascend by document
+        return ids > first, (np.int64(2) << high.astype(np.int64)) - (np.int64(1) << low.astype(np.int64))
+
     def removals(self, cfg: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
         """Rows with something to remove, and the bits of their offsets."""
         trigger, phrase, ids, _, _, low, high, context = self.columns
         entry = np.r_[True, (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])]
         begin, of = np.flatnonzero(entry), np.cumsum(entry) - 1
-        first = ids[begin]  # rows of an entry ascend by document
+        first, (later, every) = ids[begin], self.copies()
         group = np.cumsum(np.r_[True, np.diff(trigger[begin]) != 0]) - 1
         several = np.flatnonzero(np.bincount(group)[group] > 1)
         bits = np.zeros(len(begin), np.int64)
         at = begin[several]
         if len(several):
             bits[several] = repeated_offsets(group[several], first[several], low[at], high[at], context[at], cfg)
-        every = (np.int64(2) << high.astype(np.int64)) - (np.int64(1) << low.astype(np.int64))
-        removed = np.where(ids > first[of], every, bits[of] & every)
+        removed = np.where(later, every, bits[of] & every)
         rows = np.flatnonzero(removed)
         return rows, removed[rows]
 
@@ -315,8 +323,13 @@ def _ordered(cfg: RepeatConfig):
     def opened(h: _Held) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*map(pa.array, h.columns[:-1]), _fixed(h.columns[-1]), pa.nulls(len(h.columns[0]), pa.int64())], names=names)
 
-    def closed(h: _Held) -> pa.RecordBatch:
-        rows, bits = h.removals(cfg)
+    def parted(h: _Held) -> Iterator[pa.RecordBatch]:
+        """Rows of an open trigger: what has its phrase in a smaller document here is removed as a whole, the rest stays open."""
+        later, every = h.copies()
+        yield closed(h, np.flatnonzero(later), every[later])
+        yield opened(h.part(~later))
+
+    def closed(h: _Held, rows: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         x = [pa.array(c[rows]) for c in h.columns[:-1]]
         return pa.RecordBatch.from_arrays([*x, pa.nulls(len(rows), pa.binary()), pa.array(bits)], names=names)
 
@@ -332,15 +345,16 @@ def _ordered(cfg: RepeatConfig):
                 open_at = t[0]
             begin, last = int(np.searchsorted(t == open_at, False)) if t[0] == open_at else 0, int(np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[-1])
             if begin:
-                yield opened(h.part(slice(0, begin)))
+                yield from parted(h.part(slice(0, begin)))
             if last > begin:
-                yield closed(h.part(slice(begin, last)))
+                whole = h.part(slice(begin, last))
+                yield closed(whole, *whole.removals(cfg))
             held = h.part(slice(max(begin, last), None))
             if len(held.columns[0]) > cfg.group:
-                yield opened(held)
+                yield from parted(held)
                 held, open_at = None, t[-1]
         if held is not None and len(held.columns[0]):
-            yield opened(held)
+            yield from parted(held)
 
     return run
 
@@ -358,13 +372,11 @@ def met(opened: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return opened.join(marks, ["trigger", "phrase"]).select("key", "place", bits.alias("bits")).filter("bits <> 0")
 
 
-def _cover(places: list[int], bits: list[int], size: int, cfg: RepeatConfig) -> np.ndarray:
+def _cover(places: np.ndarray, bits: np.ndarray, size: int, cfg: RepeatConfig) -> np.ndarray:
     """Which bytes of a text lie in a removed string."""
-    p, b, change = np.array(places, np.int64), np.array(bits, np.int64), np.zeros(size + 1, np.int32)
-    for j in range(cfg.reach + 1):
-        starts = p[(b >> j) & 1 == 1] - j
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + cfg.length, -1)
+    row, j = np.nonzero((bits[:, None] >> np.arange(cfg.reach + 1)) & 1)
+    starts = places[row] - j
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(starts + cfg.length, minlength=size + 1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -378,16 +390,17 @@ def _remove(cfg: RepeatConfig):
         for batch in batches:
             data, offsets = _texts(batch.column("text"))
             doc_id, strings = batch.column("doc_id"), batch.column("strings")
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(strings), 0).to_numpy(zero_copy_only=False))]
+            places, bits = (strings.flatten().field(i).to_numpy() for i in (0, 1))
             for at in range(0, batch.num_rows, 256):
                 part = range(at, min(at + 256, batch.num_rows))
                 out = []
                 for i in part:
                     text = data[offsets[i] : offsets[i + 1]]
-                    s = strings[i].as_py()
-                    if not s:
+                    if ends[i] == ends[i + 1]:
                         out.append((len(text), 0, [], text.tobytes()))
                         continue
-                    gone = _cover([x["place"] for x in s], [x["bits"] for x in s], len(text), cfg)
+                    gone = _cover(places[ends[i] : ends[i + 1]], bits[ends[i] : ends[i + 1]], len(text), cfg)
                     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
                     out.append((len(text), int(gone.sum()), [{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)], text[~gone].tobytes()))
                 n, removed, spans, kept = zip(*out, strict=True)
@@ -398,9 +411,38 @@ def _remove(cfg: RepeatConfig):
 
 
 def _settled(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over; it does so when its driver drops what stands for them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of jobs that are over: it does so once neither Python nor its driver holds what stands for them."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _wanted(texts: DataFrame, folder: str, cfg: RepeatConfig) -> DataFrame:
+    """key and the triggers of its text that other texts have too."""
+    by, pair = ["trigger", "key"], "trigger long, key long"
+    found = texts.select("text", "key").mapInArrow(_triggers(cfg), pair).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_repeated, pair)
+    return written(found.groupBy("key").agg(F.collect_list("trigger").alias("triggers")), folder, "wanted")
+
+
+def _parts(texts: DataFrame, wanted: DataFrame, folder: str, cfg: RepeatConfig) -> DataFrame:
+    """The phrases of wanted triggers, in folders by part; rows that agree in doc_id and text are parsed once."""
+    once = texts.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text")).join(wanted, "key")
+    phrases = once.mapInArrow(_phrases(cfg), _PHRASE).withColumn("part", F.pmod("trigger", F.lit(cfg.parts)))
+    phrases.write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/phrases")
+    return texts.sparkSession.read.schema(f"{_PHRASE}, part int").parquet(f"{folder}/phrases")
+
+
+def _marked(phrases: DataFrame, n: int, folder: str, cfg: RepeatConfig) -> DataFrame:
+    by = ["trigger", "phrase", "id", "key", "place"]
+    some = phrases.filter(F.col("part") == n).drop("part").repartitionByRange(*by).sortWithinPartitions(*by)
+    return written(some.mapInArrow(_ordered(cfg), _PHRASE + ", bits long"), folder, f"marked-{n}")
+
+
+def _strings(marked: DataFrame, folder: str, cfg: RepeatConfig) -> DataFrame:
+    """key and what is removed from its text: places of triggers and the offsets of strings before them."""
+    removed = marked.filter("bits is not null").select("key", "place", "bits").unionByName(met(marked.filter("bits is null").drop("bits"), cfg))
+    return written(removed.groupBy("key").agg(F.collect_list(F.struct("place", "bits")).alias("strings")), folder, "strings")
 
 
 def remove_repeats(documents: DataFrame, folder: str, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
@@ -414,26 +456,18 @@ def remove_repeats(documents: DataFrame, folder: str, cfg: RepeatConfig = Repeat
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
     d = d.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    by = ["trigger", "key"]
     long = d.filter(F.octet_length("text") >= cfg.length)
-    found = long.select("text", "key").mapInArrow(_triggers(cfg), "trigger long, key long").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_repeated, "trigger long, key long")
-    wanted = written(found.groupBy("key").agg(F.collect_list("trigger").alias("triggers")), folder, "wanted")
+    wanted = _wanted(long, folder, cfg)
     _settled(spark)
-    once = long.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text")).join(wanted, "key")
-    part = F.pmod("trigger", F.lit(cfg.parts)).alias("part")
-    once.mapInArrow(_phrases(cfg), _PHRASE).select("*", part).write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/phrases")
-    phrases = spark.read.schema(f"{_PHRASE}, part int").parquet(f"{folder}/phrases")
+    phrases = _parts(long, wanted, folder, cfg)
     discard(spark, folder, "wanted")
-    by, marked = ["trigger", "phrase", "id", "key", "place"], []
+    marked = []
     for n in range(cfg.parts):
         _settled(spark)
-        some = phrases.filter(F.col("part") == n).drop("part").repartitionByRange(*by).sortWithinPartitions(*by)
-        marked.append(written(some.mapInArrow(_ordered(cfg), _PHRASE + ", bits long"), folder, f"marked-{n}"))
+        marked.append(_marked(phrases, n, folder, cfg))
         discard(spark, folder, f"phrases/part={n}")
     _settled(spark)
-    marked = functools.reduce(DataFrame.unionByName, marked)
-    removed = marked.filter("bits is not null").select("key", "place", "bits").unionByName(met(marked.filter("bits is null").drop("bits"), cfg))
-    strings = written(removed.groupBy("key").agg(F.collect_list(F.struct("place", "bits")).alias("strings")), folder, "strings")
+    strings = _strings(functools.reduce(DataFrame.unionByName, marked), folder, cfg)
     discard(spark, folder, "phrases", *[f"marked-{n}" for n in range(cfg.parts)])
     _settled(spark)
     return d.select("doc_id", "text", "key").join(strings, "key", "left").select("doc_id", "text", "strings").mapInArrow(_remove(cfg), _KEPT)
