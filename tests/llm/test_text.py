@@ -232,6 +232,40 @@ def test_very_long_and_deep_pages():
     assert html_text.main_text("<p>x</p>\n" * 20_000) == "\n".join(["x"] * 20_000)
 
 
+def test_broken_pages_are_linear_and_prose_stays():
+    import time
+
+    for page, want in [
+        ("<article><p>text here</p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "text here\nx"),
+        ("<div class='ad x'>" * 8_000 + "<p>Some prose.</p>", ""),
+        ("<p><table>" + "<b>" * 10_000 + "<div>" * 10_000 + "x", "x"),
+    ]:
+        start = time.perf_counter()
+        assert html_text.main_text(page) == want
+        assert time.perf_counter() - start < 3  # a second or less; machines differ
+    long = "Long prose of the article here and there, it goes on."
+    links = ["The full report is here for all of you", "Author, A title of the work that is cited, 2020", "Other, Another title of a work cited, 2021"]
+    body = f"<p><a href=x>{links[0]}</a></p><ul><li><a href=a>{links[1]}</a><li><a href=b>{links[2]}</a></ul>"
+    assert html_text.main_text(f"<article><h1>T</h1><p>{long}</p>{body}</article>") == "\n".join(["T", long, *links])
+    assert html_text.main_text(f"<article><p>{long}</p><section id='banner'><p>{long}</p></section></article>") == f"{long}\n{long}"
+    assert html_text.main_text("<body><div class='ad'>Buy this now</div><p>Yes.</p><div class='ad'>Buy this now</div></body>") == "Yes."
+    comments = f"<ol class='comment-list'><li><article class='comment-body'><p>{long}</p></article></ol>"
+    assert html_text.main_text(f"<body><article><p>{long}</p></article>{comments}</body>") == long
+    assert html_text.main_text(f"<article><p>{long}</p><p class='advert'>{long}</p><p>Short.</p></article>") == f"{long}\nShort."
+    post = f"<div class='post'><h1>T</h1><div class='text'><p>{long}</p><p>{long}</p></div><div><a href=x>share</a> <a href=y>tweet</a></div></div>"
+    assert html_text.main_text(f"<body>{post}</body>") == f"T\n{long}\n{long}"
+
+
+def test_ratios_decide_without_names(spark, sf):
+    """Most pages come out the same without any evidence of names; none does without the threshold and names."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    bare = html_text.HtmlConfig(containers=False, tags=False, marks=False)
+    same = sum(html_text.main_text(h, bare) == html_text.main_text(h) for h in pages)
+    assert same >= 0.75 * len(pages)
+    no_article = html_text.HtmlConfig(containers=False)
+    assert all(html_text.main_text(h, no_article) == html_text.main_text(h) for h in pages)
+
+
 def test_html_of_driver_pages(spark, sf):
     import html
 
