@@ -80,6 +80,8 @@ def test_motion_segments(spark, tmp_path):
     d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") / 50))
     batch = {tuple(r) for r in motion.segment_motion(d).collect()}
     assert batch == want and len([s for s in want if s[0] == "o"]) > 4
+    for block in (5, 64):  # blocks that end inside of runs, segments and calm stretches
+        assert {tuple(r) for r in motion.segment_motion(d.repartition(3), motion.MotionConfig(block=block)).collect()} == want
     parts = [d.filter(F.col("seq").between(a, b)) for a, b in ((0, 29), (30, 126), (127, 500), (501, 700))]
     got = {tuple(r) for r in run(jobs.segment_motion_stream(stream(spark, *parts, folder=str(tmp_path / "in"))), "motion", tmp_path).collect()}
     assert got == batch
