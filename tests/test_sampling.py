@@ -49,3 +49,19 @@ def test_last_value_is_carried_over_ranges(spark, n):
     d = spark.range(n).select("id", F.when(F.col("id") % 97 == 3, F.col("id")).alias("v")).repartition(4)
     got = {r["id"]: r["at"] for r in lineage.carried(d, F.col("id"), value="v", name="at").collect()}
     assert got == {i: (i - 3) // 97 * 97 + 3 if i >= 3 else None for i in range(n)}
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_percentiles_are_exact(spark, accuracy):
+    """Ties, one value, groups below and above the accuracy, a null group and null values, against numpy."""
+    from wavefold.operators import evaluate
+
+    rng = np.random.default_rng(3)
+    groups = {"ties": np.repeat([1.0, 5.0, 5.5], [400, 5, 300]), "one": np.full(500, 2.5), "few": np.array([3.0, -1.0]), "wide": rng.normal(size=3000) * 1e6, None: rng.integers(0, 50, 999).astype(float)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("wide", None), ("empty", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    at = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
+    got = {r["g"]: r["p"] for r in evaluate.percentiles(d, "g", "v", at, accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, at), rel=1e-12)

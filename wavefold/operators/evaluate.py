@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavefold.operators.lineage import numbered
-
 
 def class_list(df: DataFrame, n: int) -> DataFrame:
     return df.sparkSession.range(n).select(F.col("id").cast("int").alias("cls"))
@@ -40,23 +38,35 @@ def per_class_accuracy(cm: DataFrame) -> DataFrame:
     return g.withColumn("pct", F.when(F.col("total") > 0, 100.0 * F.col("ok") / F.col("total")).otherwise(0.0))
 
 
-def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
+def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
     """(group, p): exact percentiles with linear interpolation, one array a group; null values count nothing.
 
-    Equal values are counted first; the different ones are sorted by (group, value)
-    over ranges and only those at the positions asked for are picked, so no task or
-    aggregate holds the values of a group, however often one occurs.
+    A mergeable quantile sketch brackets each percentile: its ranks are off by 1 / accuracy of the group at most,
+    and the brackets reach twice as far. A second pass counts how many values lie between the brackets
+    and how often each value inside of one occurs, and only these, a few thousandths of the
+    different values, are sorted. Groups of up to ``accuracy`` rows are sorted as they are.
     """
-    c = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    r = numbered(c, F.col("_g"), F.col("_v"), name="_at", weight=F.col("_c"))
-    asked = r.groupBy("_g").agg(F.min("_at").alias("_first"), F.sum("_c").alias("_n"))
-    asked = asked.select("_g", "_first", "_n", F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("_k", "_q")).withColumn("_x", F.col("_q") * (F.col("_n") - 1))
-    low, share = F.floor("_x"), F.col("_x") - F.floor("_x")
-    ends = F.array(F.struct(low.alias("i"), (1 - share).alias("w")), F.struct(F.ceil("_x").alias("i"), share.alias("w")))
-    asked = asked.select("_g", "_k", "_first", F.explode(ends).alias("e")).select(F.col("_g").alias("_group"), "_k", (F.col("_first") + F.col("e.i")).alias("_place"), F.col("e.w").alias("_w"))
-    here = F.col("_g").eqNullSafe(F.col("_group")) & (F.col("_place") >= F.col("_at")) & (F.col("_place") < F.col("_at") + F.col("_c"))
-    picked = r.join(asked, here).groupBy("_group", "_k").agg(F.sum(F.col("_v") * F.col("_w")).alias("p"))
-    return picked.groupBy("_group").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "p"))), lambda x: x["p"]).alias("p")).select(F.col("_group").alias(group), "p")
+    d = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    reach = 2 / accuracy
+    bounds = [min(1.0, max(0.0, q + side)) for q in at for side in (-reach, reach)]
+    sketch = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"))
+    sketch = sketch.select(F.col("_g").alias("_of"), "_n", "_b")
+    d = d.join(sketch, F.col("_g").eqNullSafe(F.col("_of")))
+    inside = F.col("_n") <= accuracy
+    for k in range(len(at)):
+        inside = inside | F.col("_v").between(F.col("_b")[2 * k], F.col("_b")[2 * k + 1])
+    # A value between brackets stands behind the end of the bracket before it, in one class with its like.
+    ends = [F.when(F.col("_v") > F.col("_b")[2 * k + 1], F.col("_b")[2 * k + 1]) for k in range(len(at))]
+    before = F.greatest(F.lit(float("-inf")), *ends)
+    c = d.groupBy("_g", F.when(inside, F.col("_v")).otherwise(before).alias("_x"), (~inside).alias("_out")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    c = c.withColumn("_last", F.sum("_c").over(Window.partitionBy("_g").orderBy("_x", "_out")) - 1)
+    asked = [F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("x")) for k, q in enumerate(at)]
+    e = c.filter("not _out").select("_g", "_x", "_last", "_c", F.explode(F.array(*asked)).alias("a"))
+    low, share = F.floor("a.x"), F.col("a.x") - F.floor("a.x")
+    holds = lambda rank: (rank <= F.col("_last")) & (rank > F.col("_last") - F.col("_c"))
+    weight = F.when(holds(low), 1 - share).otherwise(0.0) + F.when(holds(F.ceil("a.x")), share).otherwise(0.0)
+    e = e.withColumn("_w", weight).filter(holds(low) | holds(F.ceil("a.x"))).groupBy("_g", F.col("a.k").alias("k")).agg(F.sum(F.col("_x") * F.col("_w")).alias("p"))
+    return e.groupBy("_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("p")).select(F.col("_g").alias(group), "p")
 
 
 def latency_summary(df: DataFrame, phase: str, value: str) -> DataFrame:
