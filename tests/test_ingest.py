@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavefold.functions import scalar
-from wavefold.operators import packets
+from wavefold.operators import clean, packets
 from wavefold.schemas import SAMPLE_SCHEMA
 from wavefold.sources import ingest
 
@@ -84,3 +84,27 @@ def test_reassembly_cases(spark):
 def test_arbitration_cooldown(spark):
     d = spark.createDataFrame([("x", 0.0, 2.0, 0.0), ("x", 100.0, 2.0, 0.0), ("x", 150.0, 0.0, 1.0), ("x", 200.0, 0.0, 0.0), ("x", 301.0, 2.0, 1.0)], "device string, ts_ms double, motion double, voice double")
     assert [r["route"] for r in packets.arbitrate(d).orderBy("ts_ms").collect()] == ["gesture", "none", "voice", "none", "gesture"]
+
+
+def test_appended_measurements_are_written_behind(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(5, 0), (5, 1), (9, 0)], "measurement_id long, sequence_id int")
+    for _ in range(3):
+        clean.write_appended(rows, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(5, 0), (5, 1), (9, 0), (10, 0), (10, 1), (11, 0), (12, 0), (12, 1), (13, 0)]
+
+
+def test_runs_are_read_from_folders(spark, tmp_path):
+    import json
+    import os
+
+    for day, tag, accuracy, at in (("d1", "base", 0.5, 1_700_000_000), ("d2", "base", 0.75, 1_700_000_500), ("d1", "wide", 0.9, 1_700_000_100)):
+        folder = tmp_path / day / tag
+        folder.mkdir(parents=True)
+        (folder / "summary.json").write_text(json.dumps({"gesture": {"summary": {"accuracy": accuracy}}}, indent=1))
+        (folder / "notes.txt").write_text("x")
+        os.utime(folder / "summary.json", (at, at))
+    got = {r["tag"]: r["gesture_accuracy"] for r in ingest.run_summaries(ingest.read_runs(spark, str(tmp_path))).collect()}
+    assert got == {"base": 0.75, "wide": 0.9}
+    late = ingest.run_summaries(ingest.read_runs(spark, str(tmp_path)), F.timestamp_seconds(F.lit(1_700_000_200))).collect()
+    assert [r["tag"] for r in late] == ["base"]

@@ -163,6 +163,33 @@ def test_classifier_learns_what_can_be_learnt(spark):
     assert [r["reg"] for r in s] == [0.01, 50.0] and s[0]["test_acc"] > 90 and s[0]["test_acc"] >= s[1]["test_acc"]
 
 
+def test_fits_are_optimal_and_sweeps_agree_with_single_fits(spark):
+    """The gradient of the regularised loss, computed here, is next to nothing at the fit; a sweep gives the accuracies of its fits one by one."""
+    rng = np.random.default_rng(4)
+    n, k = 300, 4
+    y = rng.integers(0, k, n)
+    x = rng.normal(size=(n, 5)) * [1, 10, 0.1, 3, 1] + 1.5 * np.eye(k, 5)[y] * [1, 10, 0.1, 3, 1]
+    rows = [(i, int(y[i]), [float(v) for v in x[i]], ["train", "train", "val", "test"][i % 4]) for i in range(n)]
+    d = spark.createDataFrame(rows, "id long, label int, flat array<double>, split string")
+    train = np.array([r[3] == "train" for r in rows])
+    model = score.fit_classifier(d.filter("split = 'train'"), 500, 0.05)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    sd = x[train].std(axis=0, ddof=1)
+    z = x[train] @ w.T + b
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    off = (p - np.eye(k)[y[train]]) / train.sum()
+    # The penalty is on weights of scaled features.
+    assert np.abs(off.T @ (x[train] / sd) + 0.05 * w * sd).max() < 1e-4 and np.abs(off.sum(axis=0)).max() < 1e-4
+    grid = {"reg": [0.001, 0.05, 5.0], "max_iter": [3, 40]}
+    got = {(r["reg"], r["max_iter"]): (r["train_acc"], r["val_acc"], r["test_acc"]) for r in score.sweep(d, grid, k).collect()}
+    assert len(got) == 6
+    for (reg, steps), acc in got.items():
+        rows_of = score.predict(score.fit_classifier(d.filter("split = 'train'"), steps, reg), d).select("split", "label", "pred_id").collect()
+        for s, a in zip(("train", "val", "test"), acc, strict=True):
+            assert a == pytest.approx(100 * np.mean([r["label"] == r["pred_id"] for r in rows_of if r["split"] == s]))
+
+
 def test_registered_training(spark, sf, vectors):
     rows = plans.QUERIES["m14_classifier"](spark, sf).collect()
     assert len(rows) == len(vectors) and all(r["true_id"] == vectors[r["vec_id"]][1] for r in rows)

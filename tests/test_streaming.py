@@ -22,11 +22,16 @@ def stream(spark, *parts, folder):
 
 
 def run(sdf, name, tmp_path):
-    q = sdf.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / ("c" + name))).trigger(availableNow=True).start()
+    with jobs.map_store(sdf.sparkSession):
+        q = started(sdf, name, tmp_path)
     assert q.awaitTermination(120)
     return sdf.sparkSession.table(name)
 
 
+def started(sdf, name, tmp_path):
+    return sdf.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / ("c" + name))).trigger(availableNow=True).start()
+
+
 def test_reassembly(spark, tmp_path):
     rows = [("a", 1, 2, b"B", 1), ("a", 0, 2, b"A", 2), ("b", 0, 3, b"x", 1), ("b", 2, 3, b"z", 2), ("c", 0, 1, b"q", 3)]
     d = spark.createDataFrame(rows, "id string, index int, total int, data binary, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
@@ -35,6 +40,42 @@ def test_reassembly(spark, tmp_path):
     assert key(got) == key(packets.reassemble(d)) == {("a", 2, b"AB"), ("c", 1, b"q")}
 
 
+def test_chunks_over_many_batches(spark, tmp_path):
+    """Repeated, changed, late and missing chunks of messages that come apart: what the batch form says, and each chunk in a row of its own."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(12):
+        total = 1 + i % 7
+        for index in rng.permutation(np.r_[np.arange(total), rng.integers(0, total, 3)]).tolist():
+            rows.append((f"m{i}", index, total if rng.random() < 0.9 else total + 1, f"{i}:{index}".encode(), len(rows) / 20))
+        if i % 3 == 0:
+            rows = [r for r in rows if r[0] != f"m{i}" or r[1]]  # the first chunk is lost
+    d = spark.createDataFrame(rows, "id string, index int, total int, data binary, s double").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
+    third = len(rows) / 60
+    parts = [d.filter(F.col("s").between(k * third, (k + 1) * third - 1e-9)).drop("s") for k in range(3)] + [d.filter(F.col("s") >= 3 * third).drop("s")]
+    got = run(jobs.reassemble_stream(stream(spark, *parts, folder=str(tmp_path / "in"))), "many", tmp_path)
+    key = lambda df: sorted((r["id"], r["total"], bytes(r["data"])) for r in df.select("id", "total", "data").collect())
+    want = key(packets.reassemble(d.drop("s")))
+    assert set(want) <= set(key(got)) and {r[0] for r in key(got)} == {r[0] for r in want}
+
+
+def test_latest_rows_are_kept_in_few_folders(spark, tmp_path):
+    path, last = str(tmp_path / "out"), {}
+    write = jobs.latest_sink(path, "k", "at", every=3)
+    for n in range(11):
+        rows = [(k, 100 - n if k == 0 else n, f"{k}:{n}") for k in range(5) if (k + n) % 2 or k == 0]
+        for k, at, v in rows:
+            if k not in last or at >= last[k][0]:
+                last[k] = (at, v)
+        d = spark.createDataFrame(rows, "k int, at int, v string")
+        write(d, n)
+        if n % 4 == 0:
+            write(d, n)  # a batch that is done again
+        got = {r["k"]: (r["at"], r["v"]) for r in jobs.read_latest(spark, path, "k", "at").collect()}
+        assert got == last
+        assert len(jobs._folders(spark, path)) <= 2 + 2 * 3
+
+
 def plain_segments(x, cfg):
     """Segments of one device, sample by sample from the rules."""
     ema, found, energy, opened, run_up, run_down = x[0, 3:], [], [], None, 0, 0

@@ -106,10 +106,25 @@ def number_measurements(blocks: DataFrame, start: int = 0) -> DataFrame:
 
 def append_measurements(base: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` behind ``base`` with ids that continue at the largest one plus 1 (one broadcast row)."""
+    return base.unionByName(_moved_behind(base, new))
+
+
+def write_appended(new: DataFrame, path: str) -> None:
+    """Appends ``new`` to the Parquet table of measurements at ``path``, with ids that continue behind those in it.
+
+    Rows that are there are not written again. The append is one Spark write; two at a time would take the same ids.
+    """
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new = _moved_behind(spark.read.parquet(path), new).select(new.columns)
+    new.write.mode("append").parquet(path)
+
+
+def _moved_behind(base: DataFrame, new: DataFrame) -> DataFrame:
     top = base.agg((F.coalesce(F.max("measurement_id"), F.lit(-1)) + 1).alias("_next"))
     ids = numbered(new.select("measurement_id").distinct(), F.col("measurement_id"), name="_rank")
-    moved = new.join(ids, "measurement_id").crossJoin(F.broadcast(top)).withColumn("measurement_id", F.col("_next") + F.col("_rank")).drop("_next", "_rank")
-    return base.unionByName(moved)
+    return new.join(ids, "measurement_id").crossJoin(F.broadcast(top)).withColumn("measurement_id", F.col("_next") + F.col("_rank")).drop("_next", "_rank")
 
 
 def import_actions(actions: DataFrame, rows: DataFrame, exclude: DataFrame | None = None, min_len: int = 10) -> tuple[DataFrame, DataFrame]:

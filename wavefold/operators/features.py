@@ -2,47 +2,81 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavefold.schemas import AXES
 
 
-def resample_kernel(n: Column, m: Column, count: Column, target: int) -> Column:
-    """Weight of sample n of ``count`` in output m of ``target``: the closed form of copying spectrum bins.
+@lru_cache(maxsize=1024)
+def resample_kernel(count: int, target: int) -> np.ndarray:
+    """Weight of each of ``count`` samples (columns) in each of ``target`` outputs: the closed form of copying spectrum bins.
 
     With kp = min(count, target), h = floor(kp / 2) and H harmonics of both signs
     (h - 1 for even kp, h for odd), a Dirichlet kernel plus the single middle bin.
     """
-    kp = F.least(count, F.lit(target))
-    even, h = kp % 2 == 0, F.floor(kp / 2)
-    harmonics = F.when(even, h - 1).otherwise(h)
-    d = m / F.lit(float(target)) - n / count
-    s = F.sin(F.lit(math.pi) * d)
-    dirichlet = F.when(F.abs(s) < 1e-12, 2.0 * harmonics + 1).otherwise(F.sin(F.lit(math.pi) * (2 * harmonics + 1) * d) / s)
-    shrink = F.cos(F.lit(2 * math.pi) * h * d)
-    grow = 2 * F.cos(F.lit(math.pi) * n) * F.cos(F.lit(math.pi) * count * m / F.lit(float(target)))
-    middle = F.when(even & (count > target), shrink).when(even & (count < target), grow).otherwise(F.lit(0.0))
-    return F.when(count == target, F.when(n == m, 1.0).otherwise(0.0)).otherwise((dirichlet + middle) / count)
+    if count == target:
+        return np.eye(count)
+    kp = min(count, target)
+    even, h = kp % 2 == 0, kp // 2
+    harmonics = h - 1 if even else h
+    m, n = np.arange(target)[:, None], np.arange(count)[None, :]
+    d = m / target - n / count
+    s = np.sin(np.pi * d)
+    flat = np.abs(s) < 1e-12
+    out = np.where(flat, 2.0 * harmonics + 1, np.sin(np.pi * (2 * harmonics + 1) * d) / np.where(flat, 1.0, s))
+    if even:
+        out = out + (np.cos(2 * np.pi * h * d) if count > target else 2 * np.cos(np.pi * n) * np.cos(np.pi * count * m / target))
+    return out / count
+
+
+def _resampled(key: str, channels: tuple[str, ...], target: int):
+    def windows(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """The windows that begin at ``starts``, those of one length by one product with its kernel."""
+        columns = [t.column(c).combine_chunks() for c in channels]
+        x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        some = np.stack([np.add.reduceat(c.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), starts) for c in columns], axis=1) > 0
+        counts = np.diff(np.r_[starts, len(x)])
+        out = np.empty((len(starts), target, len(channels)))
+        for count in np.unique(counts).tolist():
+            of = np.flatnonzero(counts == count)
+            out[of] = np.einsum("mn,bnc->bmc", resample_kernel(count, target), x[starts[of][:, None] + np.arange(count)], optimize=True)
+        keys = t.column(key).combine_chunks().take(pa.array(np.repeat(starts, target)))
+        values = [pa.array(out[:, :, i].ravel(), mask=np.repeat(~some[:, i], target)) for i in range(len(channels))]
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(target, dtype=np.int32), len(starts))), *values], names=[key, "m", *channels])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            of = pc.fill_null(t.column(key).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            held = t.slice(int(starts[-1]))  # the last window may go on
+            if len(starts) > 1:
+                yield windows(t.slice(0, int(starts[-1])), starts[:-1])
+        if held is not None:
+            yield windows(held, np.zeros(1, np.int64))
+
+    return run
 
 
 def resample_spectral(df: DataFrame, key: str = "measurement_id", seq: str = "sequence_id", channels: tuple[str, ...] = AXES, target: int = 60) -> DataFrame:
     """key, m (0..target-1) and the channels of each window at ``target`` samples.
 
-    Rows multiply by ``target`` and are summed at once on the partitioning of the
-    key: the aggregation by (key, m) needs no exchange of the multiplied rows
-    beyond its partial sums.
+    Rows are sorted by window in one exchange and multiplied by the kernel of their window's length, a matrix that
+    is made once a worker. A task holds one Arrow batch and the window that it ends in; null samples add nothing.
     """
-    w = Window.partitionBy(key)
-    # The number of parts is given, since those that AQE would join by their size now are large once multiplied.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.select(key, seq, *channels).repartition(parts, key)
-    d = d.withColumn("_n", F.row_number().over(w.orderBy(seq)) - 1).withColumn("_c", F.count(F.lit(1)).over(w))
-    d = d.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
-    d = d.withColumn("_k", resample_kernel(F.col("_n"), F.col("m"), F.col("_c"), target))
-    return d.groupBy(key, "m").agg(*[F.sum(F.col(c) * F.col("_k")).alias(c) for c in channels])
+    d = df.select(key, seq, *[F.col(c).cast("double").alias(c) for c in channels]).repartition(key).sortWithinPartitions(key, seq).drop(seq)
+    name, kind = f"`{key}`", df.schema[key].dataType.simpleString()
+    return d.mapInArrow(_resampled(key, channels, target), f"{name} {kind}, m int, " + ", ".join(f"`{c}` double" for c in channels))
 
 
 def resample_linear(df: DataFrame, key: str, seq: str, channels: tuple[str, ...], target: int = 60) -> DataFrame:

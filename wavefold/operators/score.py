@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.operators.evaluate import accuracy
-
 
 def network(params: DataFrame, limit: int = 1_000_000) -> dict[str, np.ndarray]:
     """Named arrays from rows (layer, shape, values); the parameter count is checked before they are sent to tasks."""
@@ -79,17 +77,35 @@ def predict(model, df: DataFrame) -> DataFrame:
 def sweep(df: DataFrame, grid: dict[str, list], n_classes: int) -> DataFrame:
     """One row a grid point: its parameters and the accuracy on each split, best test accuracy first.
 
-    ``df`` has flat, label and split; each point is one fit on the train rows.
+    ``df`` has flat, label and split; each point is one fit on the train rows. The weights of all points are stacked
+    in one matrix, so all are scored in one pass over the rows, which counts hits by split and point where they lie.
     """
-    out = None
-    for values in product(*grid.values()):
-        point = dict(zip(grid, values, strict=True))
-        model = fit_classifier(df.filter("split = 'train'"), **point)
-        p = predict(model, df).withColumnRenamed("label", "true_id")
-        row = None
-        for s in ("train", "val", "test"):
-            a = accuracy(p.filter(F.col("split") == s), n_classes).select(F.col("accuracy").alias(f"{s}_acc"))
-            row = a if row is None else row.crossJoin(a)  # one row each
-        row = row.select(*[F.lit(v).alias(k) for k, v in point.items()], "*")
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("test_acc"), F.desc("val_acc"))
+    points = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    train = df.filter("split = 'train'").persist()
+    models = [fit_classifier(train, **point) for point in points]
+    train.unpersist()
+    weights = np.concatenate([m.coefficientMatrix.toArray() for m in models])
+    intercepts = np.concatenate([m.interceptVector.toArray() for m in models])
+    binary = len(intercepts) == len(models)  # of two classes only the second has weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            z = (x @ weights.T + intercepts).reshape(b.num_rows, len(points), -1)
+            pred = (z[:, :, 0] > 0).astype(int) if binary else z.argmax(axis=2)
+            true = b.column("label").to_numpy(zero_copy_only=False)
+            valid = (true >= 0) & (true < n_classes)
+            right = valid[:, None] & (np.where((pred >= 0) & (pred < n_classes), pred, 0) == true[:, None])
+            split = np.array(b.column("split").to_pylist(), object)
+            for s in dict.fromkeys(split):
+                at = split == s
+                yield pa.RecordBatch.from_pydict({"split": [s] * len(points), "point": pa.array(np.arange(len(points)), pa.int32()), "total": pa.array([int(valid[at].sum())] * len(points)), "right": pa.array(right[at].sum(axis=0))})
+
+    rows = df.filter("split is not null and label is not null").select("flat", "label", "split")
+    counts = rows.mapInArrow(run, "split string, point int, total long, right long").groupBy("point")
+    rate = lambda s: 100.0 * F.coalesce(F.sum(F.when(F.col("split") == s, F.col("right"))), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.when(F.col("split") == s, F.col("total"))), F.lit(0)), F.lit(1))
+    found = counts.agg(*[rate(s).alias(f"{s}_acc") for s in ("train", "val", "test")])
+    each = [F.element_at(F.array(*[F.lit(p[k]) for p in points]), F.col("point") + 1).alias(k) for k in grid]
+    return found.select(*each, "train_acc", "val_acc", "test_acc").orderBy(F.desc("test_acc"), F.desc("val_acc"))

@@ -216,8 +216,13 @@ def t05(spark, d):
     SELECT device, ts_ms, route FROM f UNION ALL SELECT device, ts_ms, wanted FROM w WHERE wanted = 'none'""",
 )
 def t04(spark, d):
-    e = T.table(spark, d, "events").select(F.col("user_id").alias("device"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double").alias("ts_ms"), (F.col("value") / 40).alias("motion"), ((F.col("event_id") % 10) / 100).alias("voice"))
-    return packets.arbitrate(e, voice_threshold=0.045, cooldown_ms=40000000.0)
+    return packets.arbitrate(arbitration_rows(spark, d), voice_threshold=0.045, cooldown_ms=40000000.0)
+
+
+def arbitration_rows(spark, d):
+    e = T.table(spark, d, "events")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double")
+    return e.select(F.col("user_id").alias("device"), ms.alias("ts_ms"), (F.col("value") / 40).alias("motion"), ((F.col("event_id") % 10) / 100).alias("voice"))
 
 
 @query(

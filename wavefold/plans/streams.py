@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wavefold.operators import motion
+from wavefold.operators import motion, review
 from wavefold.operators.lineage import shared_folder
-from wavefold.plans.ingestion import chunk_rows
+from wavefold.plans.ingestion import arbitration_rows, chunk_rows
 from wavefold.plans.models import motion_samples
 from wavefold.plans.registry import ORACLES, query, rounded
 from wavefold.schemas import SAMPLE_COLUMNS
@@ -29,7 +29,8 @@ def _stream(spark, parts, folder, fmt="parquet"):
 
 
 def _ended(writer, folder, seconds=600):
-    q = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    with jobs.map_store(writer._spark):
+        q = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     if not q.awaitTermination(seconds):
         q.stop()
         raise TimeoutError(f"the stream did not end within {seconds} s")
@@ -62,10 +63,30 @@ def t05_stream(spark, d):
     c, folder = chunk_rows(spark, d).select("id", F.col("index").cast("int").alias("index"), "total"), _folder(spark)
     parts = [c.filter("index < 1"), c.filter("index < 2"), c.filter("index >= 2")]  # some chunks come twice
     p = jobs.progress_stream(_stream(spark, parts, f"{folder}/in"))
-    _ended(p.writeStream.foreachBatch(jobs.latest_sink(f"{folder}/out")).outputMode("update"), folder)
+    _ended(p.writeStream.foreachBatch(jobs.latest_sink(f"{folder}/out", "id", every=2)).outputMode("update"), folder)
     return jobs.read_latest(spark, f"{folder}/out", "id").select("id", F.col("received").cast("long").alias("received"), "total")
 
 
+@query("s21_latest_stream", ORACLES["s21_latest_state"])
+def s21_stream(spark, d):
+    """The last event of each kind, kept by an update-mode stream; the parts come out of order."""
+    e, folder = T.table(spark, d, "events").select("event_type", "event_id", "value", "ts"), _folder(spark)
+    parts = [e.filter(f"event_id % 5 = {k}") for k in (3, 0, 4, 1, 2)]
+    last = review.latest_state(_stream(spark, parts, f"{folder}/in"), "event_type", "ts")
+    _ended(last.writeStream.foreachBatch(jobs.latest_sink(f"{folder}/out", "event_type", every=2)).outputMode("update"), folder)
+    return jobs.read_latest(spark, f"{folder}/out", "event_type").select("event_type", "event_id", "value")
+
+
+@query("t04_arbitrate_stream", ORACLES["t04_arbitrate"])
+def t04_stream(spark, d):
+    """Arbitration of a device's events as they come, in order of time."""
+    e, folder = arbitration_rows(spark, d).withColumn("ts", F.timestamp_millis(F.col("ts_ms").cast("long"))), _folder(spark)
+    cuts = e.agg(F.percentile("ts_ms", F.array(F.lit(0.4), F.lit(0.7)))).first()[0]
+    parts = [e.filter(F.col("ts_ms") <= cuts[0]), e.filter((F.col("ts_ms") > cuts[0]) & (F.col("ts_ms") <= cuts[1])), e.filter(F.col("ts_ms") > cuts[1])]
+    out = jobs.arbitrate_stream(_stream(spark, parts, f"{folder}/in"), voice_threshold=0.045, cooldown_ms=40000000.0)
+    return _appended(spark, out, folder).select(F.col("device").cast(e.schema["device"].dataType).alias("device"), "ts_ms", "route")
+
+
 @query("t06_late_chunks", ORACLES["t02_reassemble"].replace("conv_id % 5 <> 0", "conv_id % 5 <> 0 AND conv_id % 7 <> 0"))
 def t06(spark, d):
     """Every seventh conversation's last chunk comes behind the watermark and is dropped, so its message never ends."""

@@ -200,6 +200,12 @@ def read_review_metadata(records: DataFrame, column: str = "json") -> DataFrame:
     return keep.select(*[c for c in keep.columns if c != "p"], F.inline_outer("p"))
 
 
+def read_runs(spark: SparkSession, root: str, name: str = "summary.json") -> DataFrame:
+    """Rows (tag, modified, json) of the run files below ``root``: the folder that each lies in, its file time and its text."""
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+    return d.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("tag"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json"))
+
+
 def run_summaries(runs: DataFrame, after: Column | None = None) -> DataFrame:
     """Newest run of each tag: rows (tag, modified, json) with accuracy and mean latency of both kinds."""
     d = runs if after is None else runs.filter(F.col("modified") > after)

@@ -7,57 +7,105 @@ end, and idle keys are dropped once the watermark passes their time to live.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from wavefold.operators import packets
 from wavefold.operators.motion import MotionConfig
 
 
-def reassemble_stream(chunks: DataFrame, ttl_s: int = 30) -> DataFrame:
-    """(id, total, data) of each message once all its chunks are there.
+#: The setting of a state store that holds maps and timers, which ``reassemble_stream`` needs.
+MAP_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    ``chunks`` has id, index, total, data and ts. As in the batch form the last
-    chunk of an index counts, a changed total is passed over, and an id that is
-    idle beyond ``ttl_s`` starts anew.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, seen, index, data = (0, 0.0, [], []) if not state.exists else state.get
-        parts = dict(zip(index, data, strict=True))
+@contextmanager
+def map_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside have a state store for maps; the session's setting is put back."""
+    before = spark.conf.get(MAP_STORE[0], None)
+    spark.conf.set(*MAP_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(MAP_STORE[0]) if before is None else spark.conf.set(MAP_STORE[0], before)
+
+
+class _Reassembler(StatefulProcessor):
+    """Chunks of a message in a map of their own, so that a chunk is written once however many come."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_s = ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.message = handle.getValueState("message", "total int, seen double, received int")
+        self.parts = handle.getMapState("parts", "index int", "data binary")
+
+    def _forget(self) -> None:
+        self.message.clear()
+        self.parts.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        total, seen, received = self.message.get() if self.message.exists() else (0, 0.0, 0)
+        new: dict[int, bytes] = {}  # chunks of this batch that are not written yet
+        kept = received > 0  # whether earlier ones are
         done = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "index"])
-        for r in rows.itertuples(index=False):
-            at = r.ts.timestamp()
-            if parts and at - seen > ttl_s:
-                parts = {}
-            if not parts:
-                total = int(r.total)
-            if r.total != total or not 0 <= r.index < r.total or r.data is None:
+        frame = pd.concat(list(rows)).sort_values(["ts", "index"], kind="stable")
+        times = [t.timestamp() for t in frame["ts"]]
+        for at, index, of, data in zip(times, frame["index"], frame["total"], frame["data"], strict=True):
+            if received and at - seen > self.ttl_s:
+                if kept:
+                    self.parts.clear()
+                new, received, kept = {}, 0, False
+            if not received:
+                total = int(of)
+            if of != total or not 0 <= index < of or data is None:
                 continue
-            parts[int(r.index)], seen = bytes(r.data), at
-            if len(parts) == total:
-                done.append((key[0], total, b"".join(parts[i] for i in range(total))))
-                parts = {}
-        if parts:
-            state.update((total, seen, list(parts), list(parts.values())))
-            state.setTimeoutTimestamp(int(max(seen * 1000, state.getCurrentWatermarkMs()) + ttl_s * 1000))
-        elif state.exists:
-            state.remove()
+            index, seen = int(index), at
+            received += index not in new and not (kept and self.parts.containsKey((index,)))
+            new[index] = bytes(data)
+            if received == total:
+                old = {k[0]: bytes(v[0]) for k, v in self.parts.iterator()} if kept else {}
+                done.append((key[0], total, b"".join((old | new)[i] for i in range(total))))
+                if kept:
+                    self.parts.clear()
+                new, received, kept = {}, 0, False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if received:
+            for index, data in new.items():
+                self.parts.updateValue((index,), (data,))
+            self.message.update((total, seen, received))
+            self.handle.registerTimer(int(max(seen * 1000, timerValues.getCurrentWatermarkInMs()) + self.ttl_s * 1000))
+        else:
+            self._forget()
         if done:
             yield pd.DataFrame(done, columns=["id", "total", "data"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def reassemble_stream(chunks: DataFrame, ttl_s: int = 30) -> DataFrame:
+    """(id, total, data) of each message once all its chunks are there.
+
+    ``chunks`` has id, index, total, data and ts. As in the batch form the last
+    chunk of an index counts, a changed total is passed over, and an id that is
+    idle beyond ``ttl_s`` starts anew. The session's state store must be one that takes
+    maps (``MAP_STORE``), set before the stream starts.
+    """
     d = chunks.withWatermark("ts", f"{ttl_s} seconds")
-    return d.groupBy("id").applyInPandasWithState(
-        step, "id string, total int, data binary", "total int, seen double, idx array<int>, data array<binary>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return d.groupBy("id").transformWithStateInPandas(_Reassembler(ttl_s), "id string, total int, data binary", "Append", "EventTime")
 
 
 _AXES = ["gx", "gy", "gz", "ax", "ay", "az"]
@@ -141,22 +189,29 @@ def segment_motion_stream(df: DataFrame, cfg: MotionConfig = MotionConfig(), ttl
 
 
 def arbitrate_stream(df: DataFrame, motion_threshold: float = 1.2, voice_threshold: float = 0.015, priority: str = "gesture", cooldown_ms: float = 150.0) -> DataFrame:
-    """Streaming form of arbitrate on rows (device, ts, ts_ms, motion, voice)."""
+    """Streaming form of arbitrate on rows (device, ts, ts_ms, motion, voice); the state of a device is kept for the cooldown at least."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else float("-inf")
-        out, newest = [], 0.0
-        for r in pd.concat(list(frames)).sort_values("ts_ms").itertuples(index=False):
-            m, v, newest = r.motion > motion_threshold, r.voice > voice_threshold, max(newest, r.ts.timestamp() * 1000)
-            route = ("gesture" if m and not v else "voice" if v and not m else priority if m and v else "none") if r.ts_ms - last >= cooldown_ms else "none"
-            last = r.ts_ms if route != "none" else last
-            out.append((key[0], r.ts_ms, route))
+        rows = pd.concat(list(frames))
+        m, v = rows["motion"].to_numpy() > motion_threshold, rows["voice"].to_numpy() > voice_threshold
+        rows["route"] = np.select([m & ~v, v & ~m, m & v], ["gesture", "voice", priority], "none")
+        rows = rows.sort_values(["ts_ms", "route"], kind="stable")
+        route, time = rows["route"].to_numpy(object), rows["ts_ms"].to_numpy(float)
+        asks = np.flatnonzero(route != "none")
+        sent = np.zeros(len(rows), bool)
+        at = int(np.searchsorted(time[asks], last + cooldown_ms))
+        while at < len(asks):  # once a dispatch
+            sent[asks[at]], last = True, float(time[asks[at]])
+            at = max(at + 1, int(np.searchsorted(time[asks], last + cooldown_ms)))
+        route[~sent] = "none"
         state.update((last,))
-        state.setTimeoutTimestamp(int(max(newest, state.getCurrentWatermarkMs()) + 60_000))
-        yield pd.DataFrame(out, columns=["device", "ts_ms", "route"])
+        newest = rows["ts"].max().timestamp() * 1000
+        state.setTimeoutTimestamp(int(max(newest, state.getCurrentWatermarkMs()) + max(60_000, cooldown_ms)))
+        yield pd.DataFrame({"device": str(key[0]), "ts_ms": time, "route": route})
 
     return df.withWatermark("ts", "30 seconds").groupBy("device").applyInPandasWithState(step, "device string, ts_ms double, route string", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -169,19 +224,63 @@ def progress_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(F.size(F.collect_set("index")).alias("received"), F.max("total").alias("total"))
 
 
-def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function for update-mode streams: the rows of each batch in a folder of its own; ``read_latest`` takes the last of each key."""
+def latest_sink(path: str, key: str, order: str | None = None, every: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps the last row of each key; ``read_latest`` reads them.
+
+    A row is newer if its batch is or, with ``order``, if that column is greater (ties to the later batch). A batch has a folder of its
+    own, which a repeated batch replaces. Each ``every``-th batch is written together with the generation
+    before it and the batches since then as a new generation, and what lies behind the generation before is
+    deleted. So at most two generations and 2 * ``every`` batches lie there, however long the stream runs.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        last = _last(batch.withColumn("batch", F.lit(number).cast("long")), key, order)
+        if number % every:
+            last.write.mode("overwrite").parquet(f"{path}/rows={number}")
+            return
+        before = [f for f in _folders(spark, path) if f[1] < number]
+        start = max((n for kind, n in before if kind == "all"), default=-1)
+        parts = [f"{path}/{kind}={n}" for kind, n in before if n >= start and (kind == "all" or n > start)]
+        if parts:
+            last = _last(spark.read.schema(last.schema).parquet(*parts).unionByName(last), key, order)
+        last.write.mode("overwrite").parquet(f"{path}/all={number}")
+        for kind, n in before:  # a reader may still be at the generation before
+            if n < start:
+                _delete(spark, f"{path}/{kind}={n}")
 
     return write
 
 
-def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    d = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in d.columns if c not in (key, "batch")]
-    return d.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
+def _last(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    newest = F.struct("batch") if order is None else F.struct(F.col(order), F.col("batch"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(key, "r.*")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Finished generations ("all") and batches ("rows") of a sink with their numbers."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(p) if fs.exists(p) else ():
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in ("all", "rows") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append((kind, int(number)))
+    return found
+
+
+def read_latest(spark: SparkSession, path: str, key: str, order: str | None = None) -> DataFrame:
+    """The last row of each key from the newest generation of ``latest_sink`` and the batches behind it."""
+    found = _folders(spark, path)
+    start = max((n for kind, n in found if kind == "all"), default=-1)
+    parts = [f"{path}/{kind}={n}" for kind, n in found if kind == "all" and n == start or kind == "rows" and n > start]
+    return _last(spark.read.parquet(*parts), key, order).drop("batch")
 
 
 def capture_sink(path: str, session: str, processed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
