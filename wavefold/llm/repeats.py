@@ -19,8 +19,8 @@ with a smaller id are removed.
 
 The phrases are dealt out by ranges of (trigger, phrase, document), so that no
 trigger, phrase or copied document is bound to one task. Triggers that reach over the
-ends of a range, or have more than ``group`` phrases, are met by joins on
-strings that Spark splits; all others are ordered inside their range.
+ends of a range, or have more than ``group`` phrases there, keep one row an entry and range open. Those are gathered
+by trigger and ordered as well, or, beyond ``group`` entries, met by joins on strings that Spark splits.
 """
 
 from __future__ import annotations
@@ -359,14 +359,50 @@ def _ordered(cfg: RepeatConfig):
     return run
 
 
-def met(opened: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """key, place, bits of rows whose triggers are not in one task: strings meet by joins, of which Spark splits the large parts."""
-    entries = opened.groupBy("trigger", "phrase").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("low", "high", "context")])
-    each = entries.withColumn("j", F.explode(F.sequence("low", "high"))).withColumn("string", F.expr(f"substring(context, {cfg.reach + 1} - j, {cfg.reach})"))
+def _met_here(cfg: RepeatConfig):
+    columns = ("trigger", "phrase", "first", "low", "high")
+
+    def marks(rows: pa.Table) -> pa.RecordBatch:
+        t, phrase, first, low, high = (rows.column(c).to_numpy() for c in columns)
+        group = np.cumsum(np.r_[True, t[1:] != t[:-1]]) - 1
+        bits = repeated_offsets(group, first, low, high, _rows_of(rows.column("context").combine_chunks(), 2 * cfg.reach), cfg)
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(phrase), pa.array(bits)], names=["trigger", "phrase", "some"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The offsets of entries, by triggers in order; a trigger's entries are in one task and at most ``cfg.group``."""
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                t = rows.column("trigger").to_numpy()
+                last = int(np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[-1])
+                if last:
+                    yield marks(rows.slice(0, last))
+                held = rows.slice(last)
+        if held is not None:
+            yield marks(held)
+
+    return run
+
+
+def met(opened: DataFrame, folder: str, cfg: RepeatConfig) -> DataFrame:
+    """key, place, bits of rows whose triggers are not in one task.
+
+    Their dictionary entries are gathered by trigger and ordered like the others, but for those of triggers with more
+    than ``cfg.group`` entries: their strings meet by joins, of which Spark splits the large parts.
+    """
+    own = ("low", "high", "context")
+    entries = written(opened.groupBy("trigger", "phrase").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in own]), folder, "entries")
+    large = entries.groupBy("trigger").agg(F.count("*").alias("n")).filter(F.col("n") > cfg.group).select("trigger")
+    small = entries.join(large, "trigger", "left_anti").select("trigger", "phrase", "first", *own)
+    here = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_met_here(cfg), "trigger long, phrase long, some long")
+    each = entries.join(large, "trigger", "left_semi")
+    each = each.withColumn("j", F.explode(F.sequence("low", "high"))).withColumn("string", F.expr(f"substring(context, {cfg.reach + 1} - j, {cfg.reach})"))
     each = each.select("trigger", "phrase", "first", "j", "string")
     least = each.groupBy("trigger", "j", "string").agg(F.min("first").alias("least"))
     hits = each.join(least, ["trigger", "j", "string"]).filter("least < first").groupBy("trigger", "phrase").agg(F.expr("bit_or(shiftleft(1L, j))").alias("some"))
-    marks = entries.select("trigger", "phrase", "first").join(hits, ["trigger", "phrase"], "left")
+    marks = entries.select("trigger", "phrase", "first").join(here.unionByName(hits), ["trigger", "phrase"], "left")
     every = F.expr("shiftleft(2L, high) - shiftleft(1L, low)")
     bits = F.when(F.col("id") > F.col("first"), every).otherwise(F.coalesce("some", F.lit(0)).bitwiseAND(every))
     return opened.join(marks, ["trigger", "phrase"]).select("key", "place", bits.alias("bits")).filter("bits <> 0")
@@ -441,7 +477,7 @@ def _marked(phrases: DataFrame, n: int, folder: str, cfg: RepeatConfig) -> DataF
 
 def _strings(marked: DataFrame, folder: str, cfg: RepeatConfig) -> DataFrame:
     """key and what is removed from its text: places of triggers and the offsets of strings before them."""
-    removed = marked.filter("bits is not null").select("key", "place", "bits").unionByName(met(marked.filter("bits is null").drop("bits"), cfg))
+    removed = marked.filter("bits is not null").select("key", "place", "bits").unionByName(met(marked.filter("bits is null").drop("bits"), folder, cfg))
     return written(removed.groupBy("key").agg(F.collect_list(F.struct("place", "bits")).alias("strings")), folder, "strings")
 
 
@@ -468,6 +504,6 @@ def remove_repeats(documents: DataFrame, folder: str, cfg: RepeatConfig = Repeat
         discard(spark, folder, f"phrases/part={n}")
     _settled(spark)
     strings = _strings(functools.reduce(DataFrame.unionByName, marked), folder, cfg)
-    discard(spark, folder, "phrases", *[f"marked-{n}" for n in range(cfg.parts)])
+    discard(spark, folder, "phrases", "entries", *[f"marked-{n}" for n in range(cfg.parts)])
     _settled(spark)
     return d.select("doc_id", "text", "key").join(strings, "key", "left").select("doc_id", "text", "strings").mapInArrow(_remove(cfg), _KEPT)
