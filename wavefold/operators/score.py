@@ -108,4 +108,4 @@ def sweep(df: DataFrame, grid: dict[str, list], n_classes: int) -> DataFrame:
     rate = lambda s: 100.0 * F.coalesce(F.sum(F.when(F.col("split") == s, F.col("right"))), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.when(F.col("split") == s, F.col("total"))), F.lit(0)), F.lit(1))
     found = counts.agg(*[rate(s).alias(f"{s}_acc") for s in ("train", "val", "test")])
     each = [F.element_at(F.array(*[F.lit(p[k]) for p in points]), F.col("point") + 1).alias(k) for k in grid]
-    return found.select(*each, "train_acc", "val_acc", "test_acc").orderBy(F.desc("test_acc"), F.desc("val_acc"))
+    return found.orderBy(F.desc("test_acc"), F.desc("val_acc"), "point").select(*each, "train_acc", "val_acc", "test_acc")
