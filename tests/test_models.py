@@ -16,7 +16,7 @@ from wavefold.sources import ingest
 
 CFG = mfcc.MfccConfig(sample_rate=200, win=20, hop=8, n_fft=32, n_mels=8, n_mfcc=8, frames=8)
 #: Queries without SQL that a test here compares with a plain version.
-COVERED = {"h02_mel_energies", "m05_mfcc", "m05_mfcc_long", "m05_voice_features", "m14_classifier", "m15_sweep", "m16_score", "m17_quantisation_report", "m21_segment_job", "w13_split_plans", "w14_bisected_segments"}
+COVERED = {"m05_mfcc", "m05_mfcc_long", "m05_voice_features", "m14_classifier", "m15_sweep", "m21_segment_job", "w13_split_plans", "w14_bisected_segments"}
 
 
 @pytest.fixture(scope="module")

@@ -152,6 +152,13 @@ def test_serve_routes_results_and_errors(spark, tmp_path):
     got = [json.loads(r["value"])["data"] for r in spark.read.json(str(tmp_path / "r")).collect()]
     assert sorted((g["device_id"], g["label"]) for g in got) == [("d1", "60"), ("d2", "1")]
     assert sorted(r["reason"] for r in spark.read.json(str(tmp_path / "e")).collect()) == ["base64", "route", "unhandled"]
+    # The same as messages to a sink with options, as to a broker.
+    sink = lambda name: {"format": "json", "path": str(tmp_path / name)}
+    m = message_stream(spark, "json", str(tmp_path / "in"), "^(esp32/[^/]+/sensor/imu|phone/[^/]+/viz/mic)$")
+    assert jobs.serve(m, {"imu": handle}, sink("r2"), sink("e2"), str(tmp_path / "c2"), availableNow=True).awaitTermination(120)
+    assert {r["topic"] for r in spark.read.json(str(tmp_path / "r2")).collect()} == {"results/d1/action", "results/d2/action"}
+    errors = [(r["topic"], json.loads(r["value"])) for r in spark.read.json(str(tmp_path / "e2")).collect()]
+    assert sorted((t, e["type"], e["data"]["reason"]) for t, e in errors) == [("errors/esp32/d1/sensor/imu", "error", "route"), ("errors/phone/p/viz/mic", "error", "base64"), ("errors/phone/p/viz/mic", "error", "unhandled")]
 
 
 def test_capture_writes_by_session_kind_and_device(spark, tmp_path):

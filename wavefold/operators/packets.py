@@ -134,3 +134,9 @@ def result_packets(df: DataFrame) -> DataFrame:
     """Result messages (topic, value JSON) of classified rows (device, kind, label, confidence, source_topic)."""
     data = F.struct("label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"), F.col("device").alias("device_id"), "source_topic")
     return df.select(F.concat(F.lit("results/"), "device", F.lit("/"), "kind").alias("topic"), F.to_json(F.struct(F.col("kind").alias("type"), data.alias("data"))).alias("value"))
+
+
+def error_packets(df: DataFrame) -> DataFrame:
+    """Error messages (topic, value JSON) of dead letters (topic, payload, reason), on the topic they came from below errors."""
+    data = F.struct(F.col("reason"), F.col("topic").alias("source_topic"), F.col("payload"))
+    return df.select(F.concat(F.lit("errors/"), "topic").alias("topic"), F.to_json(F.struct(F.lit("error").alias("type"), data.alias("data"))).alias("value"))

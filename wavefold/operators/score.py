@@ -30,31 +30,37 @@ def forward(x: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
     return x.mean(axis=2) @ net["fc.weight"].T + net["fc.bias"]
 
 
-def score(windows: DataFrame, params: DataFrame, channels: int, quantise: bool = False) -> DataFrame:
-    """(id, pred_id, confidence) of rows (id, flat: time-major values), by batches of rows.
-
-    ``quantise`` rounds features to 8.8 fixed point first. Ties go to the lowest class.
-    """
+def _scored(windows: DataFrame, params: DataFrame, channels: int, kinds: dict[str, bool]) -> DataFrame:
+    """id and, for each kind (a prefix; whether features are rounded to 8.8 fixed point), pred_id and confidence, in one pass. Ties go to the lowest class."""
     net = network(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1, channels)
-            if quantise:
-                flat = np.rint(np.clip(flat, -128, 127.99609375) * 256) / 256
-            z = forward(flat.transpose(0, 2, 1), net) if b.num_rows else np.zeros((0, 1))
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(z.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1))], names=["id", "pred_id", "confidence"])
+            raw = b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1, channels)
+            out = [b.column("id")]
+            for quantised in kinds.values():
+                flat = np.rint(np.clip(raw, -128, 127.99609375) * 256) / 256 if quantised else raw
+                z = forward(flat.transpose(0, 2, 1), net) if b.num_rows else np.zeros((0, 1))
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                out += [pa.array(z.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1))]
+            yield pa.RecordBatch.from_arrays(out, names=["id", *[f"{k}{c}" for k in kinds for c in ("pred_id", "confidence")]])
+
+    return windows.select("id", "flat").mapInArrow(run, "id long, " + ", ".join(f"{k}pred_id int, {k}confidence double" for k in kinds))
 
-    return windows.select("id", "flat").mapInArrow(run, "id long, pred_id int, confidence double")
+
+def score(windows: DataFrame, params: DataFrame, channels: int, quantise: bool = False) -> DataFrame:
+    """(id, pred_id, confidence) of rows (id, flat: time-major values), by batches of rows.
+
+    ``quantise`` rounds features to 8.8 fixed point first.
+    """
+    return _scored(windows, params, channels, {"": quantise})
 
 
 def quantisation_report(windows: DataFrame, params: DataFrame, channels: int) -> DataFrame:
-    """id, true_id and the predictions with raw and with 8.8 features."""
-    raw = score(windows, params, channels).select("id", "pred_id")
-    q = score(windows, params, channels, True).select("id", F.col("pred_id").alias("q88_pred_id"))
-    return windows.select("id", "true_id").join(raw, "id").join(q, "id")
+    """id, true_id and the predictions with raw and with 8.8 features, both from one pass."""
+    both = _scored(windows, params, channels, {"": False, "q88_": True}).select("id", "pred_id", "q88_pred_id")
+    return windows.select("id", "true_id").join(both, "id")
 
 
 def fit_classifier(train: DataFrame, max_iter: int = 50, reg: float = 0.01, weight: str | None = None):

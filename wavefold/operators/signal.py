@@ -253,6 +253,23 @@ def fit_segment_count(segments: DataFrame, df: DataFrame, key: str, sample_rate:
     return now
 
 
+def segment_recordings(df: DataFrame, key: str, grid: DataFrame, length: int, hop: int, sample_rate: int, target: int, prefer: tuple[float, float] = (-32.0, 0.12), least: int = 1, shortest: int | None = None) -> DataFrame:
+    """Long recordings (key, n, v) to ``target`` segments each, with their scores.
+
+    The best plan of ``grid`` gives a recording its threshold, gap and padding; its segments (of ``least`` samples or more) are cut at
+    their quietest places or merged and dropped until they are ``target``, scored, and the best are kept in their order.
+    ``shortest`` is the sample rate that the least length of a cut follows, the recording's own by default.
+    """
+    total = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    plan = plan_segments(df, key, grid, length, hop, sample_rate, target, prefer).select(key, "threshold_db", "gap_s", "pad_s")
+    rms = frame_rms(df, key, length, hop).join(total, key).join(plan, key)
+    samples = lambda c: F.round(F.col(c) * sample_rate)
+    found = detect_segments(rms, [key], length, hop, F.col("threshold_db"), samples("gap_s"), samples("pad_s"), least)
+    found = found.select(key, F.col("start").cast("long"), F.col("end").cast("long"))
+    fitted = fit_segment_count(found, df, key, sample_rate if shortest is None else shortest, target)
+    return top_segments(score_segments(fitted, df, key, sample_rate), key, target)
+
+
 def focus(df: DataFrame, key: str, half: int, length: int, hop: int, threshold_db: float, floor_db: float = -45.0, eps: float = 1e-8) -> DataFrame:
     """A window of 2 * half samples around the energy-weighted centre; zeros outside, clips no longer than it unchanged."""
     w = Window.partitionBy(key)

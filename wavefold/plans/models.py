@@ -47,12 +47,36 @@ def _windows(spark, d):
     return f.join(T.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("true_id")), "id")
 
 
-@query("m16_score")
+def _net_sql(x: str) -> str:
+    """The network over rows x (id, q, c, t, v), q apart: z (id, q, cls, z)."""
+    return f"""x AS ({x}),
+    a1 AS (SELECT id, q, o, y.t, greatest(sum(v * cos(((o * 8 + c) * 3 + x.t - y.t + 1) * 1.7) / 2) + any_value(cos(o * 1.7 + 1) / 2), 0) AS v
+           FROM x, range(4) w(o), range(8) y(t) WHERE x.t - y.t BETWEEN -1 AND 1 GROUP BY id, q, o, y.t),
+    p AS (SELECT id, q, o AS c, t // 2 AS t, max(v) AS v FROM a1 GROUP BY ALL),
+    a2 AS (SELECT id, q, o, y.t, greatest(sum(v * cos(((o * 4 + c) * 3 + p.t - y.t + 1) * 1.7 + 2) / 2) + any_value(cos(o * 1.7 + 3) / 2), 0) AS v
+           FROM p, range(6) w(o), range(4) y(t) WHERE p.t - y.t BETWEEN -1 AND 1 GROUP BY id, q, o, y.t),
+    m AS (SELECT id, q, o, avg(v) AS v FROM a2 GROUP BY id, q, o),
+    z AS (SELECT id, q, cls, sum(v * cos((cls * 6 + o) * 1.7 + 4) / 2) + any_value(cos(cls * 1.7 + 5) / 2) AS z FROM m, range(10) k(cls) GROUP BY id, q, cls)"""
+
+
+@query(
+    "m16_score",
+    "WITH " + T.FEATURES_SQL + ", " + _net_sql("SELECT clip_id AS id, 0 AS q, channel AS c, frame AS t, v FROM features")
+    + " SELECT id, CAST(arg_max(cls, z) AS INTEGER) AS pred_id, round(1 / sum(exp(z - most)), 6) AS confidence FROM (SELECT *, max(z) OVER (PARTITION BY id) AS most FROM z) GROUP BY id",
+)
 def m16(spark, d):
     return rounded(score.score(_windows(spark, d), _net(spark), 8), "confidence", digits=6)
 
 
-@query("m17_quantisation_report")
+@query(
+    "m17_quantisation_report",
+    "WITH " + T.FEATURES_SQL
+    + ", "
+    + _net_sql("SELECT clip_id AS id, q, channel AS c, frame AS t, CASE WHEN q = 0 THEN v ELSE round_even(greatest(-128.0, least(127.99609375, v)) * 256, 0) / 256 END AS v FROM features, range(2) g(q)")
+    + """, r AS (SELECT id, arg_max(cls, z) FILTER (q = 0) AS a, arg_max(cls, z) FILTER (q = 1) AS b FROM z GROUP BY id)
+    SELECT label AS true_id, count(*) AS n, CAST(sum(CAST(a = b AS INTEGER)) AS BIGINT) AS agree, round(100 * avg(CAST(a = label AS INTEGER)), 4) + 0.0 AS accuracy_a, round(100 * avg(CAST(b = label AS INTEGER)), 4) + 0.0 AS accuracy_b
+    FROM r JOIN embeddings ON vec_id = id GROUP BY label""",
+)
 def m17(spark, d):
     return rounded(evaluate.agreement(score.quantisation_report(_windows(spark, d), _net(spark), 8)), "accuracy_a", "accuracy_b")
 

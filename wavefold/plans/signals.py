@@ -219,7 +219,15 @@ def h03(spark, d):
     return rounded(f.join(F.broadcast(m), f["channel"] == m["mel"]).groupBy("clip_id", "frame", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v")), "v")
 
 
-@query("h02_mel_energies")
+@query(
+    "h02_mel_energies",
+    "WITH " + T.FEATURES_SQL + """, p AS (SELECT i, 700 * (10 ** (i * (2595 * log10(1 + 8000 / 700.0) / 11) / 2595) - 1) AS hz FROM range(12) g(i)),
+    b AS (SELECT i, hz, floor(127 * hz / 16000) AS bin FROM p),
+    t AS (SELECT i AS mel, bin AS b0, lead(bin) OVER w AS x1, lead(bin, 2) OVER w AS x2, hz, lead(hz, 2) OVER w AS hz2 FROM b WINDOW w AS (ORDER BY i)),
+    u AS (SELECT mel, b0, greatest(x1, b0 + 1) AS b1, greatest(x2, greatest(x1, b0 + 1) + 1) AS b2, hz2 - hz AS width FROM t WHERE hz2 IS NOT NULL),
+    k AS (SELECT mel, bin, CASE WHEN bin < b1 THEN (bin - b0) / (b1 - b0) ELSE (b2 - bin) / (b2 - b1) END * 2 / width AS w FROM u, range(64) r(bin) WHERE bin >= b0 AND bin < b2)
+    SELECT clip_id, mel, round(sum(f.v * f.v * k.w), 8) AS energy FROM features AS f JOIN k ON k.bin = f.channel * 8 + f.frame GROUP BY clip_id, mel""",
+)
 def h02(spark, d):
     f = T.features(spark, d).select("clip_id", (F.col("channel") * 8 + F.col("frame")).cast("long").alias("bin"), F.col("v"))
     m = scalar.mel_filterbank(spark, 10, 126, 16000)
@@ -228,11 +236,5 @@ def h02(spark, d):
 
 @query("m21_segment_job")
 def m21(spark, d):
-    """Long recordings to a fixed number of clips: best plan, its segments, cut or chosen to the target, scored."""
-    c = T.clips(spark, d)
-    total = c.groupBy("clip_id").agg(F.count(F.lit(1)).alias("total"))
-    plan = signal.plan_segments(c, "clip_id", signal.segment_grid(spark, 1 / 16), L, H, 50, 3, (-2.0, 0.12)).select("clip_id", "threshold_db", "gap_s", "pad_s")
-    rms = signal.frame_rms(c, "clip_id", L, H).join(total, "clip_id").join(plan, "clip_id")
-    seg = signal.detect_segments(rms, ["clip_id"], L, H, F.col("threshold_db"), F.round(F.col("gap_s") * 50), F.round(F.col("pad_s") * 50), 18)
-    few = signal.fit_segment_count(seg.select("clip_id", F.col("start").cast("long"), F.col("end").cast("long")), c, "clip_id", 20, 3)
-    return rounded(signal.top_segments(signal.score_segments(few, c, "clip_id", 50), "clip_id", 3), "score")
+    grid = signal.segment_grid(spark, 1 / 16)
+    return rounded(signal.segment_recordings(T.clips(spark, d), "clip_id", grid, L, H, 50, 3, prefer=(-2.0, 0.12), least=18, shortest=20), "score")

@@ -331,8 +331,21 @@ def chunk_messages(messages: DataFrame) -> DataFrame:
     return d.select(one.alias("c"), "ts").select("c.id", "c.index", "c.total", F.unhex("c.data").alias("data"), "ts")
 
 
-def serve(messages: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], results: str, errors: str, checkpoint: str, **trigger):
-    """Routes messages, checks packets, classifies them and writes results and errors (dead letters) as JSON.
+def send(rows: DataFrame, target: str | dict[str, str], number: int) -> None:
+    """Writes the rows of a batch as JSON to a folder of their own below ``target``, which a repeated batch replaces.
+
+    With a dict, messages (topic, value) go to a sink of Spark with these options: a broker unless ``format`` names
+    another. A broker gets a repeated batch twice.
+    """
+    if isinstance(target, str):
+        rows.write.mode("overwrite").json(f"{target}/batch={number}")
+    else:
+        options = {k: v for k, v in target.items() if k != "format"}
+        rows.select("topic", "value").write.format(target.get("format", "kafka")).options(**options).mode("append").save()
+
+
+def serve(messages: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], results: str | dict[str, str], errors: str | dict[str, str], checkpoint: str, **trigger):
+    """Routes messages, checks packets, classifies them and writes results and errors (dead letters) as JSON or to a broker (see ``send``).
 
     ``handlers`` has a function for "imu" and "mfcc" (rows with packet) and for
     "clip" (rows with data, the bytes of a file); each maps rows (device, topic, ...) to
@@ -360,8 +373,8 @@ def serve(messages: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFra
             else:
                 bad = bad.unionByName(part.select("topic", "payload", F.lit("unhandled").alias("reason")))
         if done is not None:
-            done.write.mode("overwrite").json(f"{results}/batch={number}")
-        bad.write.mode("overwrite").json(f"{errors}/batch={number}")
+            send(done, results, number)
+        send(bad if isinstance(errors, str) else packets.error_packets(bad), errors, number)
         rows.unpersist()
 
     w = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
