@@ -68,6 +68,25 @@ def test_against_plain_sets(spark, cfg):
     assert result(repeats.remove_repeats(d, scratch_dir(spark), cfg)) == plain(rows, cfg.length)
 
 
+@pytest.fixture
+def ranges(spark):
+    """Many ranges that are not put together, so that triggers reach over their ends."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("cfg", [repeats.RepeatConfig(parts=1), repeats.RepeatConfig(group=3, parts=1)])
+def test_triggers_that_reach_over_the_ends_of_ranges(spark, ranges, cfg):
+    rows = corpus(1)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(repeats.remove_repeats(d, scratch_dir(spark), cfg)) == plain(rows, cfg.length)
+
+
 def test_rows_without_strings(spark):
     schema = "doc_id long, text string"
     assert repeats.remove_repeats(spark.createDataFrame([], schema), scratch_dir(spark)).collect() == []

@@ -343,7 +343,7 @@ def _ordered(cfg: RepeatConfig):
             t = h.columns[0]
             if open_at is None:
                 open_at = t[0]
-            begin, last = int(np.searchsorted(t == open_at, False)) if t[0] == open_at else 0, int(np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[-1])
+            begin, last = int(np.count_nonzero(t == open_at)), int(np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[-1])
             if begin:
                 yield from parted(h.part(slice(0, begin)))
             if last > begin:
