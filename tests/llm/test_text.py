@@ -256,6 +256,22 @@ def test_broken_pages_are_linear_and_prose_stays():
     assert html_text.main_text(f"<body>{post}</body>") == f"T\n{long}\n{long}"
 
 
+@pytest.mark.parametrize("n", [3, 64, 65, 500])
+def test_layout_around_any_number_of_articles(n):
+    """A mark around all articles of a page is one of layout, however many of them have marks of their own."""
+    parts = [(f"Story {i}", f"The council of town {i} met on Monday and decided how the new bridge is to be paid for.") for i in range(n)]
+    articles = "".join(f"<article class='related-story'><h2>{h}</h2><p>{p}</p></article>" for h, p in parts)
+    page = f"<body><nav><a href=x>Home</a></nav><div class='sidebar'>{articles}</div><footer>Copyright</footer></body>"
+    assert html_text.main_text(page) == "\n".join(x for part in parts for x in part)
+
+
+def test_two_means_go_on_until_the_clusters_stay():
+    for values in ((np.arange(1, 100_001) / 100_000) ** -0.5, np.arange(5000.0) ** 2, np.array([1.0, 1.0, 9.0])):
+        cut = html_text.two_means(values)
+        assert cut == pytest.approx((values[values > cut].mean() + values[values <= cut].mean()) / 2, rel=1e-9)
+    assert html_text.two_means(np.full(7, 0.1)) == pytest.approx(0.1)
+
+
 def test_ratios_decide_without_names(spark, sf):
     """Most pages come out the same without any evidence of names; none does without the threshold and names."""
     pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]

@@ -229,15 +229,13 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 def two_means(values: np.ndarray) -> float:
     """The middle between the means of the two clusters of ``values``."""
+    ordered, n = np.sort(values), len(values)
+    sums = np.r_[0.0, np.cumsum(ordered)]
     cut = float(values.mean())
-    for _ in range(50):
-        high = values > cut
-        if high.all() or not high.any():
-            break
-        new = (float(values[high].mean()) + float(values[~high].mean())) / 2
-        if new == cut:
-            break
-        cut = new
+    seen: set[int] = set()  # sizes of the lower cluster; a cut moves one way, so none comes again but by rounding
+    while 0 < (low := int(np.searchsorted(ordered, cut, side="right"))) < n and low not in seen:
+        seen.add(low)
+        cut = float(sums[low] / low + (sums[n] - sums[low]) / (n - low)) / 2
     return cut
 
 
@@ -255,23 +253,11 @@ def _evidence(parser: _Lines) -> tuple[list[int], list[float]]:
     Marks around all articles and mains of a page are ones of layout and count for nothing.
     """
     around = [m[0] for m in parser.marks]
-    layout: set[int] = set()
-    held = [mark for _, mark in parser.containers[1:]]
-    if held and all(held):
-        chains = []
-        for mark in set(held):
-            chain = set()
-            while mark:
-                chain.add(mark)
-                mark = around[mark]
-            chains.append(chain)
-            if len(chains) > 64:  # so many articles have no mark in common but by chance
-                break
-        layout = set.intersection(*chains) if len(chains) <= 64 else set()
-        layout = layout or {m for m in set(held) if parser.marks[m][2]} if len(held) == 1 else layout
+    held = np.array([mark for _, mark in parser.containers[1:]], int)
+    layout = _totals(np.bincount(held, minlength=len(around)), around) == max(len(held), 1)
     left = [1.0]
     for i, (up, own, _) in enumerate(parser.marks[1:], 1):
-        left.append(left[up] * (1.0 if i in layout else own))
+        left.append(left[up] * (1.0 if layout[i] else own))
     return around, left
 
 
