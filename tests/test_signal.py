@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from wavefold import plans
 from wavefold.functions import scalar
 from wavefold.operators import mfcc, signal
 
@@ -125,3 +126,14 @@ def test_segment_grid_is_whole(spark):
     burst = np.where((np.arange(6000) // 600) % 2 == 0, 1.0, 10 ** (-30.5 / 20))
     best = signal.plan_segments(clip(spark, burst), "clip_id", None, 50, 25, 1000, 5).collect()[0]
     assert best["n"] == 5 and best["threshold_db"] == -30.0
+
+
+def test_decibels_of_any_number(spark, duck, same, tmp_path):
+    """Zero, numbers close to it and below it as the SQL has them."""
+    values = [0.0, -0.0, 1e-8, 9.9e-9, 1e-9, 5e-324, -1e-9, -5.0, float("-inf"), float("inf"), 1.0, 1e-7, 327.53, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.QUERIES["h05_decibels"](spark, str(tmp_path))
+    same(got, duck.sql(f"with events as (from '{tmp_path}/events.parquet/*.parquet') {plans.ORACLES['h05_decibels']}"))
+    assert {r["db"] for r in got.filter("event_id in (4, 5)").collect()} == {-180.0, -6466.124307}
+    floor = spark.createDataFrame([(1e-9,), (-5.0,)], "x double").select(signal.amplitude_to_db(F.col("x")).alias("db"))
+    assert [r["db"] for r in floor.collect()] == [float("-inf")] * 2  # of levels, as before

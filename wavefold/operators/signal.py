@@ -14,9 +14,12 @@ def db_to_amplitude(db: float | Column) -> Column:
     return F.pow(F.lit(10.0), (db if isinstance(db, Column) else F.lit(float(db))) / 20)
 
 
-def amplitude_to_db(x: Column) -> Column:
-    """20 log10 of an amplitude; minus infinity up to 1e-8."""
-    return F.when(x <= 1e-8, F.lit(float("-inf"))).otherwise(20 * F.log10(x))
+def amplitude_to_db(x: Column, silence: float | None = 1e-8) -> Column:
+    """20 log10 of an amplitude; minus infinity up to ``silence``. With None, that of any number: minus infinity for zero, NaN below it."""
+    db = 20 * F.log10(x)  # null up to zero
+    if silence is None:
+        return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(db)
+    return F.when(x <= silence, F.lit(float("-inf"))).otherwise(db)
 
 
 def frames(df: DataFrame, key: str, length: int, hop: int) -> DataFrame:

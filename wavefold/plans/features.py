@@ -351,7 +351,7 @@ def h05(spark, d):
     from wavefold.operators import signal
 
     e = T.table(spark, d, "events")
-    return rounded(e.select("event_id", signal.db_to_amplitude(-F.col("value") / 20).alias("amplitude"), signal.amplitude_to_db(F.col("value")).alias("db")), "amplitude", "db", digits=6)
+    return rounded(e.select("event_id", signal.db_to_amplitude(-F.col("value") / 20).alias("amplitude"), signal.amplitude_to_db(F.col("value"), None).alias("db")), "amplitude", "db", digits=6)
 
 
 _URL = "(SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS u FROM pages)"
