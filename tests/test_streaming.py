@@ -8,7 +8,9 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from wavefold import plans
 from wavefold.operators import motion, packets
+from wavefold.plans import streams
 from wavefold.sources.ingest import message_stream
 from wavefold.streaming import jobs
 
@@ -183,3 +185,52 @@ def test_arbitration_of_long_chains(spark):
         last[dev] = t if route != "none" else last.get(dev, -1e9)
         want.append((dev, t, route))
     assert sorted(map(tuple, packets.arbitrate(d).collect())) == sorted(want)
+
+
+def test_arbitration_by_buckets(spark, tmp_path):
+    """Many devices (one without a name) over several batches: what a plain loop gives, from a row of state a bucket."""
+    rng = np.random.default_rng(3)
+    rows = [(f"d{dev}" if dev else None, float(t), float(m), float(v)) for dev in range(90) for t, m, v in zip(np.cumsum(rng.integers(0, 400, 12)), rng.random(12) * 2, rng.random(12) / 30, strict=True)]
+    d = spark.createDataFrame(rows, "device string, ts_ms double, motion double, voice double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ts_ms") / 1000))
+    parts = [d.filter(F.col("ts_ms").between(a, b)) for a, b in ((0, 599), (600, 1499), (1500, 9999))]
+    found = jobs.arbitrate_stream(stream(spark, *parts, folder=str(tmp_path / "in")), buckets=4)
+    q = started(found, "arb_buckets", tmp_path)
+    assert q.awaitTermination(120)
+    want, last = [], {}
+    for dev, at, m, v in sorted(rows, key=lambda r: (r[0] or "", r[1], "gesture" if r[2] > 1.2 else "voice" if r[3] > 0.015 else "none")):
+        route = "gesture" if m > 1.2 else "voice" if v > 0.015 else "none"
+        if route != "none" and at - last.get(dev, -1e9) < 150:
+            route = "none"
+        last[dev] = at if route != "none" else last.get(dev, -1e9)
+        want.append((dev or "", at, route))
+    assert sorted((r["device"] or "", r["ts_ms"], r["route"]) for r in spark.table("arb_buckets").collect()) == sorted(want)
+    named = d.filter("device is not null")
+    assert {tuple(r) for r in spark.table("arb_buckets").filter("device is not null").collect()} == {tuple(r) for r in packets.arbitrate(named).collect()}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+
+
+def test_arbitration_in_another_time_zone(spark, tmp_path):
+    """A device that a batch passes over is still in its cooldown, wherever the session is."""
+    d = spark.createDataFrame([("a", 0.0), ("b", 50.0), ("a", 100.0), ("a", 200.0)], "device string, ts_ms double").withColumn("motion", F.lit(2.0)).withColumn("voice", F.lit(0.0))
+    d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ts_ms") / 1000))
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = run(jobs.arbitrate_stream(stream(spark, *[d.filter(F.col("ts_ms") == t) for t in (0, 50, 100, 200)], folder=str(tmp_path / "in"))), "arb_zone", tmp_path).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {(r["device"], r["ts_ms"]): r["route"] for r in got} == {("a", 0.0): "gesture", ("b", 50.0): "gesture", ("a", 100.0): "none", ("a", 200.0): "gesture"}
+
+
+def test_arbitration_query_in_pieces(spark, sf, duck, same, tmp_path, monkeypatch):
+    """Neither all times nor a whole part of the stream go through one task."""
+    monkeypatch.setattr(streams.F, "percentile", None)  # it holds all different values
+    monkeypatch.setattr(streams, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    spark.read.parquet(f"{sf}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    files = {p.name for p in (tmp_path / "events.parquet").glob("*.parquet")}
+    assert len(files) == 4
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task a file
+    try:
+        same(plans.QUERIES["t04_arbitrate_stream"](spark, str(tmp_path)), duck.sql(plans.ORACLES["t04_arbitrate_stream"]))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "shared").glob("stream-*/in/*.parquet"))) == 12  # three parts

@@ -6,6 +6,7 @@ end, and idle keys are dropped once the watermark passes their time to live.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -188,32 +189,53 @@ def segment_motion_stream(df: DataFrame, cfg: MotionConfig = MotionConfig(), ttl
     return df.withWatermark("ts", ttl).groupBy("device").applyInPandasWithState(step, "device string, first long, samples long", _MOTION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def arbitrate_stream(df: DataFrame, motion_threshold: float = 1.2, voice_threshold: float = 0.015, priority: str = "gesture", cooldown_ms: float = 150.0) -> DataFrame:
-    """Streaming form of arbitrate on rows (device, ts, ts_ms, motion, voice); the state of a device is kept for the cooldown at least."""
+_ARBITRATION_STATE = "device array<string>, last array<double>, until array<long>"
+
+
+def arbitrate_stream(df: DataFrame, motion_threshold: float = 1.2, voice_threshold: float = 0.015, priority: str = "gesture", cooldown_ms: float = 150.0, buckets: int = 1024) -> DataFrame:
+    """Streaming form of arbitrate on rows (device, ts, ts_ms, motion, voice); the last dispatch of a device is kept for the cooldown at least.
+
+    Devices are dealt to buckets by a hash, and the state of a bucket has its devices that have dispatched and are not idle since. So
+    a batch costs one call for each bucket that it touches, however many the devices are.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(frames))
+        known = {name: (last, until) for name, last, until in zip(*state.get, strict=True)} if state.exists else {}
+        rows, watermark = pd.concat(list(frames), ignore_index=True), state.getCurrentWatermarkMs()
+        device, names = pd.factorize(rows["device"].to_numpy(object), use_na_sentinel=False)
+        names = np.where(pd.isna(names), None, names)
         m, v = rows["motion"].to_numpy() > motion_threshold, rows["voice"].to_numpy() > voice_threshold
-        rows["route"] = np.select([m & ~v, v & ~m, m & v], ["gesture", "voice", priority], "none")
-        rows = rows.sort_values(["ts_ms", "route"], kind="stable")
-        route, time = rows["route"].to_numpy(object), rows["ts_ms"].to_numpy(float)
-        asks = np.flatnonzero(route != "none")
-        sent = np.zeros(len(rows), bool)
-        at = int(np.searchsorted(time[asks], last + cooldown_ms))
-        while at < len(asks):  # once a dispatch
-            sent[asks[at]], last = True, float(time[asks[at]])
-            at = max(at + 1, int(np.searchsorted(time[asks], last + cooldown_ms)))
-        route[~sent] = "none"
-        state.update((last,))
-        newest = rows["ts"].max().timestamp() * 1000
-        state.setTimeoutTimestamp(int(max(newest, state.getCurrentWatermarkMs()) + max(60_000, cooldown_ms)))
-        yield pd.DataFrame({"device": str(key[0]), "ts_ms": time, "route": route})
-
-    return df.withWatermark("ts", "30 seconds").groupBy("device").applyInPandasWithState(step, "device string, ts_ms double, route string", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+        route, time = np.select([m & ~v, v & ~m, m & v], ["gesture", "voice", priority], "none"), rows["ts_ms"].to_numpy(float)
+        asks = np.flatnonzero((route != "none") & ~np.isnan(time))
+        asks = asks[np.lexsort((route[asks], time[asks], device[asks]))]
+        times, edges = time[asks].tolist(), np.searchsorted(device[asks], np.arange(len(names) + 1)).tolist()
+        newest = np.full(len(names), watermark)
+        np.maximum.at(newest, device, rows["at"].to_numpy())
+        sent = []
+        for k, (name, seen) in enumerate(zip(names.tolist(), newest.tolist(), strict=True)):
+            last = known[name][0] if name in known else float("-inf")
+            at = bisect_left(times, last + cooldown_ms, edges[k], edges[k + 1])
+            while at < edges[k + 1]:  # once a dispatch
+                sent.append(at)
+                last = times[at]
+                at = bisect_left(times, last + cooldown_ms, at + 1, edges[k + 1])
+            known[name] = last, int(seen + max(60_000, cooldown_ms))
+        kept = [(name, last, until) for name, (last, until) in known.items() if until > watermark and last > float("-inf")]
+        if kept:
+            state.update(tuple(map(list, zip(*kept, strict=True))))
+            state.setTimeoutTimestamp(max(until for _, _, until in kept))
+        elif state.exists:
+            state.remove()
+        dispatched = np.zeros(len(rows), bool)
+        dispatched[asks[sent]] = True
+        yield pd.DataFrame({"device": names[device], "ts_ms": time, "route": np.where(dispatched, route, "none").astype(object)})
+
+    d = df.withWatermark("ts", "30 seconds").withColumn("bucket", F.pmod(F.xxhash64("device"), F.lit(buckets))).withColumn("device", F.col("device").cast("string"))
+    d = d.select("bucket", "device", "ts", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("at"), "ts_ms", "motion", "voice")
+    return d.groupBy("bucket").applyInPandasWithState(step, "device string, ts_ms double, route string", _ARBITRATION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_stream(chunks: DataFrame) -> DataFrame:
